@@ -353,3 +353,132 @@ SELECT w.npi, m.drug, m.measure, w.amount FROM (
 JOIN (VALUES """ + ", ".join(f"({lit(n)}, {lit(d)}, {lit(m)})" for n, d, m in ALL_MEASURES) + """)
   AS m(name, drug, measure) ON w.name = m.name
 WHERE w.amount <> 0""", "profile_wide")
+
+
+# ---- files ----
+oracle("scan_csv", "SELECT Code, Classification, Specialization FROM taxonomy", "taxonomy")
+oracle("checkpoint_roundtrip", "SELECT * FROM eng_l", "eng_l")
+oracle("export_csv", "SELECT * FROM profile_wide", "profile_wide")
+oracle("catalog_roundtrip", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")
+
+
+# ---- viewer ----
+def postal_sql(x: str) -> str:
+    nine = f"lpad({x}, 9, '0')"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN length({x}) <= 5 THEN lpad({x}, 5, '0') "
+            f"WHEN length({x}) <= 9 THEN substr({nine}, 1, 5) || '-' || substr({nine}, 6, 4) ELSE {x} END")
+
+
+VIEW_MEASURES = [m for m in ALL_MEASURES if m[1] in VIEW_DRUGS]
+DESC_COLS = PROVIDER_BLOCK[1:] + AFFILIATION_BLOCK
+frag("view_f", "SELECT CAST(npi AS VARCHAR) AS npi, " + ", ".join(DESC_COLS) + ", "
+     + ", ".join(q(n) for n, _, _ in VIEW_MEASURES) + " FROM profile_wide", "profile_wide")
+frag("ranked", "SELECT *, row_number() OVER (ORDER BY total DESC, npi ASC) AS position FROM ("
+     "SELECT *, CAST(" + " + ".join(q(n) for n, _, _ in VIEW_MEASURES) + " AS BIGINT) AS total FROM view_f) "
+     "WHERE total > 0", "view_f")
+oracle("view_filtered", "SELECT * FROM view_f", "view_f")
+oracle("ranked_view", "SELECT npi, total, position FROM ranked", "ranked")
+oracle("view_display", "SELECT npi, " + ", ".join(
+    (f"coalesce({postal_sql('postal_code')}, '') AS postal_code" if c == "postal_code"
+     else f"coalesce(CAST({c} AS VARCHAR), '') AS {c}") for c in DESC_COLS) + ", "
+    + ", ".join(q(n) for n, _, _ in VIEW_MEASURES) + ", total, position FROM ranked", "ranked")
+oracle("postal_format", f"SELECT npi, {postal_sql('postal_code')} AS zip FROM reg_sel", "reg_sel")
+
+
+def totals_sql(measures, label: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {lit(d)} AS drug, {lit(m)} AS {label}, CAST(coalesce(sum({q(n)}), 0) AS BIGINT) AS amount "
+        f"FROM profile_wide" for n, d, m in measures)
+
+
+oracle("drug_category_totals", "SELECT drug, category, amount, CAST(amount AS DOUBLE) / "
+       "NULLIF(CAST(sum(amount) OVER (PARTITION BY drug) AS DOUBLE), 0) AS share FROM ("
+       + totals_sql(PAY_MEASURES, "category") + ")", "profile_wide")
+oracle("drug_measure_totals", "SELECT drug, measure, amount FROM (SELECT *, sum(amount) OVER "
+       "(PARTITION BY measure) AS g FROM (" + totals_sql(CLAIM_MEASURE_NAMES, "measure") + ")) WHERE g <> 0",
+       "profile_wide")
+
+# ---- catalogues ----
+# Default short names for natures of payment (same list as the engine's).
+DEFAULT_CATEGORY_NAMES = (
+    ("Education", "EDUCATION"),
+    ("Travel and Lodging", "TRAVEL"),
+    ("Food and Beverage", "FOOD&BEVERAGE"),
+    ("Consulting Fee", "CONSULTING"),
+    ("Compensation for services other than consulting, including serving as faculty or as a "
+     "speaker at a venue other than a continuing education program", "SPEAKER"),
+    ("Compensation for serving as faculty or as a speaker for a medical education program", "SPEAKER"),
+)
+frag("cat_proc", "SELECT DISTINCT HCPCS_Cd, HCPCS_Desc FROM part_b", "part_b")
+frag("cat_drug", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")
+frag("labels", """
+SELECT 'procedure' AS kind, HCPCS_Cd AS code, HCPCS_Cd || ' - ' || coalesce(HCPCS_Desc, '') AS label FROM cat_proc
+UNION ALL
+SELECT 'drug' AS kind, Brnd_Name AS code, Brnd_Name || ' - ' || coalesce(Gnrc_Name, '') AS label FROM cat_drug""",
+     "cat_proc", "cat_drug")
+oracle("catalog_procedures", "SELECT * FROM cat_proc", "cat_proc")
+oracle("catalog_drugs", "SELECT * FROM cat_drug", "cat_drug")
+oracle("catalog_taxonomy", "SELECT Code, Classification, Specialization FROM taxonomy WHERE Code IS NOT NULL "
+       "AND Classification IS NOT NULL AND Specialization IS NOT NULL", "taxonomy")
+oracle("catalog_categories", """
+SELECT n.Original, coalesce(m.Renamed, '') AS Renamed FROM (
+  SELECT DISTINCT Nature_of_Payment_or_Transfer_of_Value AS Original FROM payments
+  WHERE Nature_of_Payment_or_Transfer_of_Value IS NOT NULL) n
+LEFT JOIN (VALUES """ + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in DEFAULT_CATEGORY_NAMES) + """)
+  AS m(Original, Renamed) ON n.Original = m.Original""", "payments")
+oracle("catalog_labels", "SELECT * FROM labels", "labels")
+oracle("label_split", "SELECT kind, split_part(label, ' - ', 1) AS code, "
+       "substr(label, length(split_part(label, ' - ', 1)) + 4) AS rest FROM labels", "labels")
+oracle("catalog_search", "SELECT kind, code, label FROM labels WHERE contains(lower(label), 'widget')", "labels")
+oracle("drug_list_parse", """
+SELECT DISTINCT upper(trim(item)) AS drug FROM (
+  SELECT unnest(string_split(' ' || lower(p_brand) || ' , ,' || p_brand || ',', ',')) AS item FROM part)
+WHERE trim(item) <> ''""")
+
+# ---- runs ----
+frag("run_names", "SELECT 'u' || CAST(o_custkey AS VARCHAR) || '_' || strftime(o_orderdate, '%Y%m%d%H%M%S') "
+     "|| '_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders")
+frag("ledger", """
+SELECT s.run_id, s.username, s.in_time, f.out_time FROM (
+  SELECT CAST(o_orderkey AS VARCHAR) AS run_id, c_mktsegment AS username, o_orderdate AS in_time
+  FROM orders JOIN customer ON o_custkey = c_custkey) s
+LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderdate + INTERVAL 1 DAY AS out_time
+           FROM orders WHERE o_orderstatus = 'F') f ON s.run_id = f.run_id""")
+oracle("parse_run_names", "SELECT split_part(name, '_', 1) AS username, split_part(name, '_', 2) AS ts_text, "
+       "split_part(name, '_', 3) AS run_id FROM run_names", "run_names")
+oracle("run_ledger", "SELECT * FROM ledger", "ledger")
+oracle("run_history", "SELECT *, row_number() OVER (PARTITION BY username ORDER BY in_time DESC, run_id ASC) "
+       "AS position FROM ledger", "ledger")
+
+# ---- quality ----
+VIEW_COLUMNS = {
+    "part_b": ("Rndrng_NPI", "HCPCS_Cd", "HCPCS_Desc", "Tot_Benes", "Tot_Srvcs"),
+    "part_d": ("Prscrbr_NPI", "Brnd_Name", "Gnrc_Name", "Tot_Clms", "Tot_Benes"),
+    "payments": ("Covered_Recipient_NPI", "Total_Amount_of_Payment_USDollars", "Date_of_Payment",
+                 "Nature_of_Payment_or_Transfer_of_Value",
+                 "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1"),
+    "providers": ("NPI", "last_name_legal", "first_name", "middle_name", "postal_code",
+                  "tax_code_1", "tax_code_2", "tax_code_3"),
+    "taxonomy": ("Code", "Classification", "Specialization"),
+    "affiliations": ("NPI", "facility_name", "org_pac_id"),
+    "sel_b": ("HCPCS_Cd", "BRAND"), "sel_d": ("Brnd_Name", "BRAND"), "sel_drugs": ("Drug_Name",),
+    "sel_tax": ("Code",), "sel_map": ("Original", "Renamed"),
+}
+FLOAT_COLUMNS = {("payments", "Total_Amount_of_Payment_USDollars"), ("affiliations", "org_pac_id")}
+TEXT_COLUMNS = {
+    "providers": ("last_name_legal", "first_name", "middle_name", "postal_code",
+                  "tax_code_1", "tax_code_2", "tax_code_3"),
+    "taxonomy": ("Code", "Classification", "Specialization"),
+}
+oracle("table_shape", " UNION ALL ".join(
+    f"SELECT {lit(t)} AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST({len(cols)} AS BIGINT) AS n_cols "
+    f"FROM {t}" for t, cols in VIEW_COLUMNS.items()), *VIEW_COLUMNS)
+oracle("null_report", " UNION ALL ".join(
+    f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL"
+    + (f" OR isnan({c})" if (t, c) in FLOAT_COLUMNS else "") + f") AS BIGINT) AS n FROM {t}"
+    for t in ("providers", "affiliations", "payments") for c in VIEW_COLUMNS[t]),
+    "providers", "affiliations", "payments")
+oracle("non_numeric_report", " UNION ALL ".join(
+    f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, CAST(count(*) FILTER (WHERE {c} IS NOT NULL "
+    f"AND TRY_CAST({c} AS DOUBLE) IS NULL) AS BIGINT) AS n FROM {t}"
+    for t, cols in TEXT_COLUMNS.items() for c in cols), "providers", "taxonomy")

@@ -42,11 +42,17 @@ def taxonomy_code_filter(registry: DataFrame, sel: Selections) -> DataFrame:
     return registry.where(cond | ~codes.exists())
 
 
-def taxonomy_enrich(registry: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def _small_taxonomy(taxonomy: DataFrame, sel: Selections | None) -> DataFrame:
+    if sel is not None and "taxonomy_table" in sel.lookups:
+        return sel.small("taxonomy_table")
+    return broadcast_if_small(taxonomy)
+
+
+def taxonomy_enrich(registry: DataFrame, taxonomy: DataFrame, sel: Selections | None = None) -> DataFrame:
     """Three left joins, one per code role, each against a fresh projection of
     the taxonomy (broadcast behind a size check: the code catalogue is small).
     A code that matches nothing leaves the texts null; the row survives."""
-    tax = broadcast_if_small(taxonomy.select("Code", "Classification", "Specialization"))
+    tax = _small_taxonomy(taxonomy, sel).select("Code", "Classification", "Specialization")
     out = registry
     for role, code_col in zip(ROLES, CODE_COLS):
         t = tax.select(F.col("Code").alias("_code"),
@@ -56,12 +62,12 @@ def taxonomy_enrich(registry: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return out
 
 
-def registry_taxonomy(providers: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    return taxonomy_enrich(registry_select(providers), taxonomy)
+def registry_taxonomy(providers: DataFrame, taxonomy: DataFrame, sel: Selections | None = None) -> DataFrame:
+    return taxonomy_enrich(registry_select(providers), taxonomy, sel)
 
 
 def registry_filtered(providers: DataFrame, taxonomy: DataFrame, sel: Selections) -> DataFrame:
     """Filter on codes first (cheap, pushes to the scan), then enrich; the code
     columns are dropped from the result."""
     reg = taxonomy_code_filter(registry_select(providers), sel)
-    return taxonomy_enrich(reg, taxonomy).select(*PROVIDER_BLOCK)
+    return taxonomy_enrich(reg, taxonomy, sel).select(*PROVIDER_BLOCK)

@@ -155,8 +155,8 @@ def q_registry_select(spark, sf_dir):
 
 @query("registry_taxonomy")
 def q_registry_taxonomy(spark, sf_dir):
-    i, _ = _ctx(spark, sf_dir)
-    return R.registry_taxonomy(i.providers, i.taxonomy)
+    i, sel = _ctx(spark, sf_dir)
+    return R.registry_taxonomy(i.providers, i.taxonomy, sel)
 
 
 @query("registry_filtered")
@@ -239,3 +239,187 @@ def q_wide_naming(spark, sf_dir):
 def q_wide_to_long(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
     return E.wide_to_long(PR.profile(i, sel), PR.measures_for(sel), spark)
+
+
+# ---- files -----------------------------------------------------------------
+
+from provlens.sources import files as FS  # noqa: E402
+from provlens.operators import catalog as CT  # noqa: E402
+from provlens.operators import quality as QL  # noqa: E402
+from provlens.operators import runs as RN  # noqa: E402
+from provlens.operators import viewer as V  # noqa: E402
+
+VIEW_DRUGS = ("BRAND#2", "BRAND#3")
+CATALOG_QUERY = "widget"
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return FS.csv_roundtrip(i.taxonomy.select("Code", "Classification", "Specialization"), "scan-csv")
+
+
+@query("checkpoint_roundtrip")
+def q_checkpoint_roundtrip(spark, sf_dir):
+    i, sel = _ctx(spark, sf_dir)
+    return FS.materialise(PR.engagement_for(i, sel), "engagement")
+
+
+@query("export_csv")
+def q_export_csv(spark, sf_dir):
+    i, sel = _ctx(spark, sf_dir)
+    return FS.csv_roundtrip(PR.profile(i, sel), "profile-csv")
+
+
+@query("catalog_roundtrip")
+def q_catalog_roundtrip(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return FS.json_roundtrip(CT.catalog_drugs(i.part_d), "catalog-json")
+
+
+# ---- viewer ----------------------------------------------------------------
+
+def _profile_and_measures(spark, sf_dir):
+    i, sel = _ctx(spark, sf_dir)
+    return PR.profile(i, sel), PR.measures_for(sel)
+
+
+@query("view_filtered")
+def q_view_filtered(spark, sf_dir):
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    return V.view_filtered(prof, ms, VIEW_DRUGS)
+
+
+@query("ranked_view")
+def q_ranked_view(spark, sf_dir):
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    ranked = V.ranked_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS)
+    return ranked.select("npi", "total", "position")
+
+
+@query("view_display")
+def q_view_display(spark, sf_dir):
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    return V.view_display(V.ranked_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS))
+
+
+@query("postal_format")
+def q_postal_format(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return V.postal_format(R.registry_select(i.providers))
+
+
+@query("drug_category_totals")
+def q_drug_category_totals(spark, sf_dir):
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    return V.drug_category_totals(prof, ms, spark)
+
+
+@query("drug_measure_totals")
+def q_drug_measure_totals(spark, sf_dir):
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    return V.drug_measure_totals(prof, ms, spark)
+
+
+# ---- catalogues --------------------------------------------------------------
+
+@query("catalog_procedures")
+def q_catalog_procedures(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.catalog_procedures(i.part_b)
+
+
+@query("catalog_drugs")
+def q_catalog_drugs(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.catalog_drugs(i.part_d)
+
+
+@query("catalog_taxonomy")
+def q_catalog_taxonomy(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.catalog_taxonomy(i.taxonomy)
+
+
+@query("catalog_categories")
+def q_catalog_categories(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.catalog_categories(i.payments, spark)
+
+
+def _labels(i: Inputs) -> DataFrame:
+    return CT.catalog_labels(CT.catalog_procedures(i.part_b), CT.catalog_drugs(i.part_d))
+
+
+@query("catalog_labels")
+def q_catalog_labels(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return _labels(i)
+
+
+@query("label_split")
+def q_label_split(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.label_split(_labels(i))
+
+
+@query("catalog_search")
+def q_catalog_search(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.catalog_search(_labels(i), CATALOG_QUERY)
+
+
+@query("drug_list_parse")
+def q_drug_list_parse(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return CT.drug_list_parse(i.drug_lists)
+
+
+# ---- runs --------------------------------------------------------------------
+
+@query("parse_run_names")
+def q_parse_run_names(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return RN.parse_run_names(i.run_names)
+
+
+@query("run_ledger")
+def q_run_ledger(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return RN.run_ledger(i.runs_submitted, i.runs_finished)
+
+
+@query("run_history")
+def q_run_history(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return RN.run_history(RN.run_ledger(i.runs_submitted, i.runs_finished))
+
+
+# ---- quality -----------------------------------------------------------------
+
+VIEW_NAMES = ("part_b", "part_d", "payments", "providers", "taxonomy", "affiliations",
+              "sel_b", "sel_d", "sel_drugs", "sel_tax", "sel_map")
+
+
+@query("table_shape")
+def q_table_shape(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return QL.table_shape({n: i.view(n) for n in VIEW_NAMES})
+
+
+@query("null_report")
+def q_null_report(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return QL.null_report({n: i.view(n) for n in ("providers", "affiliations", "payments")})
+
+
+@query("non_numeric_report")
+def q_non_numeric_report(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return QL.non_numeric_report({n: i.view(n) for n in ("providers", "taxonomy")})
+
+
+@query("json_records")
+def q_json_records(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return QL.json_records(RN.run_ledger(i.runs_submitted, i.runs_finished))

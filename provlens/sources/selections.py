@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlens.functions.normalise import blank_to_null, lower_key, upper_key
-from provlens.plans.bounded import (MAX_PIVOT_VALUES, broadcast_if_small,
+from provlens.plans.bounded import (BROADCAST_MAX_ROWS, MAX_PIVOT_VALUES,
                                     collect_bounded)
 
 DEFAULT_CATEGORY = "OTHERS_GENERAL"
@@ -75,6 +75,8 @@ class Selections:
     taxonomy: DataFrame
     category_map: DataFrame
     _small: dict = field(default_factory=dict, repr=False)
+    # extra lookup tables (e.g. the taxonomy) sized by the same survey job
+    lookups: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def from_raw(cls, sel_b: DataFrame | None, sel_d: DataFrame | None, sel_drugs: DataFrame,
@@ -90,8 +92,10 @@ class Selections:
     @classmethod
     def from_inputs(cls, inputs, part_b: bool = True, part_d: bool = True,
                     dedupe_interest: bool = False) -> "Selections":
-        return cls.from_raw(inputs.sel_b if part_b else None, inputs.sel_d if part_d else None,
-                            inputs.sel_drugs, inputs.sel_tax, inputs.sel_map, dedupe_interest)
+        sel = cls.from_raw(inputs.sel_b if part_b else None, inputs.sel_d if part_d else None,
+                           inputs.sel_drugs, inputs.sel_tax, inputs.sel_map, dedupe_interest)
+        sel.lookups["taxonomy_table"] = inputs.taxonomy
+        return sel
 
     @classmethod
     def from_rows(cls, spark: SparkSession, part_b=None, part_d=None, drugs=(), taxonomy=(),
@@ -121,42 +125,70 @@ class Selections:
         return cls.from_raw(rd("part_b"), rd("part_d"), rd("drugs"), rd("taxonomy"),
                             rd("category_map"), dedupe_interest)
 
-    # ---- size-checked broadcast copies --------------------------------
+    # ---- one survey job: sizes for broadcast decisions + pivot names ------
+
+    def survey(self) -> dict[str, tuple[int, list[str]]]:
+        """Per table: (row count, distinct values of its drug / rename column).
+
+        One aggregation job over the stacked selection tables (plus any extra
+        lookup tables registered in ``lookups``) answers every question the
+        plan needs before it can be built: which tables are small enough to
+        broadcast, and which pivot columns exist. At most a bounded number of
+        (table, value) groups reach the driver; more raises instead of
+        building an unbounded pivot.
+        """
+        if "_survey" not in self._small:
+            parts = []
+            value_cols = {"part_b": "drug", "part_d": "drug", "drugs": "drug",
+                          "category_map": "renamed"}
+            for kind, df in self._tables().items():
+                vc = value_cols.get(kind)
+                v = F.col(vc) if vc else F.lit(None).cast("string")
+                parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value")))
+            u = parts[0]
+            for p in parts[1:]:
+                u = u.unionByName(p)
+            limit = 4 * MAX_PIVOT_VALUES + len(parts)
+            rows = collect_bounded(u.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")),
+                                   limit, "selection values")
+            out: dict[str, tuple[int, list[str]]] = {k: (0, []) for k in self._tables()}
+            for r in rows:
+                n, vals = out[r["kind"]]
+                out[r["kind"]] = (n + r["n"], vals + ([r["value"]] if r["value"] is not None else []))
+            self._small["_survey"] = out
+        return self._small["_survey"]
+
+    def _tables(self) -> dict[str, DataFrame]:
+        t = {"drugs": self.drugs, "taxonomy": self.taxonomy, "category_map": self.category_map}
+        if self.part_b is not None:
+            t["part_b"] = self.part_b
+        if self.part_d is not None:
+            t["part_d"] = self.part_d
+        t.update(self.lookups)
+        return t
 
     def small(self, name: str) -> DataFrame:
-        if name not in self._small:
-            self._small[name] = broadcast_if_small(getattr(self, name))
-        return self._small[name]
+        """The table, with a broadcast hint only if the survey found it small."""
+        df = self._tables()[name]
+        n, _ = self.survey()[name]
+        return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
 
-    # ---- pivot names (bounded, driver side) ----------------------------
+    # ---- pivot names (from the survey) ---------------------------------
 
     def categories(self) -> list[str]:
-        if "_categories" not in self._small:
-            rows = collect_bounded(self.category_map.where(F.col("renamed").isNotNull())
-                                   .select("renamed").distinct(),
-                                   MAX_PIVOT_VALUES, "payment categories")
-            names = sorted({r[0] for r in rows} - {DEFAULT_CATEGORY})
-            self._small["_categories"] = names + [DEFAULT_CATEGORY]
-        return self._small["_categories"]
+        names = set(self.survey()["category_map"][1]) - {DEFAULT_CATEGORY}
+        return sorted(names) + [DEFAULT_CATEGORY]
 
     def payment_drugs(self) -> list[str]:
-        return self._drug_list("_pay_drugs", [self.drugs])
+        return sorted(set(self.survey()["drugs"][1]))
 
     def claim_drugs(self) -> list[str]:
-        parts = [df.select("drug") for df in (self.part_b, self.part_d) if df is not None]
-        return self._drug_list("_claim_drugs", parts)
-
-    def _drug_list(self, key: str, frames: list[DataFrame]) -> list[str]:
-        if key not in self._small:
-            if not frames:
-                self._small[key] = []
-            else:
-                u = frames[0]
-                for f in frames[1:]:
-                    u = u.unionByName(f)
-                rows = collect_bounded(u.distinct(), MAX_PIVOT_VALUES, "drugs")
-                self._small[key] = sorted(r[0] for r in rows)
-        return self._small[key]
+        s = self.survey()
+        vals = set()
+        for k in ("part_b", "part_d"):
+            if k in s:
+                vals |= set(s[k][1])
+        return sorted(vals)
 
 
 def stack_selections(sel: Selections) -> DataFrame:

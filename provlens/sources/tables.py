@@ -51,7 +51,11 @@ class Inputs:
     sf_dir: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        """The base table (read once per input set; the scan stays lazy)."""
+        cache = self.__dict__.setdefault("_tables", {})
+        if name not in cache:
+            cache[name] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        return cache[name]
 
     # ---- public tables -------------------------------------------------
 
@@ -184,6 +188,40 @@ class Inputs:
         return self.spark.createDataFrame(
             list(CATEGORY_MAP_ROWS), "Original string, Renamed string")
 
+    # ---- run ledger made from orders ------------------------------------
+
+    @cached_property
+    def runs_submitted(self) -> DataFrame:
+        """run_id, username (the customer's segment), in_time."""
+        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        c = self.table("customer").select("c_custkey", "c_mktsegment")
+        j = o.join(c, o["o_custkey"] == c["c_custkey"])
+        return j.select(_str(F.col("o_orderkey")).alias("run_id"),
+                        F.col("c_mktsegment").alias("username"),
+                        F.col("o_orderdate").alias("in_time"))
+
+    @cached_property
+    def runs_finished(self) -> DataFrame:
+        """run_id, out_time for finished orders (status F)."""
+        o = self.table("orders").where(F.col("o_orderstatus") == "F")
+        return o.select(_str(F.col("o_orderkey")).alias("run_id"),
+                        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("out_time"))
+
+    @cached_property
+    def run_names(self) -> DataFrame:
+        """File-style run names ``u<customer>_<yyyyMMddHHmmss>_<order>``."""
+        o = self.table("orders")
+        return o.select(F.concat_ws("_", F.concat(F.lit("u"), _str(F.col("o_custkey"))),
+                                    F.date_format("o_orderdate", "yyyyMMddHHmmss"),
+                                    _str(F.col("o_orderkey"))).alias("name"))
+
+    @cached_property
+    def drug_lists(self) -> DataFrame:
+        """Comma lists of drug names as a user would type them, one per part."""
+        p = self.table("part")
+        return p.select(F.concat(F.lit(" "), F.lower(F.col("p_brand")), F.lit(" , ,"),
+                                 F.col("p_brand"), F.lit(",")).alias("text"))
+
     def view(self, name: str) -> DataFrame:
         return getattr(self, name)
 
