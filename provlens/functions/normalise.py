@@ -43,3 +43,20 @@ def truncate_to_bigint(c: str | Column) -> Column:
 def floor_to_bigint(c: str | Column) -> Column:
     """Whole units downward (-1.9 -> -2), as a bigint."""
     return F.floor(col_(c).try_cast("double"))
+
+
+def sql_string(value: str) -> str:
+    """A SQL string literal for ``value``."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ident(name: str) -> str:
+    """A back-quoted SQL identifier for ``name``."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def conditional_sum(key: str, value: str, amount: str, alias: str) -> Column:
+    """``coalesce(sum(CASE WHEN key = value THEN amount END), 0)`` as one SQL
+    expression (one call to build, however wide the pivot)."""
+    return F.expr(f"coalesce(sum(CASE WHEN {sql_ident(key)} = {sql_string(value)} "
+                  f"THEN {sql_ident(amount)} END), CAST(0 AS BIGINT)) AS {sql_ident(alias)}")

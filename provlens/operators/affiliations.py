@@ -41,8 +41,8 @@ def affiliations_top(clean: DataFrame, k: int = TOP_K) -> DataFrame:
     ranked = affiliations_ranked(clean, k)
     aggs = []
     for i in range(1, k + 1):
-        aggs.append(F.max(F.when(F.col("rn") == i, F.col("facility_name"))).alias(f"Facility_Name_{i}"))
-        aggs.append(F.max(F.when(F.col("rn") == i, F.col("org_pac_id"))).alias(f"Org_pac_id_{i}"))
+        aggs.append(F.expr(f"max(CASE WHEN rn = {i} THEN facility_name END) AS Facility_Name_{i}"))
+        aggs.append(F.expr(f"max(CASE WHEN rn = {i} THEN org_pac_id END) AS Org_pac_id_{i}"))
     return ranked.groupBy("npi").agg(*aggs)
 
 

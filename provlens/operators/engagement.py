@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provlens.functions.normalise import conditional_sum
 from provlens.operators import claims as C
 from provlens.operators import payments as P
 from provlens.plans.bounded import MAX_PIVOT_VALUES
@@ -89,8 +90,7 @@ def pivot_wide(long: DataFrame, measures: Sequence[Measure], total: str | None =
     aggs = []
     if total:
         aggs.append(F.coalesce(F.sum("amount"), zero).alias(total))
-    aggs += [F.coalesce(F.sum(F.when(F.col("_name") == F.lit(m.name), F.col("amount"))), zero).alias(m.name)
-             for m in measures]
+    aggs += [conditional_sum("_name", m.name, "amount", m.name) for m in measures]
     if not aggs:
         return df.select(key).distinct()
     return df.groupBy(key).agg(*aggs)

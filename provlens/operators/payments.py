@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlens.functions.normalise import truncate_to_bigint, upper_key
+from provlens.functions.normalise import conditional_sum, truncate_to_bigint, upper_key
 from provlens.sources.selections import DEFAULT_CATEGORY, Selections
 
 NPI = "Covered_Recipient_NPI"
@@ -101,6 +101,5 @@ def payments_by_category(mapped: DataFrame, categories: Sequence[str]) -> DataFr
     Conditional sums with an explicit category list: the schema does not
     depend on the data and no extra job is needed to discover values.
     """
-    aggs = [F.coalesce(F.sum(F.when(F.col("category") == F.lit(c), F.col("amount"))),
-                       F.lit(0).cast("bigint")).alias(c) for c in categories]
+    aggs = [conditional_sum("category", c, "amount", c) for c in categories]
     return mapped.groupBy("npi", "drug").agg(*aggs)

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provlens.functions.normalise import sql_ident
 from provlens.functions.text import format_postal
 from provlens.operators.affiliations import affiliation_block
 from provlens.operators.engagement import CLAIM_MEASURES, Measure, measures_frame
@@ -48,8 +49,8 @@ def row_total(names: Sequence[str]):
     not expand it into constraints, unlike a long ``c1 + c2 + ...``."""
     if not names:
         return F.lit(0).cast("bigint")
-    arr = F.array(*[F.coalesce(_q(n).cast("bigint"), F.lit(0).cast("bigint")) for n in names])
-    return F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    items = ", ".join(f"coalesce(CAST({sql_ident(n)} AS BIGINT), 0L)" for n in names)
+    return F.expr(f"aggregate(array({items}), 0L, (acc, x) -> acc + x)")
 
 
 def ranked_view(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[str]) -> DataFrame:
@@ -80,7 +81,8 @@ def measure_totals(wide: DataFrame, measures: Sequence[Measure], spark: SparkSes
     aggregate (partial per task), then a tiny unpivot."""
     if not measures:
         return spark.createDataFrame([], "drug string, measure string, amount bigint")
-    sums = wide.agg(*[F.coalesce(F.sum(_q(m.name)), F.lit(0)).cast("bigint").alias(m.name) for m in measures])
+    sums = wide.agg(*[F.expr(f"CAST(coalesce(sum({sql_ident(m.name)}), 0) AS BIGINT) AS {sql_ident(m.name)}")
+                      for m in measures])
     long = sums.unpivot([], [m.name for m in measures], "name", "amount")
     lookup = F.broadcast(measures_frame(spark, measures))
     return long.join(lookup, "name").select("drug", "measure", "amount")

@@ -25,6 +25,22 @@ BASE_TABLES = (
     "conversations",
 )
 
+# Declared schemas of the base tables the engine reads: no inference job at
+# scan time, and a changed file fails loudly instead of drifting types.
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 # Fixed values of the fixture selections (FIXTURES.md section 2).
 PART_B_BRANDS = ("Brand#1", "Brand#2", "Brand#3")
 PART_D_BRANDS = ("Brand#2", "Brand#3", "Brand#4")
@@ -54,7 +70,10 @@ class Inputs:
         """The base table (read once per input set; the scan stays lazy)."""
         cache = self.__dict__.setdefault("_tables", {})
         if name not in cache:
-            cache[name] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            reader = self.spark.read
+            if name in BASE_SCHEMAS:
+                reader = reader.schema(BASE_SCHEMAS[name])
+            cache[name] = reader.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
         return cache[name]
 
     # ---- public tables -------------------------------------------------
