@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.functions.normalise import conditional_sum
+from provlens.functions.normalise import conditional_sum, sql_ident
 from provlens.operators import claims as C
 from provlens.operators import payments as P
 from provlens.plans.bounded import MAX_PIVOT_VALUES
@@ -126,8 +126,9 @@ def wide_to_long(wide: DataFrame, measures: Sequence[Measure], spark: SparkSessi
     never from splitting the column name.
     """
     names = [m.name for m in measures]
-    long = wide.select(key, *[F.col(f"`{n}`").cast("bigint").alias(n) for n in names]) \
-        .unpivot([key], names, "name", "amount")
+    cols = [F.col(sql_ident(n)) for n in names]  # quoted: names may hold '.', '(' ...
+    long = wide.select(key, *[c.cast("bigint").alias(n) for c, n in zip(cols, names)]) \
+        .unpivot([key], [F.col(sql_ident(n)) for n in names], "name", "amount")
     if not keep_zero:
         long = long.where(F.col("amount") != 0)
     lookup = F.broadcast(measures_frame(spark, measures))  # bounded by MAX_PIVOT_VALUES

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from provlens.functions.normalise import sql_ident
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
@@ -42,7 +44,7 @@ def null_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         counts = {}
         for f in df.schema.fields:
-            c = F.col(f"`{f.name}`")
+            c = F.col(sql_ident(f.name))
             cond = c.isNull() | F.isnan(c) if isinstance(f.dataType, (DoubleType, FloatType)) else c.isNull()
             counts[f.name] = F.count_if(cond)
         frames.append(_long(df, name, counts))
@@ -53,8 +55,8 @@ def non_numeric_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per text column: values present that do not read as a number."""
     frames = []
     for name, df in tables.items():
-        counts = {f.name: F.count_if(F.col(f"`{f.name}`").isNotNull()
-                                     & F.col(f"`{f.name}`").try_cast("double").isNull())
+        counts = {f.name: F.count_if(F.col(sql_ident(f.name)).isNotNull()
+                                     & F.col(sql_ident(f.name)).try_cast("double").isNull())
                   for f in df.schema.fields if f.dataType.simpleString() == "string"}
         if counts:
             frames.append(_long(df, name, counts))
@@ -63,4 +65,4 @@ def non_numeric_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def json_records(df: DataFrame) -> DataFrame:
     """One JSON object per row (null fields omitted)."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+    return df.select(F.to_json(F.struct(*[F.col(sql_ident(c)) for c in df.columns])).alias("json"))

@@ -32,7 +32,7 @@ def chosen_measures(measures: Sequence[Measure], drugs: Iterable[str]) -> list[M
 
 
 def _q(name: str):
-    return F.col(f"`{name}`")
+    return F.col(sql_ident(name))
 
 
 def view_filtered(profile: DataFrame, measures: Sequence[Measure], drugs: Iterable[str],
@@ -83,7 +83,7 @@ def measure_totals(wide: DataFrame, measures: Sequence[Measure], spark: SparkSes
         return spark.createDataFrame([], "drug string, measure string, amount bigint")
     sums = wide.agg(*[F.expr(f"CAST(coalesce(sum({sql_ident(m.name)}), 0) AS BIGINT) AS {sql_ident(m.name)}")
                       for m in measures])
-    long = sums.unpivot([], [m.name for m in measures], "name", "amount")
+    long = sums.unpivot([], [F.col(sql_ident(m.name)) for m in measures], "name", "amount")
     lookup = F.broadcast(measures_frame(spark, measures))
     return long.join(lookup, "name").select("drug", "measure", "amount")
 

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provlens.functions.normalise import sql_ident
 from provlens.operators import affiliations as A
 from provlens.operators import engagement as E
 from provlens.operators import registry as R
@@ -82,7 +83,7 @@ def profile(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
     cols = list(R.PROVIDER_BLOCK)
     if opts.with_affiliations:
         cols += list(A.affiliation_block(opts.top_k))
-    cols += [f"`{m.name}`" for m in measures]
+    cols += [F.col(sql_ident(m.name)) for m in measures]
     if keep_total:
         cols.append(TOTAL)
     return base.join(wide, "npi", "inner").select(*cols)
