@@ -450,6 +450,9 @@ oracle("run_ledger", "SELECT * FROM ledger", "ledger")
 oracle("run_history", "SELECT *, row_number() OVER (PARTITION BY username ORDER BY in_time DESC, run_id ASC) "
        "AS position FROM ledger", "ledger")
 
+oracle("runs_of_user", "SELECT *, row_number() OVER (ORDER BY in_time DESC, run_id ASC) AS position "
+       "FROM ledger WHERE username = 'BUILDING'", "ledger")
+
 # ---- quality ----
 VIEW_COLUMNS = {
     "part_b": ("Rndrng_NPI", "HCPCS_Cd", "HCPCS_Desc", "Tot_Benes", "Tot_Srvcs"),

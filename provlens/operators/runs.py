@@ -39,6 +39,11 @@ def runs_of_user(ledger: DataFrame, username: str) -> DataFrame:
     return ledger.where(F.col("username") == F.lit(username))
 
 
+def user_history(ledger: DataFrame, username: str) -> DataFrame:
+    """One user's runs, newest first, with their position."""
+    return with_position(runs_of_user(ledger, username), [F.desc("in_time"), F.asc("run_id")], "position")
+
+
 def run_history(ledger: DataFrame) -> DataFrame:
     """Newest first per user: ``position`` restarts at 1 for every user.
 

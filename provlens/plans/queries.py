@@ -395,6 +395,15 @@ def q_run_history(spark, sf_dir):
     return RN.run_history(RN.run_ledger(i.runs_submitted, i.runs_finished))
 
 
+HISTORY_USER = "BUILDING"
+
+
+@query("runs_of_user")
+def q_runs_of_user(spark, sf_dir):
+    i, _ = _ctx(spark, sf_dir)
+    return RN.user_history(RN.run_ledger(i.runs_submitted, i.runs_finished), HISTORY_USER)
+
+
 # ---- quality -----------------------------------------------------------------
 
 VIEW_NAMES = ("part_b", "part_d", "payments", "providers", "taxonomy", "affiliations",

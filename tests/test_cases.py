@@ -151,3 +151,14 @@ def test_truncation_versus_floor(spark):
     from provlens.functions.normalise import floor_to_bigint, truncate_to_bigint
     got = [tuple(r) for r in df.select(truncate_to_bigint("x"), floor_to_bigint(F.col("x"))).collect()]
     assert got[0] == (-1, -2) and got[1] == (1, 1) and got[2][0] is None
+
+
+def test_selections_save_and_load(spark, tmp_path):
+    from provlens.sources.selections import save_selections, stack_selections
+    sel = Selections.from_rows(spark, part_b=[("P1", "a")], part_d=None, drugs=["x", "y"],
+                               taxonomy=["1"], category_map=[("click", "EDU"), ("error", "")])
+    save_selections(sel, str(tmp_path / "sel"))
+    back = Selections.load(spark, str(tmp_path / "sel"))
+    assert back.part_d is None
+    assert rows(stack_selections(back), "kind", "key", "value") == rows(stack_selections(sel), "kind", "key", "value")
+    assert back.categories() == ["EDU", "OTHERS_GENERAL"]
