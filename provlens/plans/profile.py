@@ -87,3 +87,26 @@ def profile(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
     if keep_total:
         cols.append(TOTAL)
     return base.join(wide, "npi", "inner").select(*cols)
+
+
+def profile_staged(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """The same result executed in the reference's shape, for measurement only:
+    an action after each stage and a CSV round trip of the intermediate
+    (registry x engagement) before the affiliation join. ``profile`` is the
+    form to use; this one exists to show what the extra actions cost.
+    """
+    from provlens.sources.files import csv_roundtrip
+
+    measures = measures_for(sel, opts)
+    long = engagement_for(src, sel, opts)
+    long.count()
+    wide = E.pivot_wide(long, measures, total=TOTAL)
+    wide.count()
+    reg = R.registry_filtered(src.providers, src.taxonomy, sel)
+    reg.count()
+    phase1 = csv_roundtrip(reg.join(wide, "npi", "inner"), "phase-1")
+    phase1.count()
+    aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k)
+    cols = list(R.PROVIDER_BLOCK) + list(A.affiliation_block(opts.top_k)) + \
+        [F.col(sql_ident(m.name)) for m in measures]
+    return phase1.join(aff, "npi", opts.affiliation_join).where(F.col(TOTAL) > 0).select(*cols)
