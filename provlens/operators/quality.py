@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -63,6 +63,13 @@ def non_numeric_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(frames)
 
 
+def observe_rows(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Row count of a stage, collected as a side effect of the job that runs
+    it (no extra action, unlike ``count()`` after each stage)."""
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("n_rows")), obs
+
+
 def json_records(df: DataFrame) -> DataFrame:
     """One JSON object per row (null fields omitted)."""
     return df.select(F.to_json(F.struct(*[F.col(sql_ident(c)) for c in df.columns])).alias("json"))

@@ -11,16 +11,24 @@ from provlens.sources.selections import Selections
 CODE_COLS = ("tax_code_1", "tax_code_2", "tax_code_3")
 ROLES = ("Primary", "Secondary", "Tertiary")
 NAME_COLS = ("npi", "last_name", "first_name", "middle_name", "postal_code")
+ADDRESS_COLS = ("address", "city", "state")  # kept when the registry has them
 TAXONOMY_TEXT_COLS = tuple(f"{r}_{k}" for r in ROLES for k in ("Classification", "Specialization"))
 PROVIDER_BLOCK = NAME_COLS + TAXONOMY_TEXT_COLS
 
 
+def provider_block(df: DataFrame) -> list[str]:
+    """npi, names, [address, city, state,] postal code, taxonomy texts."""
+    present = [c for c in ADDRESS_COLS if c in df.columns]
+    return list(NAME_COLS[:4]) + present + ["postal_code"] + list(TAXONOMY_TEXT_COLS)
+
+
 def registry_select(providers: DataFrame) -> DataFrame:
     """Keep and rename the registry columns the profile needs."""
     return providers.select(
         F.col("NPI").cast("bigint").alias("npi"),
         F.col("last_name_legal").alias("last_name"),
         "first_name", "middle_name",
+        *[F.col(c).cast("string").alias(c) for c in ADDRESS_COLS if c in providers.columns],
         F.col("postal_code").cast("string").alias("postal_code"),
         *[F.col(c).cast("string").alias(c) for c in CODE_COLS],
     )
@@ -70,4 +78,5 @@ def registry_filtered(providers: DataFrame, taxonomy: DataFrame, sel: Selections
     """Filter on codes first (cheap, pushes to the scan), then enrich; the code
     columns are dropped from the result."""
     reg = taxonomy_code_filter(registry_select(providers), sel)
-    return taxonomy_enrich(reg, taxonomy, sel).select(*PROVIDER_BLOCK)
+    enriched = taxonomy_enrich(reg, taxonomy, sel)
+    return enriched.select(*provider_block(enriched))

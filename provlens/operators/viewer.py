@@ -17,7 +17,7 @@ from provlens.functions.normalise import sql_ident
 from provlens.functions.text import format_postal
 from provlens.operators.affiliations import affiliation_block
 from provlens.operators.engagement import CLAIM_MEASURES, Measure, measures_frame
-from provlens.operators.registry import PROVIDER_BLOCK
+from provlens.operators.registry import provider_block
 from provlens.plans.position import with_position
 
 ALL = "All"
@@ -38,7 +38,7 @@ def _q(name: str):
 def view_filtered(profile: DataFrame, measures: Sequence[Measure], drugs: Iterable[str],
                   k: int = 4) -> DataFrame:
     """npi as text, provider and affiliation blocks, measures of chosen drugs."""
-    desc = [c for c in list(PROVIDER_BLOCK[1:]) + list(affiliation_block(k)) if c in profile.columns]
+    desc = [c for c in provider_block(profile)[1:] + list(affiliation_block(k)) if c in profile.columns]
     chosen = chosen_measures(measures, drugs)
     return profile.select(F.col("npi").cast("string").alias("npi"), *desc,
                           *[_q(m.name) for m in chosen])
@@ -64,7 +64,7 @@ def ranked_view(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[st
 
 def view_display(ranked: DataFrame, k: int = 4) -> DataFrame:
     """Display form: postal code formatted; empty descriptive cells as ''."""
-    blanks = [c for c in list(PROVIDER_BLOCK[1:]) + list(affiliation_block(k)) if c in ranked.columns]
+    blanks = [c for c in provider_block(ranked)[1:] + list(affiliation_block(k)) if c in ranked.columns]
     out = []
     for c in ranked.columns:
         if c == "postal_code":

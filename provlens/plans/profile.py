@@ -29,6 +29,7 @@ from provlens.functions.normalise import sql_ident
 from provlens.operators import affiliations as A
 from provlens.operators import engagement as E
 from provlens.operators import registry as R
+from provlens.operators.quality import observe_rows
 from provlens.sources.selections import Selections
 
 TOTAL = "total"
@@ -75,18 +76,30 @@ def provider_base(src, sel: Selections, opts: ProfileOptions = ProfileOptions())
 
 
 def profile(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
-            keep_total: bool = False) -> DataFrame:
-    """Provider block, affiliation block, measure columns."""
+            keep_total: bool = False, shapes: dict | None = None) -> DataFrame:
+    """Provider block, affiliation block, measure columns.
+
+    With a ``shapes`` dict, the row counts of the stages (``engaged`` providers
+    after the activity filter, ``base`` providers, ``result``) are recorded as
+    observations of the one job that runs the plan: read them with
+    ``shapes[name].get`` after the action.
+    """
     measures = measures_for(sel, opts)
     wide = engagement_wide(src, sel, opts, keep_total=True)
     base = provider_base(src, sel, opts)
-    cols = list(R.PROVIDER_BLOCK)
+    if shapes is not None:
+        wide, shapes["engaged"] = observe_rows(wide, "engaged")
+        base, shapes["base"] = observe_rows(base, "base")
+    cols = R.provider_block(base)
     if opts.with_affiliations:
         cols += list(A.affiliation_block(opts.top_k))
     cols += [F.col(sql_ident(m.name)) for m in measures]
     if keep_total:
         cols.append(TOTAL)
-    return base.join(wide, "npi", "inner").select(*cols)
+    out = base.join(wide, "npi", "inner").select(*cols)
+    if shapes is not None:
+        out, shapes["result"] = observe_rows(out, "result")
+    return out
 
 
 def profile_staged(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
@@ -107,6 +120,6 @@ def profile_staged(src, sel: Selections, opts: ProfileOptions = ProfileOptions()
     phase1 = csv_roundtrip(reg.join(wide, "npi", "inner"), "phase-1")
     phase1.count()
     aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k)
-    cols = list(R.PROVIDER_BLOCK) + list(A.affiliation_block(opts.top_k)) + \
+    cols = R.provider_block(phase1) + list(A.affiliation_block(opts.top_k)) + \
         [F.col(sql_ident(m.name)) for m in measures]
     return phase1.join(aff, "npi", opts.affiliation_join).where(F.col(TOTAL) > 0).select(*cols)

@@ -125,6 +125,24 @@ class Selections:
         return cls.from_raw(rd("part_b"), rd("part_d"), rd("drugs"), rd("taxonomy"),
                             rd("category_map"), dedupe_interest)
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, paths: dict, fmt: str = "csv",
+                   dedupe_interest: bool = False) -> "Selections":
+        """Selection tables from CSV (header) or JSON-lines files, one per key
+        of ``SCHEMAS``; a missing ``part_b`` / ``part_d`` means "not selected"."""
+        def rd(key):
+            if key not in paths:
+                if key in ("part_b", "part_d"):
+                    return None
+                return spark.createDataFrame([], SCHEMAS[key])
+            if fmt == "csv":  # text columns by header name, then the declared ones
+                raw = spark.read.option("header", True).csv(paths[key])
+                names = [c.split()[0] for c in SCHEMAS[key].split(", ")]
+                return raw.select(*[F.col(c).cast("string") for c in names])
+            return spark.read.schema(SCHEMAS[key]).json(paths[key])
+        return cls.from_raw(rd("part_b"), rd("part_d"), rd("drugs"), rd("taxonomy"),
+                            rd("category_map"), dedupe_interest)
+
     # ---- one survey job: sizes for broadcast decisions + pivot names ------
 
     def survey(self) -> dict[str, tuple[int, list[str]]]:

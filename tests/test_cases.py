@@ -162,3 +162,52 @@ def test_selections_save_and_load(spark, tmp_path):
     assert back.part_d is None
     assert rows(stack_selections(back), "kind", "key", "value") == rows(stack_selections(sel), "kind", "key", "value")
     assert back.categories() == ["EDU", "OTHERS_GENERAL"]
+
+
+def test_public_files_with_published_headers(spark, tmp_path):
+    from provlens.sources.public_files import PublicFiles
+    d = tmp_path
+    (d / "b.csv").write_text("Rndrng_NPI,Extra,HCPCS_Cd,HCPCS_Desc,Tot_Benes,Tot_Srvcs\n1,x,P1,desc,3,2.5\n")
+    (d / "d.csv").write_text("Prscrbr_NPI,Brnd_Name,Gnrc_Name,Tot_Clms,Tot_Benes\n1,Humira,ada,4,\n")
+    (d / "p.csv").write_text(
+        "Covered_Recipient_NPI,Total_Amount_of_Payment_USDollars,Date_of_Payment,"
+        "Number_of_Payments_Included_in_Total_Amount,Form_of_Payment_or_Transfer_of_Value,"
+        "Nature_of_Payment_or_Transfer_of_Value,Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1\n"
+        "1,10.9,01/02/2023,1,Cash,Education,Humira\n")
+    (d / "n.csv").write_text(
+        '"NPI","Provider Last Name (Legal Name)","Provider First Name","Provider Middle Name",'
+        '"Provider First Line Business Mailing Address","Provider Business Mailing Address City Name",'
+        '"Provider Business Mailing Address State Name","Provider Business Mailing Address Postal Code",'
+        '"Healthcare Provider Taxonomy Code_1","Healthcare Provider Taxonomy Code_2",'
+        '"Healthcare Provider Taxonomy Code_3"\n'
+        '"1","DOE","JANE","","1 MAIN ST","TOWN","ST","021381234","207R00000X","",""\n')
+    (d / "t.csv").write_text("Code,Grouping,Classification,Specialization\n207R00000X,G,Internal Medicine,\n")
+    (d / "a.csv").write_text("NPI,Facility Name,org_pac_id\n1,General Hospital,123.0\n")
+    src = PublicFiles(spark, {"part_b": str(d / "b.csv"), "part_d": str(d / "d.csv"),
+                              "payments": str(d / "p.csv"), "providers": str(d / "n.csv"),
+                              "taxonomy": str(d / "t.csv"), "affiliations": str(d / "a.csv")})
+    sel = Selections.from_rows(spark, part_b=[("P1", "humira")], part_d=[("humira", "ada", "humira")],
+                               drugs=["Humira"], taxonomy=["207R00000X"],
+                               category_map=[("Education", "EDUCATION")])
+    shapes: dict = {}
+    out = PR.profile(src, sel, shapes=shapes).collect()
+    assert len(out) == 1
+    r = out[0].asDict()
+    assert (r["npi"], r["address"], r["postal_code"], r["Primary_Classification"]) == \
+        (1, "1 MAIN ST", "021381234", "Internal Medicine")
+    assert (r["HUMIRA_EDUCATION"], r["HUMIRA_Claims"], r["HUMIRA_Patients"]) == (10, 2 + 4, 3)
+    assert (r["Facility_Name_1"], r["Org_pac_id_1"]) == ("General Hospital", 123)
+    assert shapes["result"].get["n_rows"] == 1 and shapes["base"].get["n_rows"] == 1
+    disp = V.view_display(V.ranked_view(V.view_filtered(PR.profile(src, sel), PR.measures_for(sel), ["All"]),
+                                        PR.measures_for(sel), ["All"])).collect()[0]
+    assert disp["postal_code"] == "02138-1234" and disp["middle_name"] == "" and disp["city"] == "TOWN"
+
+
+def test_selections_from_csv_files(spark, tmp_path):
+    (tmp_path / "drugs.csv").write_text("Drug_Name\n humira \n\nKEYTRUDA\n")
+    (tmp_path / "map.csv").write_text("Original,Renamed\nEducation,EDUCATION\nGift,\n")
+    sel = Selections.from_files(spark, {"drugs": str(tmp_path / "drugs.csv"),
+                                        "category_map": str(tmp_path / "map.csv")})
+    assert sel.part_b is None and sel.payment_drugs() == ["HUMIRA", "KEYTRUDA"]
+    assert sel.categories() == ["EDUCATION", "OTHERS_GENERAL"]
+    assert sel.taxonomy.count() == 0
