@@ -76,24 +76,43 @@ def engagement_long(part_b: DataFrame | None, part_d: DataFrame | None, payments
     return out
 
 
+# Above this many measure columns the pivot switches to Spark's two-phase
+# pivot (hash aggregate by (npi, name), then PivotFirst): O(1) work per fact
+# row instead of one comparison per column, at the price of a second, much
+# smaller shuffle of the (npi, name) aggregates.
+NARROW_PIVOT_MAX = 64
+
+
 def pivot_wide(long: DataFrame, measures: Sequence[Measure], total: str | None = None,
-               key: str = "npi") -> DataFrame:
+               key: str = "npi", strategy: str = "auto") -> DataFrame:
     """One row per key, one zero-filled column per measure.
 
     Rows of ``long`` outside the measure list are ignored (also by the total).
+    ``strategy``: ``conditional`` (one groupBy, one shuffle, a conditional sum
+    per column), ``two_phase`` (native pivot) or ``auto`` (by width).
     """
     name = F.concat_ws("_", F.col("drug"), F.col("measure"))
     wanted = [m.name for m in measures]
-    df = long.select(key, name.alias("_name"), "amount").where(F.col("_name").isin(*wanted)) \
-        if wanted else long.select(key, name.alias("_name"), "amount").where(F.lit(False))
+    df = long.select(key, name.alias("_name"), "amount")
+    df = df.where(F.col("_name").isin(*wanted)) if wanted else df.where(F.lit(False))
+    if not wanted and not total:
+        return df.select(key).distinct()
+    if strategy == "auto":
+        strategy = "conditional" if len(wanted) <= NARROW_PIVOT_MAX else "two_phase"
     zero = F.lit(0).cast("bigint")
-    aggs = []
+    if strategy == "conditional":
+        aggs = [F.coalesce(F.sum("amount"), zero).alias(total)] if total else []
+        aggs += [conditional_sum("_name", m.name, "amount", m.name) for m in measures]
+        return df.groupBy(key).agg(*aggs)
+    piv = df.groupBy(key).pivot("_name", wanted).agg(F.sum("amount"))
+    cells = [F.coalesce(F.col(sql_ident(n)), zero).alias(n) for n in wanted]
+    out = piv.select(key, *cells)
     if total:
-        aggs.append(F.coalesce(F.sum("amount"), zero).alias(total))
-    aggs += [conditional_sum("_name", m.name, "amount", m.name) for m in measures]
-    if not aggs:
-        return df.select(key).distinct()
-    return df.groupBy(key).agg(*aggs)
+        # a fold over the cells, not c1 + c2 + ..., which Catalyst would expand
+        items = ", ".join(sql_ident(n) for n in wanted)
+        out = out.select(key, F.expr(f"aggregate(array({items}), 0L, (a, x) -> a + x)").alias(total),
+                         *[F.col(sql_ident(n)) for n in wanted])
+    return out
 
 
 def activity_totals(long: DataFrame, measures: Sequence[Measure] | None = None) -> DataFrame:

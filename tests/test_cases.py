@@ -211,3 +211,14 @@ def test_selections_from_csv_files(spark, tmp_path):
     assert sel.part_b is None and sel.payment_drugs() == ["HUMIRA", "KEYTRUDA"]
     assert sel.categories() == ["EDUCATION", "OTHERS_GENERAL"]
     assert sel.taxonomy.count() == 0
+
+
+def test_two_phase_pivot_with_separator_names(spark, make_src):
+    names = ["A_B", "A.B", "A (X)"]
+    src = make_src(payments=[pay(1, 2.0, "Education", n) for n in names] + [pay(2, 1.0, "Gift", "A.B")])
+    sel = Selections.from_rows(spark, drugs=names, category_map=[("Education", "EDUCATION")])
+    ms = E.payment_measures(sel)
+    long = P.payments_long(P.payments_mapped(src.payments, sel))
+    a = E.pivot_wide(long, ms, total="total", strategy="conditional")
+    b = E.pivot_wide(long, ms, total="total", strategy="two_phase")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*[F.col(f"`{c}`") for c in a.columns]).collect()))

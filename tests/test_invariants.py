@@ -73,3 +73,12 @@ def test_history_positions_restart_per_user(ctx):
                                             F.countDistinct("position").alias("d"))
     for r in per_user.collect():
         assert (r["lo"], r["hi"], r["d"]) == (1, r["n"], r["n"])
+
+
+def test_pivot_strategies_agree(ctx):
+    i, sel, ms = ctx
+    long = PR.engagement_for(i, sel)
+    a = E.pivot_wide(long, ms, total="total", strategy="conditional")
+    b = E.pivot_wide(long, ms, total="total", strategy="two_phase").select(*a.columns)
+    assert a.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
