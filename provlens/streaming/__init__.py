@@ -1,0 +1,9 @@
+"""Streaming: nothing here on purpose.
+
+The reference has no streaming sources, watermarks, windows or stateful
+operators; its inputs are yearly file editions processed in batch. The long
+engagement table is a plain sum by (npi, drug, measure), so a later
+incremental form would be a Structured Streaming aggregation over new files
+with ``Trigger.AvailableNow``; it is not built because the reference does not
+do it.
+"""

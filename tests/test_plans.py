@@ -51,3 +51,11 @@ def test_scans_prune_columns(spark):
     # lineitem is read with only the columns the adapters use
     reads = [ln for ln in plan.splitlines() if "ReadSchema: struct<l_orderkey" in ln]
     assert reads and all("l_extendedprice" not in ln for ln in reads)
+
+
+def test_pivot_aggregates_before_the_shuffle(spark):
+    i = Inputs(spark, SF_SMALL)
+    plan = explain(PR.engagement_wide(i, Selections.from_inputs(i)))
+    # map-side partial aggregation, then one exchange on npi, then the final sums
+    assert "partial_sum" in plan
+    assert plan.count("Arguments: hashpartitioning(npi") == 1
