@@ -6,8 +6,9 @@ single task. Instead:
 1. range-partition on the order keys and sort within partitions
    (a distributed sort);
 2. tag each row with its partition id and its id inside the partition,
-   then ``checkpoint()`` to the shared folder so the tags are stable even if
-   an executor is lost and a partition is recomputed;
+   and write the tagged rows once to the shared folder (``materialise``:
+   Parquet under ``spark.checkpoint.dir``), so the tags are fixed even if an
+   executor is lost later and work is recomputed;
 3. count rows per partition (one row per partition), turn the counts into
    offsets with a window over that tiny table, broadcast it (its size is the
    partition count) and add the offset to each row's id.
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlens.session import checkpoint_root
+from provlens.sources.files import materialise
 
 ROW_ID_BITS = 33  # monotonically_increasing_id = partition << 33 | row
 
@@ -32,13 +33,11 @@ ROW_ID_BITS = 33  # monotonically_increasing_id = partition << 33 | row
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "position",
                   within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_root(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in within] + list(order)
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_rid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = materialise(ranged.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_rid", F.monotonically_increasing_id()), "position")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
