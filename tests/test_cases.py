@@ -222,3 +222,35 @@ def test_two_phase_pivot_with_separator_names(spark, make_src):
     a = E.pivot_wide(long, ms, total="total", strategy="conditional")
     b = E.pivot_wide(long, ms, total="total", strategy="two_phase")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*[F.col(f"`{c}`") for c in a.columns]).collect()))
+
+
+def test_empty_drug_choice_gives_empty_view(spark, make_src):
+    src = _profile_src(make_src)
+    sel = _sel(spark)
+    prof = PR.profile(src, sel)
+    ranked = V.ranked_view(V.view_filtered(prof, PR.measures_for(sel), []), PR.measures_for(sel), [])
+    assert ranked.count() == 0
+
+
+def test_wide_profile_builds_quickly_and_is_exact(spark, make_src):
+    import time
+    drugs = [f"D{i}" for i in range(40)]
+    cats = [(f"n{j}", f"C{j}") for j in range(4)]
+    pays = [pay(npi, float(npi + k), f"n{k % 5}", drugs[(npi * 7 + k) % 40])
+            for npi in range(1, 30) for k in range(12)]
+    src = make_src(payments=pays, providers=[provider(n) for n in range(1, 30)],
+                   taxonomy=[("1", "Class1", "Spec1")],
+                   affiliations=[(n, f"Fac{n}", float(n)) for n in range(1, 30)])
+    sel = Selections.from_rows(spark, drugs=drugs, taxonomy=[], category_map=cats)
+    t0 = time.time()
+    prof = PR.profile(src, sel, PR.ProfileOptions(part_b=False, part_d=False), keep_total=True)
+    assert time.time() - t0 < 60  # wide plans must not blow up planning
+    ms = PR.measures_for(sel)
+    assert len(ms) == 40 * 5 and len(prof.columns) == 11 + 8 + 200 + 1
+    got = {r["npi"]: r["total"] for r in prof.select("npi", "total").collect()}
+    want = {}
+    for npi, amount, _, _, _ in pays:
+        want[npi] = want.get(npi, 0) + int(amount)
+    assert got == want
+    cell = prof.where("npi = 3").select("`D21_C0`").first()[0]
+    assert cell == sum(int(a) for n, a, _, na, d in pays if n == 3 and d == "D21" and na == "n0")
