@@ -59,8 +59,13 @@ def main() -> None:
     keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
     # one shuffle partition per core at bench scale; AQE coalesces further
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="provlens-bench")
+    errors: dict[str, str] = {}
     for key in keys:  # warm-up pass over every query first (JIT, file caches)
-        run_once(spark, key, sf_dir)
+        try:
+            run_once(spark, key, sf_dir)
+        except Exception as exc:  # a failing query is reported, not fatal
+            errors[key] = str(exc).splitlines()[0][:200]
+    keys = [k for k in keys if k not in errors]
     samples: dict[str, list[tuple[float, int]]] = {k: [] for k in keys}
     for _ in range(runs):  # round-robin, so no query is measured cold
         for key in keys:
@@ -79,6 +84,7 @@ def main() -> None:
         "queries": per_query,
         "jobs": jobs,
         "profile_wide_reference_shape_sec": staged,
+        "errors": errors,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "runs": runs,

@@ -254,3 +254,22 @@ def test_wide_profile_builds_quickly_and_is_exact(spark, make_src):
     assert got == want
     cell = prof.where("npi = 3").select("`D21_C0`").first()[0]
     assert cell == sum(int(a) for n, a, _, na, d in pays if n == 3 and d == "D21" and na == "n0")
+
+
+def test_csv_bad_records_and_schema_suggestion(spark, tmp_path):
+    from provlens.sources.files import read_csv, suggest_schema
+    (tmp_path / "t.csv").write_text("Code,Classification,Specialization\n1,A,B\n2,C\n3,D,E,F,G\n")
+    df = read_csv(spark, str(tmp_path / "t.csv"),
+                  "Code int, Classification string, Specialization string, _bad string", bad_records_column="_bad")
+    got = sorted((r["Code"], r["_bad"] is not None) for r in df.collect())
+    assert got == [(1, False), (2, True), (3, True)]
+    sch = suggest_schema(spark, str(tmp_path / "t.csv"), sampling_ratio=1.0)
+    assert [f.name for f in sch.fields] == ["Code", "Classification", "Specialization"]
+
+
+def test_catalog_document_form(spark, tmp_path):
+    from provlens.sources.files import read_catalog_document
+    (tmp_path / "c.json").write_text('{"drugs": [{"Brnd_Name": "A", "Gnrc_Name": "a"},\n'
+                                     ' {"Brnd_Name": "B", "Gnrc_Name": null}]}')
+    df = read_catalog_document(spark, str(tmp_path / "c.json"), "drugs", "Brnd_Name string, Gnrc_Name string")
+    assert rows(df, "Brnd_Name", "Gnrc_Name") == [("A", "a"), ("B", None)]
