@@ -6,14 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from provlens.operators import affiliations as A
+from provlens.operators import catalog as CT
 from provlens.operators import claims as C
 from provlens.operators import engagement as E
 from provlens.operators import payments as P
+from provlens.operators import quality as QL
 from provlens.operators import registry as R
+from provlens.operators import runs as RN
+from provlens.operators import viewer as V
 from provlens.plans import profile as PR
+from provlens.sources import files as FS
 from provlens.sources.selections import Selections, stack_selections
 from provlens.sources.tables import Inputs
 
@@ -243,11 +247,6 @@ def q_wide_to_long(spark, sf_dir):
 
 # ---- files -----------------------------------------------------------------
 
-from provlens.sources import files as FS  # noqa: E402
-from provlens.operators import catalog as CT  # noqa: E402
-from provlens.operators import quality as QL  # noqa: E402
-from provlens.operators import runs as RN  # noqa: E402
-from provlens.operators import viewer as V  # noqa: E402
 
 VIEW_DRUGS = ("BRAND#2", "BRAND#3")
 CATALOG_QUERY = "widget"
