@@ -8,10 +8,13 @@ selection survey job is part of the query. Prints one JSON line.
 
 from __future__ import annotations
 
+import glob
+import io
 import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -28,7 +31,7 @@ HEADLINE = (
 )
 
 
-def run_once(spark, key: str, sf_dir: str) -> tuple[float, int]:
+def run_once(spark, key: str, sf_dir: str) -> tuple[float, int, str]:
     sc = spark.sparkContext
     group = f"bench-{key}-{time.time_ns()}"
     sc.setJobGroup(group, key)
@@ -37,7 +40,34 @@ def run_once(spark, key: str, sf_dir: str) -> tuple[float, int]:
     dt = time.perf_counter() - t0
     jobs = len(sc.statusTracker().getJobIdsForGroup(group))
     sc.setLocalProperty("spark.jobGroup.id", None)
-    return dt, jobs
+    return dt, jobs, group
+
+
+def shuffle_bytes_by_group(log_dir: str) -> dict[str, int]:
+    """Shuffle bytes written per job group, read from Spark's event log."""
+    stage_group: dict[int, str] = {}
+    written: dict[str, int] = {}
+    for path in glob.glob(f"{log_dir}/**/events*", recursive=True):
+        raw = open(path, "rb").read()
+        if path.endswith(".zstd"):
+            import zstandard
+            raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read()
+        for line in raw.decode("utf-8", "replace").splitlines():
+            try:
+                ev = json.loads(line)
+            except ValueError:
+                continue
+            kind = ev.get("Event")
+            if kind == "SparkListenerJobStart":
+                g = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                for sid in ev.get("Stage IDs", []):
+                    stage_group[sid] = g
+            elif kind == "SparkListenerTaskEnd":
+                g = stage_group.get(ev.get("Stage ID"))
+                m = (ev.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                if g:
+                    written[g] = written.get(g, 0) + int(m.get("Shuffle Bytes Written", 0))
+    return written
 
 
 def staged_once(spark, sf_dir: str) -> float:
@@ -58,6 +88,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
     # one shuffle partition per core at bench scale; AQE coalesces further
+    log_dir = tempfile.mkdtemp(prefix="provlens-bench-events-")
+    os.environ.setdefault("PROVLENS_EVENT_LOG_DIR", log_dir)
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="provlens-bench")
     errors: dict[str, str] = {}
     for key in keys:  # warm-up pass over every query first (JIT, file caches)
@@ -66,7 +98,7 @@ def main() -> None:
         except Exception as exc:  # a failing query is reported, not fatal
             errors[key] = str(exc).splitlines()[0][:200]
     keys = [k for k in keys if k not in errors]
-    samples: dict[str, list[tuple[float, int]]] = {k: [] for k in keys}
+    samples: dict[str, list[tuple[float, int, str]]] = {k: [] for k in keys}
     for _ in range(runs):  # round-robin, so no query is measured cold
         for key in keys:
             samples[key].append(run_once(spark, key, sf_dir))
@@ -77,19 +109,22 @@ def main() -> None:
         staged_once(spark, sf_dir)
         staged = round(statistics.median(staged_once(spark, sf_dir) for _ in range(runs)), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
+    spark.stop()  # flushes the event log
+    by_group = shuffle_bytes_by_group(os.environ["PROVLENS_EVENT_LOG_DIR"])
+    shuffle = {k: by_group.get(v[-1][2], 0) for k, v in samples.items()}
     print(json.dumps({
         "metric": "sum_of_median_query_seconds",
         "value": round(sum(per_query.values()), 3),
         "unit": "sec",
         "queries": per_query,
         "jobs": jobs,
+        "shuffle_bytes": shuffle,
         "profile_wide_reference_shape_sec": staged,
         "errors": errors,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "runs": runs,
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":

@@ -27,6 +27,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PROVLENS_DRIVER_MEMORY", "8g"))
     )
+    log_dir = os.environ.get("PROVLENS_EVENT_LOG_DIR")
+    if log_dir:  # stage/task metrics for the bench, written to a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
