@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 # Largest row count we broadcast. A selection row is a few short strings, so
 # this stays far below the broadcast size limits.
 BROADCAST_MAX_ROWS = 200_000
+# ... and largest data size (bytes of the values, before any overhead).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 # Widest pivot we build (same value as Spark's own spark.sql.pivotMaxValues).
 MAX_PIVOT_VALUES = 10_000

@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from provlens.functions.normalise import blank_to_null, lower_key, upper_key
-from provlens.plans.bounded import (BROADCAST_MAX_ROWS, MAX_PIVOT_VALUES,
-                                    collect_bounded)
+from provlens.plans.bounded import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS,
+                                    MAX_PIVOT_VALUES, collect_bounded)
 
 DEFAULT_CATEGORY = "OTHERS_GENERAL"
 
@@ -35,6 +36,16 @@ SCHEMAS = {
 }
 
 
+def _row_bytes(df: DataFrame):
+    """Data size of a row: bytes of its text columns, 8 per other value."""
+    parts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, StringType)
+             else F.lit(8) for f in df.schema.fields]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out.cast("bigint")
+
+
 def norm_part_b(raw: DataFrame) -> DataFrame:
     return (raw.select(blank_to_null("HCPCS_Cd").alias("code"), upper_key("BRAND").alias("drug"))
             .where(F.col("code").isNotNull() & F.col("drug").isNotNull()))
@@ -162,18 +173,22 @@ class Selections:
             for kind, df in self._tables().items():
                 vc = value_cols.get(kind)
                 v = F.col(vc) if vc else F.lit(None).cast("string")
-                parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value")))
+                parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value"),
+                                       _row_bytes(df).alias("bytes")))
             u = parts[0]
             for p in parts[1:]:
                 u = u.unionByName(p)
             limit = 4 * MAX_PIVOT_VALUES + len(parts)
-            rows = collect_bounded(u.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")),
-                                   limit, "selection values")
+            stats = u.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+            rows = collect_bounded(stats, limit, "selection values")
             out: dict[str, tuple[int, list[str]]] = {k: (0, []) for k in self._tables()}
+            size: dict[str, int] = {k: 0 for k in self._tables()}
             for r in rows:
                 n, vals = out[r["kind"]]
                 out[r["kind"]] = (n + r["n"], vals + ([r["value"]] if r["value"] is not None else []))
+                size[r["kind"]] += int(r["b"] or 0)
             self._small["_survey"] = out
+            self._small["_bytes"] = size
         return self._small["_survey"]
 
     def _tables(self) -> dict[str, DataFrame]:
@@ -186,10 +201,16 @@ class Selections:
         return t
 
     def small(self, name: str) -> DataFrame:
-        """The table, with a broadcast hint only if the survey found it small."""
+        """The table, with a broadcast hint only if the survey measured it
+        within both the row and the byte limit; otherwise a shuffle join."""
         df = self._tables()[name]
         n, _ = self.survey()[name]
-        return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
+        nbytes = self._small["_bytes"][name]
+        return F.broadcast(df) if n <= BROADCAST_MAX_ROWS and nbytes <= BROADCAST_MAX_BYTES else df
+
+    def measured(self, name: str) -> tuple[int, int]:
+        """(rows, bytes) of a table as measured by the survey."""
+        return self.survey()[name][0], self._small["_bytes"][name]
 
     # ---- pivot names (from the survey) ---------------------------------
 

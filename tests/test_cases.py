@@ -273,3 +273,14 @@ def test_catalog_document_form(spark, tmp_path):
                                      ' {"Brnd_Name": "B", "Gnrc_Name": null}]}')
     df = read_catalog_document(spark, str(tmp_path / "c.json"), "drugs", "Brnd_Name string, Gnrc_Name string")
     assert rows(df, "Brnd_Name", "Gnrc_Name") == [("A", "a"), ("B", None)]
+
+
+def test_broadcast_needs_both_row_and_byte_bounds(spark, monkeypatch):
+    import provlens.sources.selections as S
+    sel = Selections.from_rows(spark, drugs=["a", "b"], category_map=[("x", "Y")])
+    assert sel.measured("drugs") == (2, 2)
+    from tests.test_plans import explain
+    assert "strategy=broadcast" in explain(sel.small("drugs").join(sel.drugs, "drug"), "extended")
+    monkeypatch.setattr(S, "BROADCAST_MAX_BYTES", 1)
+    sel2 = Selections.from_rows(spark, drugs=["a", "b"], category_map=[("x", "Y")])
+    assert "strategy=broadcast" not in explain(sel2.small("drugs").join(sel2.drugs, "drug"), "extended")

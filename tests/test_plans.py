@@ -12,10 +12,10 @@ from provlens.sources.tables import Inputs
 from tests.conftest import SF_SMALL
 
 
-def explain(df) -> str:
+def explain(df, mode: str = "formatted") -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
+        df.explain(mode)
     return buf.getvalue()
 
 
