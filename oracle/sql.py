@@ -485,3 +485,6 @@ oracle("non_numeric_report", " UNION ALL ".join(
     f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, CAST(count(*) FILTER (WHERE {c} IS NOT NULL "
     f"AND TRY_CAST({c} AS DOUBLE) IS NULL) AS BIGINT) AS n FROM {t}"
     for t, cols in TEXT_COLUMNS.items() for c in cols), "providers", "taxonomy")
+
+oracle("json_records", "SELECT to_json(struct_pack(HCPCS_Cd := HCPCS_Cd, HCPCS_Desc := HCPCS_Desc)) AS json "
+       "FROM cat_proc", "cat_proc")

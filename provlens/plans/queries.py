@@ -429,5 +429,13 @@ def q_non_numeric_report(spark, sf_dir):
 
 @query("json_records")
 def q_json_records(spark, sf_dir):
+    """Catalogue rows as JSON objects (what the catalogue refresh emits)."""
+    i, _ = _ctx(spark, sf_dir)
+    return QL.json_records(CT.catalog_procedures(i.part_b))
+
+
+@query("json_ledger_records")
+def q_json_ledger_records(spark, sf_dir):
+    """Run-ledger rows as JSON (timestamps in Spark's JSON form: rows-only check)."""
     i, _ = _ctx(spark, sf_dir)
     return QL.json_records(RN.run_ledger(i.runs_submitted, i.runs_finished))

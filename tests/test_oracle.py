@@ -27,7 +27,7 @@ def duck(request):
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     missing = set(KEYS) - set(E.oracle_sql())
-    assert missing == {"json_records"}
+    assert missing == {"json_ledger_records"}
 
 
 @pytest.mark.parametrize("key", KEYS)
