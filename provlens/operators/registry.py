@@ -34,20 +34,34 @@ def registry_select(providers: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy_code_filter(registry: DataFrame, sel: Selections) -> DataFrame:
+def taxonomy_code_filter(registry: DataFrame, sel: Selections, large: bool | None = None) -> DataFrame:
     """Keep providers with any of their three codes in the selection; an empty
     selection keeps everyone.
 
-    Written as correlated EXISTS subqueries: Catalyst turns the OR of three
-    EXISTS into existence joins against the (small) selection and the empty
-    check into one uncorrelated scalar, so no code list is collected to the
-    driver and nothing is exploded.
+    Small selection (the survey's row and byte limits): correlated EXISTS
+    subqueries against a broadcast of the distinct codes. Catalyst turns the
+    OR of three EXISTS into broadcast existence joins (no shuffle of the
+    registry) and the empty check into one scalar. No code list reaches the
+    driver.
+
+    Large selection: the three codes are stacked into (npi, code) rows and
+    joined with the codes (one shuffle on code); the matching npis (distinct,
+    partial aggregation first) then filter the registry with a left-semi join
+    on npi, whose partitioning the later joins on npi reuse. A non-empty large
+    selection needs no empty check.
     """
     codes = sel.taxonomy.select("code").distinct()
-    cond = F.lit(False)
-    for c in CODE_COLS:
-        cond = cond | codes.where(F.col("code") == F.col(c).outer()).exists()
-    return registry.where(cond | ~codes.exists())
+    if large is None:
+        large = "taxonomy" in sel.survey() and sel.small("taxonomy") is sel.taxonomy
+    if not large:
+        small = F.broadcast(codes)
+        cond = F.lit(False)
+        for c in CODE_COLS:
+            cond = cond | small.where(F.col("code") == F.col(c).outer()).exists()
+        return registry.where(cond | ~small.exists())
+    stacked = registry.select("npi", F.explode(F.array(*[F.col(c) for c in CODE_COLS])).alias("code"))
+    matched = stacked.join(codes, "code", "inner").select("npi").distinct()
+    return registry.join(matched, "npi", "left_semi")
 
 
 def _small_taxonomy(taxonomy: DataFrame, sel: Selections | None) -> DataFrame:

@@ -284,3 +284,18 @@ def test_broadcast_needs_both_row_and_byte_bounds(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_MAX_BYTES", 1)
     sel2 = Selections.from_rows(spark, drugs=["a", "b"], category_map=[("x", "Y")])
     assert "strategy=broadcast" not in explain(sel2.small("drugs").join(sel2.drugs, "drug"), "extended")
+
+
+def test_taxonomy_filter_small_and_large_paths_agree(spark):
+    from provlens.sources.tables import Inputs
+    from tests.conftest import SF_SMALL
+    i = Inputs(spark, SF_SMALL)
+    sel = Selections.from_inputs(i)
+    reg = R.registry_select(i.providers)
+    small = R.taxonomy_code_filter(reg, sel, large=False)
+    large = R.taxonomy_code_filter(reg, sel, large=True)
+    assert small.count() > 0
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    from tests.test_plans import explain
+    plan = explain(large)
+    assert "Generate" in plan and "explode" in plan and "LeftSemi" in plan
