@@ -67,11 +67,13 @@ def engagement_wide(src, sel: Selections, opts: ProfileOptions = ProfileOptions(
     return wide if keep_total else wide.drop(TOTAL)
 
 
-def provider_base(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
+def provider_base(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
+                  aff: DataFrame | None = None) -> DataFrame:
     reg = R.registry_filtered(src.providers, src.taxonomy, sel)
     if not opts.with_affiliations:
         return reg
-    aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k)
+    if aff is None:
+        aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k)
     return reg.join(aff, "npi", opts.affiliation_join)
 
 
@@ -84,9 +86,14 @@ def profile(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
     observations of the one job that runs the plan: read them with
     ``shapes[name].get`` after the action.
     """
+    sel.prefetch()  # the survey job runs while the survey-free parts are built
+    aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k) \
+        if opts.with_affiliations else None
+    for name in ("part_b", "part_d", "payments", "providers", "taxonomy"):
+        getattr(src, name)
     measures = measures_for(sel, opts)
     wide = engagement_wide(src, sel, opts, keep_total=True)
-    base = provider_base(src, sel, opts)
+    base = provider_base(src, sel, opts, aff)
     if shapes is not None:
         wide, shapes["engaged"] = observe_rows(wide, "engaged")
         base, shapes["base"] = observe_rows(base, "base")

@@ -167,30 +167,51 @@ class Selections:
         building an unbounded pivot.
         """
         if "_survey" not in self._small:
-            parts = []
-            value_cols = {"part_b": "drug", "part_d": "drug", "drugs": "drug",
-                          "category_map": "renamed"}
-            for kind, df in self._tables().items():
-                vc = value_cols.get(kind)
-                v = F.col(vc) if vc else F.lit(None).cast("string")
-                parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value"),
-                                       _row_bytes(df).alias("bytes")))
-            u = parts[0]
-            for p in parts[1:]:
-                u = u.unionByName(p)
-            limit = 4 * MAX_PIVOT_VALUES + len(parts)
-            stats = u.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-            rows = collect_bounded(stats, limit, "selection values")
-            out: dict[str, tuple[int, list[str]]] = {k: (0, []) for k in self._tables()}
-            size: dict[str, int] = {k: 0 for k in self._tables()}
-            for r in rows:
-                n, vals = out[r["kind"]]
-                out[r["kind"]] = (n + r["n"], vals + ([r["value"]] if r["value"] is not None else []))
-                size[r["kind"]] += int(r["b"] or 0)
-            self._small["_survey"] = out
-            self._small["_bytes"] = size
+            future = self._small.get("_future")
+            if future is not None:
+                future.result()  # started by prefetch(); re-raises its error
+            else:
+                self._compute_survey()
         return self._small["_survey"]
 
+    def _compute_survey(self) -> None:
+        parts = []
+        value_cols = {"part_b": "drug", "part_d": "drug", "drugs": "drug",
+                      "category_map": "renamed"}
+        for kind, df in self._tables().items():
+            vc = value_cols.get(kind)
+            v = F.col(vc) if vc else F.lit(None).cast("string")
+            parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value"),
+                                   _row_bytes(df).alias("bytes")))
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        limit = 4 * MAX_PIVOT_VALUES + len(parts)
+        stats = u.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+        rows = collect_bounded(stats, limit, "selection values")
+        out: dict[str, tuple[int, list[str]]] = {k: (0, []) for k in self._tables()}
+        size: dict[str, int] = {k: 0 for k in self._tables()}
+        for r in rows:
+            n, vals = out[r["kind"]]
+            out[r["kind"]] = (n + r["n"], vals + ([r["value"]] if r["value"] is not None else []))
+            size[r["kind"]] += int(r["b"] or 0)
+        self._small["_bytes"] = size
+        self._small["_survey"] = out
+
+    def prefetch(self) -> None:
+        """Start the survey job in a background thread (Spark's thread-local
+        properties, e.g. the job group, are inherited) so the caller can
+        build the parts of a plan that do not depend on it meanwhile."""
+        if "_survey" in self._small or "_future" in self._small:
+            return
+        from concurrent.futures import ThreadPoolExecutor
+
+        from pyspark.util import inheritable_thread_target
+        pool = ThreadPoolExecutor(max_workers=1)
+        target = inheritable_thread_target(self.drugs.sparkSession)(self._compute_survey)
+        self._small["_future"] = pool.submit(target)
+        pool.shutdown(wait=False)
+
     def _tables(self) -> dict[str, DataFrame]:
         t = {"drugs": self.drugs, "taxonomy": self.taxonomy, "category_map": self.category_map}
         if self.part_b is not None:
