@@ -28,6 +28,20 @@ def parse_run_names(names: DataFrame, column: str = "name") -> DataFrame:
                         F.split_part(n, F.lit(NAME_SEP), F.lit(3)).alias("run_id"))
 
 
+def run_names_in_folder(spark, path: str) -> DataFrame:
+    """One row per file of a run folder, its file name in ``name``.
+
+    Run marker files are empty, and file sources skip empty files, so the
+    folder is listed through the session's Hadoop file system (any shared
+    file system URI); only the names become rows, as in any file listing.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(folder) if st.isFile()]
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
 def run_ledger(submitted: DataFrame, finished: DataFrame) -> DataFrame:
     """run_id, username, in_time, out_time (null while running): a left join
     of submissions with completions on the run id."""

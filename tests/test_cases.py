@@ -299,3 +299,11 @@ def test_taxonomy_filter_small_and_large_paths_agree(spark):
     from tests.test_plans import explain
     plan = explain(large)
     assert "Generate" in plan and "explode" in plan and "LeftSemi" in plan
+
+
+def test_run_names_from_a_folder(spark, tmp_path):
+    from provlens.operators import runs as RN
+    for name in ("alice_20241223065426_abc-1", "bob_20241223065427_def-2"):
+        (tmp_path / name).write_text("")
+    got = rows(RN.parse_run_names(RN.run_names_in_folder(spark, str(tmp_path))), "username", "ts_text", "run_id")
+    assert got == [("alice", "20241223065426", "abc-1"), ("bob", "20241223065427", "def-2")]
