@@ -3,15 +3,17 @@
 Selection tables are small by design, but in general they are DataFrames
 whose size is not known while the plan is built (one can be derived from a
 large table). Nothing is broadcast and nothing reaches the driver without a
-check that stops at a fixed number of rows:
-
-* ``broadcast_if_small`` runs ``limit(n + 1).count()`` -- a job that stops as
-  soon as it has seen ``n + 1`` rows -- and hints a broadcast only when the
-  table has at most ``n`` rows. Above that the plain DataFrame is returned and
-  Spark plans a shuffle join (AQE may still convert it at run time).
+measured bound:
+
+* The main path is ``Selections.survey`` (one aggregation job over all
+  selection tables): it measures rows and bytes per table, and
+  ``Selections.small`` hints a broadcast only within ``BROADCAST_MAX_ROWS``
+  and ``BROADCAST_MAX_BYTES``.
+* ``broadcast_if_small`` is the stand-alone form for a single table: a
+  ``limit(n + 1).count()`` job that stops after ``n + 1`` rows.
 * ``collect_bounded`` brings at most ``n`` rows to the driver and raises when
-  there are more; it is used only for pivot column names, which must be known
-  to build the plan.
+  there are more; it is used only for facts that must be known to build the
+  plan (pivot column names, table sizes).
 """
 
 from __future__ import annotations
