@@ -49,6 +49,27 @@ def run_ledger(submitted: DataFrame, finished: DataFrame) -> DataFrame:
     return submitted.select("run_id", "username", "in_time").join(done, "run_id", "left")
 
 
+EVENT_SCHEMA = "run_id string, username string, event string, at timestamp_ntz, link string"
+
+
+def append_run_event(spark, path: str, run_id: str, username: str, event: str, at, link: str | None) -> None:
+    """Append one ledger event (``submitted`` or ``finished``) to a Parquet
+    table: the ledger is never updated in place."""
+    row = [(run_id, username, event, at, link)]
+    spark.createDataFrame(row, EVENT_SCHEMA).write.mode("append").parquet(path)
+
+
+def ledger_from_events(events: DataFrame) -> DataFrame:
+    """run_id, username, in_time, out_time from the event table."""
+    sub = events.where(F.col("event") == "submitted").select("run_id", "username", F.col("at").alias("in_time"))
+    fin = events.where(F.col("event") == "finished").groupBy("run_id").agg(F.max("at").alias("out_time"))
+    return run_ledger(sub, fin)
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    return ledger_from_events(spark.read.schema(EVENT_SCHEMA).parquet(path))
+
+
 def runs_of_user(ledger: DataFrame, username: str) -> DataFrame:
     return ledger.where(F.col("username") == F.lit(username))
 

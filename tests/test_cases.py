@@ -307,3 +307,47 @@ def test_run_names_from_a_folder(spark, tmp_path):
         (tmp_path / name).write_text("")
     got = rows(RN.parse_run_names(RN.run_names_in_folder(spark, str(tmp_path))), "username", "ts_text", "run_id")
     assert got == [("alice", "20241223065426", "abc-1"), ("bob", "20241223065427", "def-2")]
+
+
+
+def _write_public_files(d):
+    (d / "b.csv").write_text("Rndrng_NPI,Extra,HCPCS_Cd,HCPCS_Desc,Tot_Benes,Tot_Srvcs\n1,x,P1,desc,3,2.5\n")
+    (d / "d.csv").write_text("Prscrbr_NPI,Brnd_Name,Gnrc_Name,Tot_Clms,Tot_Benes\n1,Humira,ada,4,\n")
+    (d / "p.csv").write_text(
+        "Covered_Recipient_NPI,Total_Amount_of_Payment_USDollars,Date_of_Payment,"
+        "Number_of_Payments_Included_in_Total_Amount,Form_of_Payment_or_Transfer_of_Value,"
+        "Nature_of_Payment_or_Transfer_of_Value,Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1\n"
+        "1,10.9,01/02/2023,1,Cash,Education,Humira\n2,5.0,01/02/2023,1,Cash,Gift,humira\n")
+    (d / "n.csv").write_text(
+        '"NPI","Provider Last Name (Legal Name)","Provider First Name","Provider Middle Name",'
+        '"Provider First Line Business Mailing Address","Provider Business Mailing Address City Name",'
+        '"Provider Business Mailing Address State Name","Provider Business Mailing Address Postal Code",'
+        '"Healthcare Provider Taxonomy Code_1","Healthcare Provider Taxonomy Code_2",'
+        '"Healthcare Provider Taxonomy Code_3"\n'
+        '"1","DOE","JANE","","1 MAIN ST","TOWN","ST","021381234","207R00000X","",""\n'
+        '"2","ROE","JOHN","Q","2 MAIN ST","CITY","ST","501","207R00000X","",""\n')
+    (d / "t.csv").write_text("Code,Grouping,Classification,Specialization\n207R00000X,G,Internal Medicine,\n")
+    (d / "a.csv").write_text("NPI,Facility Name,org_pac_id\n1,General Hospital,123.0\n2,Clinic,7.9\n")
+    sel = d / "sel"
+    sel.mkdir()
+    (sel / "part_b.csv").write_text("HCPCS_Cd,BRAND\nP1,humira\n")
+    (sel / "drugs.csv").write_text("Drug_Name\nHumira\n")
+    (sel / "taxonomy.csv").write_text("Code\n")
+    (sel / "category_map.csv").write_text("Original,Renamed\nEducation,EDUCATION\nGift,\n")
+    return {"part_b": str(d / "b.csv"), "part_d": str(d / "d.csv"), "payments": str(d / "p.csv"),
+            "providers": str(d / "n.csv"), "taxonomy": str(d / "t.csv"), "affiliations": str(d / "a.csv")}
+
+
+def test_cli_run_writes_profile_and_ledger(spark, tmp_path):
+    from provlens.cli import run
+    from provlens.operators import runs as RN
+    files = _write_public_files(tmp_path)
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    run_id = run(spark, files, str(tmp_path / "sel"), out, ledger=ledger, user="jane")
+    res = spark.read.option("header", True).csv(out)
+    got = {r["npi"]: r.asDict() for r in res.collect()}
+    assert set(got) == {"1", "2"}
+    assert got["1"]["HUMIRA_EDUCATION"] == "10" and got["2"]["HUMIRA_OTHERS_GENERAL"] == "5"
+    assert "HUMIRA_Patients" in res.columns and got["1"]["HUMIRA_Claims"] == "2"
+    hist = RN.read_ledger(spark, ledger).collect()
+    assert len(hist) == 1 and hist[0]["run_id"] == run_id and hist[0]["out_time"] is not None
