@@ -39,18 +39,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
     On a cluster this is ``spark.checkpoint.dir`` (a folder every executor
-    can reach). Only when the session has none (local tests) do we create one
-    and register it, so ``DataFrame.checkpoint()`` works as well.
+    can reach), read from the session. Only when the session has none (local
+    tests) is a folder created, and registered with the SparkContext (when
+    there is one) so ``DataFrame.checkpoint()`` works as well.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: no SparkContext here
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="provlens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        configured = _LOCAL_ROOT.setdefault("dir", tempfile.mkdtemp(prefix="provlens-ckpt-"))
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
+
+
+_LOCAL_ROOT: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

@@ -207,8 +207,11 @@ class Selections:
         from concurrent.futures import ThreadPoolExecutor
 
         from pyspark.util import inheritable_thread_target
+        try:
+            target = inheritable_thread_target(self.drugs.sparkSession)(self._compute_survey)
+        except Exception:  # no thread-local inheritance available: stay synchronous
+            return
         pool = ThreadPoolExecutor(max_workers=1)
-        target = inheritable_thread_target(self.drugs.sparkSession)(self._compute_survey)
         self._small["_future"] = pool.submit(target)
         pool.shutdown(wait=False)
 
