@@ -486,5 +486,5 @@ oracle("non_numeric_report", " UNION ALL ".join(
     f"AND TRY_CAST({c} AS DOUBLE) IS NULL) AS BIGINT) AS n FROM {t}"
     for t, cols in TEXT_COLUMNS.items() for c in cols), "providers", "taxonomy")
 
-oracle("json_records", "SELECT to_json(struct_pack(HCPCS_Cd := HCPCS_Cd, HCPCS_Desc := HCPCS_Desc)) AS json "
+oracle("json_records", "SELECT CAST(to_json(struct_pack(HCPCS_Cd := HCPCS_Cd, HCPCS_Desc := HCPCS_Desc)) AS VARCHAR) AS json "
        "FROM cat_proc", "cat_proc")

@@ -13,6 +13,10 @@ from provlens.sources.tables import BASE_TABLES
 from tests.conftest import SF_MEDIUM, SF_SMALL
 from tools.oracle_check import digest
 
+# Spark type -> DuckDB type of the same values
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
 DIRS = [SF_SMALL] + ([SF_MEDIUM] if os.environ.get("PROVLENS_FULL") else [])
 KEYS = sorted(E.queries())
 
@@ -38,6 +42,9 @@ def test_query_matches_oracle(spark, duck, key):
     if key not in E.oracle_sql():
         assert len(rows) > 0
         return
+    rel = con.sql(E.oracle_sql()[key])
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: TYPES.get(t, t) for c, t in df.dtypes} == d_types
     res = con.execute(E.oracle_sql()[key])
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
