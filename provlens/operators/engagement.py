@@ -27,6 +27,7 @@ from provlens.sources.selections import Selections
 
 CLAIM_MEASURES = ("Patients", "Claims")
 LONG_COLUMNS = ("npi", "drug", "measure", "amount")
+LONG_SCHEMA = "npi bigint, drug string, measure string, amount bigint"
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,8 @@ def engagement_long(part_b: DataFrame | None, part_d: DataFrame | None, payments
         frames.append(C.claims_long(union))
     if payments is not None:
         frames.append(P.payments_long(P.payments_mapped(payments, sel)))
+    if not frames:  # nothing selected: an empty table of the same shape
+        return sel.drugs.sparkSession.createDataFrame([], LONG_SCHEMA)
     out = frames[0].select(*LONG_COLUMNS)
     for f in frames[1:]:
         out = out.unionByName(f.select(*LONG_COLUMNS))

@@ -351,3 +351,11 @@ def test_cli_run_writes_profile_and_ledger(spark, tmp_path):
     assert "HUMIRA_Patients" in res.columns and got["1"]["HUMIRA_Claims"] == "2"
     hist = RN.read_ledger(spark, ledger).collect()
     assert len(hist) == 1 and hist[0]["run_id"] == run_id and hist[0]["out_time"] is not None
+
+
+def test_nothing_selected_gives_an_empty_profile(spark, make_src):
+    src = _profile_src(make_src)
+    sel = _sel(spark, part_b=False, part_d=False)
+    out = PR.profile(src, sel, PR.ProfileOptions(part_b=False, part_d=False, payments=False))
+    assert out.count() == 0
+    assert out.columns[:2] == ["npi", "last_name"]
