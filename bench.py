@@ -86,7 +86,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
+    wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
+    keys = sorted(QUERIES) if wanted == "all" else [k for k in wanted.split(",") if k]
     # one shuffle partition per core at bench scale; AQE coalesces further
     log_dir = tempfile.mkdtemp(prefix="provlens-bench-events-")
     os.environ.setdefault("PROVLENS_EVENT_LOG_DIR", log_dir)
