@@ -82,3 +82,11 @@ def test_pivot_strategies_agree(ctx):
     b = E.pivot_wide(long, ms, total="total", strategy="two_phase").select(*a.columns)
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_reference_shaped_run_gives_the_same_rows(spark, ctx):
+    i, sel, _ = ctx
+    one_plan = PR.profile(i, sel)
+    staged = PR.profile_staged(i, sel).select(*[F.col(f"`{c}`") for c in one_plan.columns])
+    assert staged.count() == one_plan.count() > 0
+    assert one_plan.exceptAll(staged).count() == 0 and staged.exceptAll(one_plan).count() == 0
