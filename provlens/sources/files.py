@@ -8,8 +8,11 @@ shared scratch folder (``spark.checkpoint.dir``), never on a machine-local path.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from provlens.functions.normalise import sql_ident
+from provlens.plans.bounded import row_count_at_most
 from provlens.session import scratch_dir
 
 # Declared schemas of the public files, as the engine uses them.
@@ -75,6 +78,23 @@ def json_roundtrip(df: DataFrame, label: str = "json") -> DataFrame:
     return spark.read.schema(df.schema).json(path)
 
 
+# Largest catalogue written as one JSON document (one task builds it).
+CATALOG_DOCUMENT_MAX_ROWS = 1_000_000
+
+
+def write_catalog_document(df: DataFrame, path: str, array_field: str,
+                           max_rows: int = CATALOG_DOCUMENT_MAX_ROWS) -> None:
+    """Write ``{"<field>": [{...}, ...]}`` as one JSON file, the form the
+    selection pickers read. One document is built by one task, so its size is
+    checked first (``limit(n + 1).count()``) and a larger catalogue raises;
+    use ``df.write.json`` (JSON lines) for those."""
+    if not row_count_at_most(df, max_rows):
+        raise ValueError(f"catalogue has more than {max_rows} rows; write JSON lines instead")
+    items = F.struct(*[F.col(sql_ident(c)) for c in df.columns])
+    doc = df.agg(F.sort_array(F.collect_list(items)).alias(array_field))
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_catalog_document(spark: SparkSession, path: str, array_field: str, item_schema: str) -> DataFrame:
     """Read a catalogue saved as one JSON document ``{"<field>": [{...}, ...]}``."""
     schema = f"{array_field} array<struct<{item_schema}>>"

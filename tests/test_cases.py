@@ -359,3 +359,14 @@ def test_nothing_selected_gives_an_empty_profile(spark, make_src):
     out = PR.profile(src, sel, PR.ProfileOptions(part_b=False, part_d=False, payments=False))
     assert out.count() == 0
     assert out.columns[:2] == ["npi", "last_name"]
+
+
+def test_catalog_document_round_trip(spark, tmp_path):
+    import pytest
+    from provlens.sources.files import read_catalog_document, write_catalog_document
+    df = spark.createDataFrame([("B", "b"), ("A", None)], "Brnd_Name string, Gnrc_Name string")
+    write_catalog_document(df, str(tmp_path / "doc"), "drugs")
+    back = read_catalog_document(spark, str(tmp_path / "doc"), "drugs", "Brnd_Name string, Gnrc_Name string")
+    assert rows(back, "Brnd_Name", "Gnrc_Name") == [("A", None), ("B", "b")]
+    with pytest.raises(ValueError):
+        write_catalog_document(df, str(tmp_path / "doc2"), "drugs", max_rows=1)
