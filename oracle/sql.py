@@ -488,3 +488,4 @@ oracle("non_numeric_report", " UNION ALL ".join(
 
 oracle("json_records", "SELECT CAST(to_json(struct_pack(HCPCS_Cd := HCPCS_Cd, HCPCS_Desc := HCPCS_Desc)) AS VARCHAR) AS json "
        "FROM cat_proc", "cat_proc")
+oracle("catalog_document_roundtrip", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")

@@ -19,6 +19,7 @@ from provlens.operators import viewer as V
 from provlens.plans import profile as PR
 from provlens.sources import files as FS
 from provlens.sources.selections import Selections, stack_selections
+from provlens.session import scratch_dir
 from provlens.sources.tables import Inputs
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +277,15 @@ def q_catalog_roundtrip(spark, sf_dir):
     return FS.json_roundtrip(CT.catalog_drugs(i.part_d), "catalog-json")
 
 
+@query("catalog_document_roundtrip")
+def q_catalog_document_roundtrip(spark, sf_dir):
+    """The drug catalogue as one {"drugs": [...]} document (row bound checked)."""
+    i, _ = _ctx(spark, sf_dir)
+    path = scratch_dir(spark, "catalog-doc")
+    FS.write_catalog_document(CT.catalog_drugs(i.part_d), path, "drugs")
+    return FS.read_catalog_document(spark, path, "drugs", "Brnd_Name string, Gnrc_Name string")
+
+
 # ---- viewer ----------------------------------------------------------------
 
 def _profile_and_measures(spark, sf_dir):
