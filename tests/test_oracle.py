@@ -11,11 +11,7 @@ import pytest
 import __spark_entry__ as E
 from provlens.sources.tables import BASE_TABLES
 from tests.conftest import SF_MEDIUM, SF_SMALL
-from tools.oracle_check import digest
-
-# Spark type -> DuckDB type of the same values
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+from tools.oracle_check import TYPES, digest
 
 DIRS = [SF_SMALL] + ([SF_MEDIUM] if os.environ.get("PROVLENS_FULL") else [])
 KEYS = sorted(E.queries())
