@@ -9,12 +9,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from provlens.plans.queries import QUERIES
 from provlens.sources.tables import BASE_TABLES
 from tests.conftest import SF_MEDIUM, SF_SMALL
 from tools.oracle_check import TYPES, digest
 
 DIRS = [SF_SMALL] + ([SF_MEDIUM] if os.environ.get("PROVLENS_FULL") else [])
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module", params=DIRS)
