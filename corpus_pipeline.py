@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlens.llm import mixing, rules, simhash
+from provlens.llm import bpe, mixing, rules, runindex, simhash
 from provlens.llm.common import saved, table
 
 
@@ -25,15 +25,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the long passages that an earlier document holds."""
+    return runindex.remove_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mix(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and digests of them and of the text decoded from them."""
+    return bpe.encoded(docs, keys=("doc_id", "source"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
+    ("suffix_dedup", dedup),
     ("source_mix", mix),
+    ("bpe", tokens),
 ]
 
 # Hash fingerprints, suffix matches and BPE have no SQL form; tests hold the rows against brute force.

@@ -3,7 +3,7 @@ that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from provlens.llm import mixing, rules, simhash
+from provlens.llm import bpe, mixing, rules, runindex, simhash
 from provlens.llm.common import table
 
 
@@ -11,6 +11,10 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_long_repeats(spark, sf_dir):
+    return runindex.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,8 +23,13 @@ def op8_quality_rules(spark, sf_dir):
     return rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 WORDS_SQL = "len(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+'))"
 
+
 # Mixing. Water filling in closed form: in the order of max_rate * size / weight the first k sources are at
 # their limit; the level follows from the rest.
 OP1_SQL = f"""
@@ -52,4 +61,4 @@ FROM (SELECT d.*, q.source_size, q.target, (whole + CASE WHEN ((h + turn * {mixi
 
 ORACLE_SQL = {"op1_source_mix": OP1_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op7_simhash, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op5_long_repeats, op7_simhash, op8_quality_rules, op10_bpe)}
