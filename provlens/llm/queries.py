@@ -3,7 +3,7 @@ that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from provlens.llm import bpe, mixing, rules, runindex, simhash
+from provlens.llm import bpe, chat, htmltext, mixing, rules, runindex, simhash, warc
 from provlens.llm.common import table
 
 
@@ -11,10 +11,18 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark, sf_dir):
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_long_repeats(spark, sf_dir):
     return runindex.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark, sf_dir):
+    return chat.conversation_report(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,10 @@ def op8_quality_rules(spark, sf_dir):
     return rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -59,6 +71,54 @@ FROM (SELECT d.*, q.source_size, q.target, (whole + CASE WHEN ((h + turn * {mixi
       JOIN best b ON d.source IS NOT DISTINCT FROM b.source) AS d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
-ORACLE_SQL = {"op1_source_mix": OP1_SQL}
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+r AS (SELECT *, CASE WHEN n >= {warc.REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM r
+"""
+
+# Quality rules. Measures first, then the rules of rules.default_rules(); windows are compared as word lists.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, words[i:i + 7] AS g FROM w, unnest(range(1, len(words) - 6)) AS t(i)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(8) AS t(k) GROUP BY r),
+m AS (SELECT w.r, doc_id, text, words, lines, len(words)::BIGINT AS n_words,
+        length(array_to_string(words, ''))::BIGINT AS word_chars,
+        (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN cov ON w.r = cov.r),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR len(lines) > 2 * len(list_distinct(lines))
+       OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+       OR 10 * length(regexp_replace(text, '[^\\p{Lu}]+', '', 'g')) > 4 * word_chars
+       OR (n_words >= 100 AND 20 * len(list_distinct(words)) < n_words)
+       OR 5 * (length(text) - length(replace(text, '!', ''))) > n_words) AS kept
+FROM f
+"""
+
+OP6_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(text, '\', '\e'))
+        + len(regexp_extract_all(text, '<(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>)'))
+        + len(regexp_extract_all(text, '\[/?INST\]')) AS text_chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + text_chars + 12 + 1 + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op1_source_mix": OP1_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op5_long_repeats, op7_simhash, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_main_text, op5_long_repeats, op6_chat_format, op7_simhash, op8_quality_rules, op9_warc,
+                                  op10_bpe)}
