@@ -3,7 +3,7 @@ that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from provlens.llm import bpe, chat, htmltext, mixing, rules, runindex, simhash, warc
+from provlens.llm import bpe, chat, htmltext, mixing, phrases, rules, runindex, simhash, warc
 from provlens.llm.common import table
 
 
@@ -11,6 +11,10 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_phrase_fingerprints(spark, sf_dir):
+    return phrases.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op3_main_text(spark, sf_dir):
     return htmltext.extracted(table(spark, sf_dir, "pages"))
 
@@ -120,5 +124,5 @@ FROM e GROUP BY conv_id
 
 ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op1_source_mix": OP1_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_main_text, op5_long_repeats, op6_chat_format, op7_simhash, op8_quality_rules, op9_warc,
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_phrase_fingerprints, op3_main_text, op5_long_repeats, op6_chat_format, op7_simhash, op8_quality_rules, op9_warc,
                                   op10_bpe)}
