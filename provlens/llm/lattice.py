@@ -3,24 +3,29 @@
 Text is lower-cased (A-Z), cut into words, and a text is its words and one end.
 A word is spelled with a word mark in front, and every way of cutting it into
 pieces of an existing vocabulary is a path through a lattice whose arcs weigh
-the pieces' unigram log probabilities. The score of a word is the sum over all
-its paths, computed by a forward recursion in log space; a text's score is the
-sum over its words plus the end's, as no piece crosses words. A character can
-always be spelled by the vocabulary's byte pieces, so every text has a
+the pieces' unigram log probabilities; one more arc spans a word that training
+has seen, so a word is also a piece of its own. The score of a word is the sum
+over all its paths, computed by a forward recursion in log space; a text's score
+is the sum over its words plus the end's, as no piece crosses words. A character
+can always be spelled by the vocabulary's byte pieces, so every text has a
 probability above zero.
 
-Weights start from the vocabulary's own scores (a merge-ordered vocabulary has
-ranks for scores; they are read as a Zipf distribution) and are fitted to the
-training documents by expectation maximisation: expected piece counts from the
-forward and backward recursions over all distinct training words, weighted by
-their counts, with the starting weights as a prior of ``PRIOR`` pieces.
+Weights. The pieces start from the vocabulary's own scores (a merge-ordered
+vocabulary has ranks for scores; they are read as a Zipf distribution) and are
+fitted to the training documents by expectation maximisation: expected piece
+counts from the forward and backward recursions over all distinct training
+words, with the starting weights as a prior of ``PRIOR`` pieces. The arc of a
+word seen ``c`` times in ``N`` training tokens weighs ``(c - D) / N``; the
+discounts ``D`` of all words together, ``D * V / N``, weigh the paths through
+pieces, so that all probabilities sum to one. ``D`` is ``n1 / (n1 + 2 * n2)``,
+from the numbers of words seen once and twice.
 
 On Spark: words are counted per batch and summed by word (one row per distinct
 word), and everything after that - EM and scores - works on distinct words. Per
 round only the expected counts come to the driver, one number per vocabulary
 piece. To score documents, words with at least 1/``FREQUENT`` of all training
 tokens (so at most ``FREQUENT`` of them, whatever the corpus) go to the tasks;
-each document's other words are joined with the table of counts by word.
+each document's other words are joined with the table of words.
 
 The base score is an add-one unigram model over words: per token
 ``log10((c + 1) / (N + V + 1))``.
@@ -38,7 +43,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlens.llm.common import filled, saved
@@ -252,16 +257,22 @@ def _batches(batches: Iterable[pd.DataFrame], limit: int = BATCH_BYTES) -> Itera
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): how often each training token occurs, the end included."""
+    """(word, c): every token of all documents, the end included, and how often
+    it occurs in training documents."""
     def each(batches):
         for pdf in _batches(batches):
-            seen: Counter = Counter()
-            for t in pdf["t"]:
-                seen.update(words_of(bytes(t)))
-            yield pd.DataFrame({"word": [w.decode() for w in seen] + [END],
-                                "c": np.array([*seen.values(), len(pdf)], np.int64)})
-
-    return (_texts(docs).filter("not held_out").select("t").mapInPandas(each, "word string, c bigint")
+            seen, other = Counter({END.encode(): 0}), set()
+            for t, out in zip(pdf["t"], pdf["held_out"]):
+                if out:
+                    other.update(words_of(bytes(t)))
+                else:
+                    seen.update(words_of(bytes(t)))
+                    seen[END.encode()] += 1
+            new = other.difference(seen)
+            yield pd.DataFrame({"word": [w.decode() for w in (*seen, *new)],
+                                "c": np.array([*seen.values(), *([0] * len(new))], np.int64)})
+
+    return (_texts(docs).select("held_out", "t").mapInPandas(each, "word string, c bigint")
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
@@ -276,16 +287,16 @@ def _words(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndar
                 yield pdf["word"].iloc[part].tolist(), pdf["c"].to_numpy()[part]
 
 
-def fitted(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
-    """Log probabilities of the pieces after EM on the table (word, c)."""
-    ends = counts.filter(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
+def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
+    """Log probabilities of the pieces after EM on the distinct training words
+    of the table (word, c)."""
     log_p = np.log(pieces.start)
-    body = counts.filter(F.col("word") != END)
+    body = words.filter((F.col("word") != END) & (F.col("c") > 0))
     for _ in range(rounds):
         def each(batches, log_p=log_p):
             total = np.zeros(pieces.size)
-            for words, c in _words(batches):
-                total += pieces.expected(words, c, log_p)
+            for some, c in _words(batches):
+                total += pieces.expected(some, np.ones(len(c)), log_p)
             used = np.flatnonzero(total)
             yield pd.DataFrame({"piece": used.astype(np.int64), "n": total[used]})
 
@@ -294,90 +305,95 @@ def fitted(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS, prior: float
         total = pieces.start * prior
         for r in rows:
             total[r["piece"]] += r["n"]
-        total[pieces.end] += ends
         log_p = np.log(total / total.sum())
     return log_p
 
 
+def weighed(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+    """(word, c, base, score) - log10 of both models - and the number of
+    training tokens."""
+    size = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"),
+                     F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    n, v = size["n"] or 0, size["v"] or 0
+    discount = size["once"] / (size["once"] + 2 * size["twice"]) if size["once"] else 0.5
+    through_pieces = discount * v / n if n else 1.0
+    log_p = fitted(words, pieces, rounds)
+
+    def each(batches):
+        for some, c in _words(batches):
+            ends = np.array([w == END for w in some])
+            spelled = np.where(ends, log_p[pieces.end], pieces.scores(some, log_p))
+            whole = np.log(np.maximum(c - discount, 1e-300) / max(n, 1))
+            score = np.where(c > 0, np.logaddexp(whole, np.log(through_pieces) + spelled),
+                             np.log(through_pieces) + spelled)
+            yield pd.DataFrame({"word": some, "c": c, "base": np.log10((c + 1) / (n + v + 1)),
+                                "score": score / math.log(10)})
+
+    return words.mapInPandas(each, "word string, c bigint, base double, score double"), n
+
+
 def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
            frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    spark: SparkSession = docs.sparkSession
     pieces = Pieces(vocabulary or default_vocabulary())
-    counts = saved(word_counts(docs), "words")
-    sizes = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = sizes["n"] or 0, sizes["v"]
-    log_p = fitted(counts, pieces, rounds)
-    common = {r["word"].encode(): r["c"] for r in counts.filter(F.col("c") * frequent >= n).collect()}  # at most `frequent`
-    ends = common.pop(END.encode(), None)
-    if ends is None:
-        ends = counts.filter(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
-    floor = math.log10(n + v + 1)
-    end_score = float(log_p[pieces.end]) / math.log(10)
+    words = saved(word_counts(docs), "words")
+    table, n = weighed(words, pieces, rounds)
+    is_common = (F.col("c") > 0) & (F.col("c") * frequent >= n)
+    is_end = F.col("word") == END
+    common = {r["word"].encode(): (r["c"], r["base"], r["score"])  # at most `frequent` of them, and the end
+              for r in table.filter(is_common | is_end).collect()}
+    end = common.pop(END.encode(), None) or (0, 0.0, 0.0)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
-        """A row per document with what its common words and all its lattice
-        scores give, and a row per other word."""
-        base = {w: math.log10(c + 1) - floor for w, c in common.items()}
-        lattice: dict[bytes, float] = {}
+        """A row per document with what its common words give, and a row per
+        other word of it."""
         for pdf in _batches(batches):
-            split = [Counter(words_of(bytes(t))) for t in pdf["t"]]
-            new = list({w for seen in split for w in seen}.difference(lattice))
-            if len(lattice) + len(new) > 400_000:
-                lattice.clear()
-                new = list({w for seen in split for w in seen})
-            new.sort(key=len)
-            low = held = 0
-            texts = [w.decode() for w in new]
-            for i, w in enumerate(texts):
-                held += len(w) + 1
-                if held >= WORD_BATCH or i + 1 == len(texts):
-                    for b, s in zip(new[low:i + 1], pieces.scores(texts[low:i + 1], log_p).tolist()):
-                        lattice[b] = s / math.log(10)
-                    low, held = i + 1, 0
             key, word, times, tokens, known, basic, score = [], [], [], [], [], [], []
-            for k, seen in zip(pdf["k"].tolist(), split):
-                sums = [1, int(ends > 0), math.log10(ends + 1) - floor, end_score]
+            for k, t in zip(pdf["k"].tolist(), pdf["t"]):
+                seen = Counter(words_of(bytes(t)))
+                some = 0
+                b, s = end[1], end[2]
                 for w, c in seen.items():
-                    sums[0] += c
-                    sums[3] += c * lattice[w]
-                    b = base.get(w)
-                    if b is None:
+                    given = common.get(w)
+                    if given is None:
                         key.append(k)
-                        word.append(w.decode())
+                        word.append(w)
                         times.append(c)
                     else:
-                        sums[1] += c
-                        sums[2] += c * b
-                tokens.append(sums[0])
-                known.append(sums[1])
-                basic.append(sums[2])
-                score.append(sums[3])
+                        some += c
+                        b += c * given[1]
+                        s += c * given[2]
+                tokens.append(sum(seen.values()) + 1)
+                known.append(some + (end[0] > 0))
+                basic.append(b)
+                score.append(s)
             one, rest = len(pdf), len(key)
             yield pd.DataFrame({
                 "k": np.array(pdf["k"].tolist() + key, np.int64),
                 # a document's own row has a word that is in no table
-                "word": [f" {k}" for k in pdf["k"]] + word,
-                "c": np.array([0] * one + times, np.int64),
+                "word": [f" {k}" for k in pdf["k"]] + [w.decode() for w in word],
+                "times": np.array([0] * one + times, np.int64),
                 "doc_id": pd.concat([pdf["doc_id"].astype(object), pd.Series([None] * rest, dtype=object)],
                                     ignore_index=True),
                 "held_out": pd.Series(pdf["held_out"].tolist() + [None] * rest, dtype="boolean"),
                 "n_tokens": np.array(tokens + [0] * rest, np.int64), "n_known": np.array(known + [0] * rest, np.int64),
-                "base": np.array(basic + [0.0] * rest), "score": np.array(score + [0.0] * rest)})
+                "b": np.array(basic + [0.0] * rest), "s": np.array(score + [0.0] * rest)})
 
     # the row number of a file scan does not depend on who reads it
     numbered = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn(
         "k", F.monotonically_increasing_id())
-    parts = numbered.mapInPandas(each, "k bigint, word string, c bigint, doc_id string, held_out boolean, "
-                                       "n_tokens bigint, n_known bigint, base double, score double")
-    rare = counts.filter(F.col("c") * frequent < n).select("word", F.col("c").alias("seen"))
-    seen = F.coalesce("seen", F.lit(0))
+    parts = numbered.mapInPandas(each, "k bigint, word string, times bigint, doc_id string, held_out boolean, "
+                                       "n_tokens bigint, n_known bigint, b double, s double")
+    rare = table.filter(~is_common & ~is_end)
+
+    def joined(own: str, given: str) -> Column:
+        return F.sum(F.col(own) + F.col("times") * F.coalesce(given, F.lit(0.0)))
+
     return (parts.join(rare, "word", "left").groupBy("k").agg(
         F.max("doc_id").cast(kind).alias("doc_id"), F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(seen > 0, F.col("c")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("c") * (F.log10(seen + 1) - F.lit(floor))).alias("base_score"),
-        F.sum("score").alias("score"))
+        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        joined("b", "base").alias("base_score"), joined("s", "score").alias("score"))
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                 "base_score", "score"))

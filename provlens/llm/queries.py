@@ -3,7 +3,7 @@ that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from provlens.llm import bpe, chat, htmltext, mixing, phrases, rules, runindex, simhash, warc
+from provlens.llm import bpe, chat, htmltext, lattice, mixing, phrases, rules, runindex, simhash, warc
 from provlens.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_main_text(spark, sf_dir):
     return htmltext.extracted(table(spark, sf_dir, "pages"))
 
 
+def op4_lattice_score(spark, sf_dir):
+    return lattice.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_long_repeats(spark, sf_dir):
     return runindex.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -124,5 +128,5 @@ FROM e GROUP BY conv_id
 
 ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op1_source_mix": OP1_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_phrase_fingerprints, op3_main_text, op5_long_repeats, op6_chat_format, op7_simhash, op8_quality_rules, op9_warc,
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_phrase_fingerprints, op3_main_text, op4_lattice_score, op5_long_repeats, op6_chat_format, op7_simhash, op8_quality_rules, op9_warc,
                                   op10_bpe)}
