@@ -57,7 +57,7 @@ GRAM = 32
 MAX_GROUP = 2048
 MAX_HOT = 4096
 PLAN_ROWS = 4000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -105,13 +105,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:last], ahead[width - 1:width - 1 + last])
 
 
-def segments(texts: list[bytes], docs: np.ndarray, hot: np.ndarray,
+def segments(texts: list[bytes], docs: np.ndarray, offsets: np.ndarray, hot: np.ndarray,
              length: int = LENGTH, gram: int = GRAM) -> pd.DataFrame:
-    """The segments of a batch of documents (columns of ``SEGMENT``)."""
+    """The segments (columns of ``SEGMENT``) of a batch of texts, each from an
+    offset of its document on."""
     sizes = np.array([len(t) for t in texts], np.int64)
     long = sizes >= length
     texts = [t for t, keep in zip(texts, long) if keep]
-    docs, sizes = docs[long], sizes[long]
+    docs, offsets, sizes = docs[long], offsets[long], sizes[long]
     if not len(texts):
         return _rows([], [], [], [], [], [])
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -142,7 +143,7 @@ def segments(texts: list[bytes], docs: np.ndarray, hot: np.ndarray,
             n = np.concatenate((n[~split], np.ones(len(each), np.int64)))
     g = mixed(hashes.of(1, start, n + (length - 1)) + (off * 4096 + n).astype(np.uint64))
     owner = np.searchsorted(ends, start, side="right")
-    return _rows(h.view(np.int64), g.view(np.int64), docs[owner], start - begins[owner], n, off)
+    return _rows(h.view(np.int64), g.view(np.int64), docs[owner], start - begins[owner] + offsets[owner], n, off)
 
 
 def windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> pd.DataFrame:
@@ -326,25 +327,34 @@ def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                       & (F.sha2(filled(text), 256) == F.col("__hash"))).drop("__id", "__hash"))
 
 
-def _pieces(batches: Iterable[pd.DataFrame], limit: int = BATCH_BYTES) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    texts, ids, held = [], [], 0
+def _pieces(batches: Iterable[pd.DataFrame], length: int,
+            limit: int = BATCH_BYTES) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(texts, documents, offsets) of about ``limit`` bytes. A longer text is
+    cut into parts that share ``length - 1`` bytes, so every window is in
+    exactly one part and memory does not grow with the longest text."""
+    texts, ids, offsets, held = [], [], [], 0
     for pdf in batches:
         for t, d in zip(pdf["t"], pdf["d"]):
-            if texts and held + len(t) > limit:
-                yield texts, np.array(ids, np.int64)
-                texts, ids, held = [], [], 0
-            texts.append(bytes(t))
-            ids.append(d)
-            held += len(t)
+            t = bytes(t)
+            for at in range(0, max(1, len(t) - length + 1), limit):
+                part = t[at:at + limit + length - 1]
+                if texts and held + len(part) > limit:
+                    yield texts, np.array(ids, np.int64), np.array(offsets, np.int64)
+                    texts, ids, offsets, held = [], [], [], 0
+                texts.append(part)
+                ids.append(d)
+                offsets.append(at)
+                held += len(part)
     if texts:
-        yield texts, np.array(ids, np.int64)
+        yield texts, np.array(ids, np.int64), np.array(offsets, np.int64)
 
 
-def scan(docs: DataFrame, hot: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def scan(docs: DataFrame, hot: np.ndarray, length: int = LENGTH, gram: int = GRAM,
+         batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """First segments of every batch of documents, and marks for the rest."""
     def each(batches):
-        for texts, ids in _pieces(batches):
-            first, repeated = firsts(segments(texts, ids, hot, length, gram), length)
+        for texts, ids, offsets in _pieces(batches, length, batch_bytes):
+            first, repeated = firsts(segments(texts, ids, offsets, hot, length, gram), length)
             yield first
             yield repeated
 

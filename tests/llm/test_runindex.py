@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +60,19 @@ def test_many_copies_passages_and_periodic_texts(spark):
     check(spark, rows, max_group=3, plan_rows=10)
 
 
+def test_long_texts_are_scanned_in_parts():
+    rng = np.random.default_rng(8)
+    data = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (5, 900, 12, 400, 3000)]
+    def windows(limit):
+        rows = []
+        frame = pd.DataFrame({"t": data, "d": range(len(data))})
+        for texts, ids, offsets in runindex._pieces([frame], 12, limit):
+            got = runindex.segments(texts, ids, offsets, np.zeros(0, np.int64), 12, 5)
+            rows += [(d, p + i) for d, p, n in zip(got["d"], got["p"], got["n"]) for i in range(n)]
+        return sorted(rows)
+    assert windows(64) == windows(1 << 20) == [(d, i) for d, t in enumerate(data) for i in range(len(t) - 11)]
+
+
 def test_empty_table(spark):
     assert runindex.repeat_report(edge.documents(spark, [])).collect() == []
     assert runindex.remove_repeats(edge.documents(spark, [])).collect() == []
