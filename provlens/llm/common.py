@@ -39,7 +39,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunks(batches: Iterable, text: str, limit: int = 4 << 20) -> Iterator:
+def chunks(batches: Iterable, text: str, limit: int = 1 << 20) -> Iterator:
     """Cut pandas batches so that no piece has more than about ``limit``
     characters of ``text`` (a single longer text is a piece of its own), which
     bounds what a vectorised step holds at once."""

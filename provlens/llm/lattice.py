@@ -54,7 +54,7 @@ ROUNDS = 3
 PRIOR = 1000.0
 FREQUENT = 100_000
 BATCH_BYTES = 4 << 20
-WORD_BATCH = 1 << 20  # characters of words to a lattice
+WORD_BATCH = 1 << 18  # characters of words to a lattice
 MARK = "▁"
 END = " </s>"  # holds a blank, so it is no word
 

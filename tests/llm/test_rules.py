@@ -72,8 +72,8 @@ def test_stage_and_report_agree(spark):
     docs = edge.documents(spark, rows())
     kept = rules.keep_good(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(
-        r["doc_id"] for r in rules.quality_report(docs).collect() if r["kept"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(
+        str(r["doc_id"]) for r in rules.quality_report(docs).collect() if r["kept"])
 
 
 def test_empty_table_and_native_plan(spark):
