@@ -11,6 +11,9 @@ BIGINT)``; sums and floors are cast back to BIGINT.
 
 from __future__ import annotations
 
+from provlens.operators.catalog import DEFAULT_CATEGORY_NAMES
+from provlens.sources.tables import PUBLIC_NATURES
+
 # Fixture selections seen from the oracle side.
 PAY_DRUGS = ("BRAND#1", "BRAND#2", "BRAND#3", "BRAND#4")
 CATEGORIES = ("EDUCATION", "FOOD&BEVERAGE", "SPEAKER", "OTHERS_GENERAL")
@@ -68,6 +71,11 @@ SELECT CASE WHEN user_id = 0 THEN NULL ELSE user_id END AS Covered_Recipient_NPI
        'Brand#' || CAST(CAST(replace(replace(props, '{"k": ', ''), '}', '') AS INT) % 25 + 1 AS STRING)
          AS Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1
 FROM events""")
+frag("payments_public", f"""
+SELECT user_id AS Covered_Recipient_NPI, value AS Total_Amount_of_Payment_USDollars,
+       [{', '.join(lit(n) for n in PUBLIC_NATURES)}][k % {len(PUBLIC_NATURES)} + 1] AS Nature_of_Payment_or_Transfer_of_Value,
+       'Brand#' || CAST(k % 25 + 1 AS STRING) AS Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1
+FROM (SELECT *, CAST(replace(replace(props, '{{"k": ', ''), '}}', '') AS INT) AS k FROM events)""")
 frag("providers", """
 SELECT c_custkey AS NPI, c_name AS last_name_legal, c_mktsegment AS first_name,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'M' END AS middle_name,
@@ -86,8 +94,7 @@ frag("affiliations", """
 SELECT o_custkey AS NPI,
        CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE s_name END AS facility_name,
        CAST(s_suppkey AS DOUBLE) + CAST(0.5 AS DOUBLE) AS org_pac_id
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE l_suppkey % 10 < 3""")
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""")
 frag("sel_b", """
 SELECT 'P' || CAST(p_partkey AS STRING) AS HCPCS_Cd, upper(p_brand) AS BRAND
 FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')""")
@@ -378,6 +385,11 @@ frag("ranked", "SELECT *, row_number() OVER (ORDER BY total DESC, npi ASC) AS po
      "WHERE total > 0", "view_f")
 oracle("view_filtered", "SELECT * FROM view_f", "view_f")
 oracle("ranked_view", "SELECT npi, total, position FROM ranked", "ranked")
+oracle("view_saved", "SELECT * FROM view_f", "view_f")
+DOLLARS = [n for n, _, m in VIEW_MEASURES if m not in CLAIM_MEASURES]
+oracle("ranked_dollars", "SELECT npi, total FROM (SELECT npi, CAST(" + " + ".join(q(n) for n in DOLLARS)
+       + " AS BIGINT) AS total FROM view_f) WHERE total > 0", "view_f")
+oracle("ranked_top", "SELECT npi, total FROM ranked ORDER BY position LIMIT 20", "ranked")
 oracle("view_display", "SELECT npi, " + ", ".join(
     (f"coalesce({postal_sql('postal_code')}, '') AS postal_code" if c == "postal_code"
      else f"coalesce(CAST({c} AS VARCHAR), '') AS {c}") for c in DESC_COLS) + ", "
@@ -394,21 +406,12 @@ def totals_sql(measures, label: str) -> str:
 oracle("drug_category_totals", "SELECT drug, category, amount, CAST(amount AS DOUBLE) / "
        "NULLIF(CAST(sum(amount) OVER (PARTITION BY drug) AS DOUBLE), 0) AS share FROM ("
        + totals_sql(PAY_MEASURES, "category") + ")", "profile_wide")
+ORACLE["saved_category_totals"] = ORACLE["drug_category_totals"]
 oracle("drug_measure_totals", "SELECT drug, measure, amount FROM (SELECT *, sum(amount) OVER "
        "(PARTITION BY measure) AS g FROM (" + totals_sql(CLAIM_MEASURE_NAMES, "measure") + ")) WHERE g <> 0",
        "profile_wide")
 
 # ---- catalogues ----
-# Default short names for natures of payment (same list as the engine's).
-DEFAULT_CATEGORY_NAMES = (
-    ("Education", "EDUCATION"),
-    ("Travel and Lodging", "TRAVEL"),
-    ("Food and Beverage", "FOOD&BEVERAGE"),
-    ("Consulting Fee", "CONSULTING"),
-    ("Compensation for services other than consulting, including serving as faculty or as a "
-     "speaker at a venue other than a continuing education program", "SPEAKER"),
-    ("Compensation for serving as faculty or as a speaker for a medical education program", "SPEAKER"),
-)
 frag("cat_proc", "SELECT DISTINCT HCPCS_Cd, HCPCS_Desc FROM part_b", "part_b")
 frag("cat_drug", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")
 frag("labels", """
@@ -420,12 +423,28 @@ oracle("catalog_procedures", "SELECT * FROM cat_proc", "cat_proc")
 oracle("catalog_drugs", "SELECT * FROM cat_drug", "cat_drug")
 oracle("catalog_taxonomy", "SELECT Code, Classification, Specialization FROM taxonomy WHERE Code IS NOT NULL "
        "AND Classification IS NOT NULL AND Specialization IS NOT NULL", "taxonomy")
-oracle("catalog_categories", """
+def categories_sql(source: str) -> str:
+    return f"""
 SELECT n.Original, coalesce(m.Renamed, '') AS Renamed FROM (
-  SELECT DISTINCT Nature_of_Payment_or_Transfer_of_Value AS Original FROM payments
+  SELECT DISTINCT Nature_of_Payment_or_Transfer_of_Value AS Original FROM {source}
   WHERE Nature_of_Payment_or_Transfer_of_Value IS NOT NULL) n
 LEFT JOIN (VALUES """ + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in DEFAULT_CATEGORY_NAMES) + """)
-  AS m(Original, Renamed) ON n.Original = m.Original""", "payments")
+  AS m(Original, Renamed) ON n.Original = m.Original"""
+
+
+oracle("catalog_categories", categories_sql("payments"), "payments")
+oracle("catalog_categories_public", categories_sql("payments_public"), "payments_public")
+oracle("payments_mapped_public", """
+SELECT Covered_Recipient_NPI AS npi, s.drug,
+       CASE Nature_of_Payment_or_Transfer_of_Value WHEN 'Food and Beverage' THEN 'FOOD&BEVERAGE'
+            WHEN 'Consulting Fee' THEN 'CONSULTING' WHEN 'Travel and Lodging' THEN 'TRAVEL'
+            WHEN 'Education' THEN 'EDUCATION' ELSE
+            CASE WHEN Nature_of_Payment_or_Transfer_of_Value LIKE '%Compensation%' THEN 'SPEAKER'
+            ELSE 'OTHERS_GENERAL' END END AS category,
+       CAST(trunc(Total_Amount_of_Payment_USDollars) AS BIGINT) AS amount
+FROM payments_public p JOIN nsel_drugs s
+  ON upper(p.Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1) = s.drug
+WHERE Covered_Recipient_NPI IS NOT NULL""", "payments_public", "nsel_drugs")
 oracle("catalog_labels", "SELECT * FROM labels", "labels")
 oracle("label_split", "SELECT kind, split_part(label, ' - ', 1) AS code, "
        "substr(label, length(split_part(label, ' - ', 1)) + 4) AS rest FROM labels", "labels")
@@ -467,25 +486,29 @@ VIEW_COLUMNS = {
     "sel_b": ("HCPCS_Cd", "BRAND"), "sel_d": ("Brnd_Name", "BRAND"), "sel_drugs": ("Drug_Name",),
     "sel_tax": ("Code",), "sel_map": ("Original", "Renamed"),
 }
-FLOAT_COLUMNS = {("payments", "Total_Amount_of_Payment_USDollars"), ("affiliations", "org_pac_id")}
-TEXT_COLUMNS = {
-    "providers": ("last_name_legal", "first_name", "middle_name", "postal_code",
-                  "tax_code_1", "tax_code_2", "tax_code_3"),
-    "taxonomy": ("Code", "Classification", "Specialization"),
-}
+FLOAT_COLUMNS = {("part_b", "Tot_Srvcs"), ("payments", "Total_Amount_of_Payment_USDollars"), ("affiliations", "org_pac_id")}
+NUMBER_COLUMNS = {"Rndrng_NPI", "Tot_Benes", "Tot_Srvcs", "Prscrbr_NPI", "Tot_Clms", "Covered_Recipient_NPI",
+                  "Total_Amount_of_Payment_USDollars", "Date_of_Payment", "NPI", "org_pac_id"}
+TEXT_COLUMNS = {t: tuple(c for c in cols if c not in NUMBER_COLUMNS) for t, cols in VIEW_COLUMNS.items()}
 oracle("table_shape", " UNION ALL ".join(
     f"SELECT {lit(t)} AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST({len(cols)} AS BIGINT) AS n_cols "
     f"FROM {t}" for t, cols in VIEW_COLUMNS.items()), *VIEW_COLUMNS)
 oracle("null_report", " UNION ALL ".join(
     f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL"
     + (f" OR isnan({c})" if (t, c) in FLOAT_COLUMNS else "") + f") AS BIGINT) AS n FROM {t}"
-    for t in ("providers", "affiliations", "payments") for c in VIEW_COLUMNS[t]),
-    "providers", "affiliations", "payments")
+    for t in VIEW_COLUMNS for c in VIEW_COLUMNS[t]), *VIEW_COLUMNS)
 oracle("non_numeric_report", " UNION ALL ".join(
     f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, CAST(count(*) FILTER (WHERE {c} IS NOT NULL "
     f"AND TRY_CAST({c} AS DOUBLE) IS NULL) AS BIGINT) AS n FROM {t}"
-    for t, cols in TEXT_COLUMNS.items() for c in cols), "providers", "taxonomy")
+    for t, cols in TEXT_COLUMNS.items() for c in cols), *VIEW_COLUMNS)
+oracle("measure_text_report", " UNION ALL ".join(
+    f"SELECT 'profile' AS table_name, {lit(n)} AS column_name, CAST(count(*) FILTER (WHERE {q(n)} IS NOT NULL AND "
+    f"TRY_CAST(CAST({q(n)} AS VARCHAR) AS DOUBLE) IS NULL) AS BIGINT) AS n FROM profile_wide"
+    for n, _, _ in ALL_MEASURES), "profile_wide")
+oracle("json_ledger_records", """
+SELECT '{"run_id":"' || run_id || '","username":"' || username || '","in_time":"' || strftime(in_time, '%Y-%m-%d %H:%M:%S')
+  || '"' || coalesce(',"out_time":"' || strftime(out_time, '%Y-%m-%d %H:%M:%S') || '"', '') || '}' AS json
+FROM ledger""", "ledger")
 
 oracle("json_records", "SELECT CAST(to_json(struct_pack(HCPCS_Cd := HCPCS_Cd, HCPCS_Desc := HCPCS_Desc)) AS VARCHAR) AS json "
        "FROM cat_proc", "cat_proc")
-oracle("catalog_document_roundtrip", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")

@@ -11,22 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlens.functions.normalise import truncate_to_bigint
+from provlens.functions.normalise import blank_to_null, lower_key, truncate_to_bigint
 from provlens.sources.selections import Selections
 
 NORMALISED = ("npi", "drug", "patients", "claims")
 
 
 def part_b_filtered(part_b: DataFrame, sel: Selections) -> DataFrame:
-    """Services for procedure codes of interest, with the canonical drug (BRAND)."""
+    """Services for procedure codes of interest, with the canonical drug
+    (BRAND). Keys are trimmed on both sides, as in every source."""
     codes = sel.small("part_b").select(F.col("code").alias("HCPCS_Cd"), F.col("drug").alias("BRAND"))
-    return part_b.join(codes, "HCPCS_Cd", "inner")
+    return part_b.withColumn("HCPCS_Cd", blank_to_null("HCPCS_Cd")).join(codes, "HCPCS_Cd", "inner")
 
 
 def part_d_filtered(part_d: DataFrame, sel: Selections) -> DataFrame:
     """Prescriptions of brands of interest; the brand is compared lower-cased."""
     brands = sel.small("part_d").select(F.col("brand").alias("Brnd_Name"), F.col("drug").alias("BRAND"))
-    lowered = part_d.withColumn("Brnd_Name", F.lower(F.col("Brnd_Name")))
+    lowered = part_d.withColumn("Brnd_Name", lower_key("Brnd_Name"))
     return lowered.join(brands, "Brnd_Name", "inner")
 
 

@@ -36,13 +36,12 @@ def registry_select(providers: DataFrame) -> DataFrame:
 
 def taxonomy_code_filter(registry: DataFrame, sel: Selections, large: bool | None = None) -> DataFrame:
     """Keep providers with any of their three codes in the selection; an empty
-    selection keeps everyone.
+    selection keeps everyone. A row without an npi is no provider and is
+    dropped first, whichever way the filter runs.
 
-    Small selection (the survey's row and byte limits): correlated EXISTS
-    subqueries against a broadcast of the distinct codes. Catalyst turns the
-    OR of three EXISTS into broadcast existence joins (no shuffle of the
-    registry) and the empty check into one scalar. No code list reaches the
-    driver.
+    Small selection (within the measured row and byte limits): the codes are
+    one scalar array, computed once, and each provider's codes are compared
+    with it where the registry is read; no join, no code list on the driver.
 
     Large selection: the three codes are stacked into (npi, code) rows and
     joined with the codes (one shuffle on code); the matching npis (distinct,
@@ -51,14 +50,13 @@ def taxonomy_code_filter(registry: DataFrame, sel: Selections, large: bool | Non
     selection needs no empty check.
     """
     codes = sel.taxonomy.select("code").distinct()
+    registry = registry.where(F.col("npi").isNotNull())
     if large is None:
-        large = "taxonomy" in sel.survey() and sel.small("taxonomy") is sel.taxonomy
+        large = sel.small("taxonomy") is sel.taxonomy
     if not large:
-        small = F.broadcast(codes)
-        cond = F.lit(False)
-        for c in CODE_COLS:
-            cond = cond | small.where(F.col("code") == F.col(c).outer()).exists()
-        return registry.where(cond | ~small.exists())
+        chosen = codes.agg(F.collect_set("code")).scalar()
+        own = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in CODE_COLS])  # codes are never blank
+        return registry.where(F.arrays_overlap(own, chosen) | (F.size(chosen) == 0))
     stacked = registry.select("npi", F.explode(F.array(*[F.col(c) for c in CODE_COLS])).alias("code"))
     matched = stacked.join(codes, "code", "inner").select("npi").distinct()
     return registry.join(matched, "npi", "left_semi")
@@ -77,10 +75,10 @@ def taxonomy_enrich(registry: DataFrame, taxonomy: DataFrame, sel: Selections |
     tax = _small_taxonomy(taxonomy, sel).select("Code", "Classification", "Specialization")
     out = registry
     for role, code_col in zip(ROLES, CODE_COLS):
-        t = tax.select(F.col("Code").alias("_code"),
-                       F.col("Classification").alias(f"{role}_Classification"),
-                       F.col("Specialization").alias(f"{role}_Specialization"))
-        out = out.join(t, out[code_col] == t["_code"], "left").drop("_code")
+        # named after the join, so that the three joins share one broadcast
+        joined = out.alias("r").join(tax.alias("t"), F.col(f"r.{code_col}") == F.col("t.Code"), "left")
+        out = joined.select("r.*", F.col("t.Classification").alias(f"{role}_Classification"),
+                            F.col("t.Specialization").alias(f"{role}_Specialization"))
     return out
 
 

@@ -7,10 +7,13 @@ id.
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provlens.operators.quality import json_records
 from provlens.plans.position import with_position
+from provlens.session import filesystem_of
 
 NAME_SEP = "_"
 
@@ -32,13 +35,11 @@ def run_names_in_folder(spark, path: str) -> DataFrame:
     """One row per file of a run folder, its file name in ``name``.
 
     Run marker files are empty, and file sources skip empty files, so the
-    folder is listed through the session's Hadoop file system (any shared
-    file system URI); only the names become rows, as in any file listing.
+    folder is listed through ``pyarrow.fs`` (any file system URI it knows);
+    only the names become rows, as in any file listing.
     """
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [st.getPath().getName() for st in fs.listStatus(folder) if st.isFile()]
+    store, root = filesystem_of(path)
+    names = [f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.is_file]
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
@@ -74,15 +75,28 @@ def runs_of_user(ledger: DataFrame, username: str) -> DataFrame:
     return ledger.where(F.col("username") == F.lit(username))
 
 
-def user_history(ledger: DataFrame, username: str) -> DataFrame:
+def user_history(ledger: DataFrame, username: str, top: int | None = None) -> DataFrame:
+    """One user's runs, newest first: a sort, or with ``top`` the latest ones."""
+    out = runs_of_user(ledger, username).orderBy(F.desc("in_time"), F.asc("run_id"))
+    return out if top is None else out.limit(top)
+
+
+def user_positions(ledger: DataFrame, username: str) -> DataFrame:
     """One user's runs, newest first, with their position."""
     return with_position(runs_of_user(ledger, username), [F.desc("in_time"), F.asc("run_id")], "position")
 
 
 def run_history(ledger: DataFrame) -> DataFrame:
-    """Newest first per user: ``position`` restarts at 1 for every user.
+    """Newest first per user: ``position`` restarts at 1 for every user (runs
+    without a user name are a group of their own).
 
     Computed with the distributed position (no per-user task holds a whole
     user's runs, even for a user with a large share of all runs).
     """
     return with_position(ledger, [F.desc("in_time"), F.asc("run_id")], "position", within=["username"])
+
+
+def ledger_records(ledger: DataFrame) -> DataFrame:
+    """Ledger rows as JSON objects, times as text; a missing time is left out."""
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("in_time", "out_time")}
+    return json_records(ledger.withColumns(text))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from provlens.functions.normalise import sql_ident
 from provlens.functions.text import format_postal
 from provlens.operators.affiliations import affiliation_block
-from provlens.operators.engagement import CLAIM_MEASURES, Measure, measures_frame
+from provlens.operators.engagement import CLAIM_MEASURES, Measure, measures_frame, totals_by_measure
 from provlens.operators.registry import provider_block
 from provlens.plans.position import with_position
 
@@ -53,13 +53,38 @@ def row_total(names: Sequence[str]):
     return F.expr(f"aggregate(array({items}), 0L, (acc, x) -> acc + x)")
 
 
-def ranked_view(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[str]) -> DataFrame:
-    """Rows with total > 0 over the chosen measures, with their position in
-    descending total (ties by npi). The total adds dollars, patients and
-    claims alike, as the reference does."""
-    chosen = [m.name for m in chosen_measures(measures, drugs) if m.name in view.columns]
-    totals = view.withColumn("total", row_total(chosen)).where(F.col("total") > 0)
-    return with_position(totals, [F.desc("total"), F.asc("npi")], "position")
+def totalled(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[str],
+             only: Iterable[str] | None = None) -> DataFrame:
+    """Rows with total > 0 over the chosen measures. The total adds dollars,
+    patients and claims alike, as the reference does; ``only`` restricts it to
+    the named measures (e.g. the payment categories, for dollars)."""
+    wanted = None if only is None else set(only)
+    chosen = [m.name for m in chosen_measures(measures, drugs)
+              if m.name in view.columns and (wanted is None or m.measure in wanted)]
+    return view.withColumn("total", row_total(chosen)).where(F.col("total") > 0)
+
+
+def ranked_view(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[str],
+                only: Iterable[str] | None = None, top: int | None = None) -> DataFrame:
+    """The rows of ``totalled`` by descending total (ties by npi): a range
+    sort, or with ``top`` only the first rows (each task keeps that many)."""
+    out = totalled(view, measures, drugs, only).orderBy(F.desc("total"), F.asc("npi"))
+    return out if top is None else out.limit(top)
+
+
+def ranked_positions(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[str]) -> DataFrame:
+    """npi, total and position in the ranked view, in order; only the keys are
+    numbered."""
+    keys = totalled(view, measures, drugs).select("npi", "total")
+    return with_position(keys, [F.desc("total"), F.asc("npi")], "position")
+
+
+def positioned_view(view: DataFrame, measures: Sequence[Measure], drugs: Iterable[str]) -> DataFrame:
+    """The ranked view with its positions: the wide rows meet their numbered
+    keys and are sorted by position."""
+    rows = totalled(view, measures, drugs)
+    keys = ranked_positions(view, measures, drugs).select(F.col("npi").alias("_npi"), "position")
+    return rows.join(keys, rows["npi"] == keys["_npi"]).drop("_npi").orderBy("position")
 
 
 def view_display(ranked: DataFrame, k: int = 4) -> DataFrame:
@@ -76,31 +101,29 @@ def view_display(ranked: DataFrame, k: int = 4) -> DataFrame:
     return ranked.select(*out)
 
 
-def measure_totals(wide: DataFrame, measures: Sequence[Measure], spark: SparkSession) -> DataFrame:
-    """Column sums of the wide table as (drug, measure, amount): one global
-    aggregate (partial per task), then a tiny unpivot."""
+def measure_totals(facts: DataFrame, measures: Sequence[Measure], spark: SparkSession) -> DataFrame:
+    """Sums per (drug, measure) for the listed measures, 0 where there is no
+    fact; from facts of the viewed providers, without a pivot."""
     if not measures:
         return spark.createDataFrame([], "drug string, measure string, amount bigint")
-    sums = wide.agg(*[F.expr(f"CAST(coalesce(sum({sql_ident(m.name)}), 0) AS BIGINT) AS {sql_ident(m.name)}")
-                      for m in measures])
-    long = sums.unpivot([], [F.col(sql_ident(m.name)) for m in measures], "name", "amount")
-    lookup = F.broadcast(measures_frame(spark, measures))
-    return long.join(lookup, "name").select("drug", "measure", "amount")
+    listed = F.broadcast(measures_frame(spark, measures).select("drug", "measure"))  # bounded by the pivot limit
+    return (listed.join(totals_by_measure(facts), ["drug", "measure"], "left")
+            .select("drug", "measure", F.coalesce("amount", F.lit(0).cast("bigint")).alias("amount")))
 
 
-def drug_category_totals(wide: DataFrame, measures: Sequence[Measure], spark: SparkSession) -> DataFrame:
+def drug_category_totals(facts: DataFrame, measures: Sequence[Measure], spark: SparkSession) -> DataFrame:
     """Payments per (drug, category) and the category's share of the drug."""
     pay = [m for m in measures if m.measure not in CLAIM_MEASURES]
-    t = measure_totals(wide, pay, spark).withColumnRenamed("measure", "category")
+    t = measure_totals(facts, pay, spark).withColumnRenamed("measure", "category")
     drug_total = F.sum("amount").over(Window.partitionBy("drug"))
     return t.withColumn("share", F.try_divide(F.col("amount").cast("double"), drug_total.cast("double")))
 
 
-def drug_measure_totals(wide: DataFrame, measures: Sequence[Measure], spark: SparkSession) -> DataFrame:
+def drug_measure_totals(facts: DataFrame, measures: Sequence[Measure], spark: SparkSession) -> DataFrame:
     """Total patients and claims per drug; a measure whose totals are all zero
     gives no rows (no chart)."""
     clm = [m for m in measures if m.measure in CLAIM_MEASURES]
-    t = measure_totals(wide, clm, spark)
+    t = measure_totals(facts, clm, spark)
     grand = F.sum("amount").over(Window.partitionBy("measure"))
     return t.withColumn("_g", grand).where(F.col("_g") != 0).drop("_g")
 

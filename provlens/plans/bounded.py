@@ -5,15 +5,16 @@ whose size is not known while the plan is built (one can be derived from a
 large table). Nothing is broadcast and nothing reaches the driver without a
 measured bound:
 
-* The main path is ``Selections.survey`` (one aggregation job over all
-  selection tables): it measures rows and bytes per table, and
-  ``Selections.small`` hints a broadcast only within ``BROADCAST_MAX_ROWS``
-  and ``BROADCAST_MAX_BYTES``.
+* ``Selections.sizes`` (one aggregate per asked table, all in one job)
+  measures rows and bytes of the tables a plan joins, and ``Selections.small``
+  hints a broadcast only within ``BROADCAST_MAX_ROWS`` and
+  ``BROADCAST_MAX_BYTES``; beyond them the join is a shuffle join, whatever the
+  number of rows.
 * ``broadcast_if_small`` is the stand-alone form for a single table: a
   ``limit(n + 1).count()`` job that stops after ``n + 1`` rows.
-* ``collect_bounded`` brings at most ``n`` rows to the driver and raises when
-  there are more; it is used only for facts that must be known to build the
-  plan (pivot column names, table sizes).
+* Names of pivot columns must be known to build a wide table. They are asked
+  for only then, and ``check_width`` is the one rule for all wide tables: at
+  most ``MAX_PIVOT_VALUES`` measure columns. The long form has no limit.
 """
 
 from __future__ import annotations
@@ -40,9 +41,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
-def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(
-            f"{what}: more than {limit} distinct values; use the long form output")
+def check_width(n_columns: int) -> None:
+    if n_columns > MAX_PIVOT_VALUES:
+        raise ValueError(f"{n_columns} or more measure columns (at most {MAX_PIVOT_VALUES}); use the long form")
+
+
+def collect_names(df: DataFrame) -> list[Row]:
+    """Rows that name pivot columns; each stands for at least one column."""
+    rows = df.limit(MAX_PIVOT_VALUES + 1).collect()
+    check_width(len(rows))
     return rows

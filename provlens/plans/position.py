@@ -8,14 +8,16 @@ single task. Instead:
 2. tag each row with its partition id and its id inside the partition,
    and write the tagged rows once to the shared folder (``materialise``:
    Parquet under ``spark.checkpoint.dir``), so the tags are fixed even if an
-   executor is lost later and work is recomputed;
+   executor is lost later and work is recomputed. Callers number narrow keys
+   and join wide rows to them;
 3. count rows per partition (one row per partition), turn the counts into
    offsets with a window over that tiny table, broadcast it (its size is the
    partition count) and add the offset to each row's id.
 
 With ``within`` columns, the position restarts for each group: the group
 columns lead the order, so each group is a contiguous run; its first global
-position comes from a distributed ``min`` per group.
+position comes from a distributed ``min`` per group and is joined null-safe, as
+null is a group like any other. The result is sorted.
 """
 
 from __future__ import annotations
@@ -44,8 +46,11 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     local = F.col("_rid") - F.shiftleft(F.col("_pid").cast("bigint"), ROW_ID_BITS)
     pos = tagged.join(F.broadcast(offsets), "_pid").withColumn("_gpos", F.col("_off") + local + 1)
     if within:
-        first = pos.groupBy(*within).agg(F.min("_gpos").alias("_first"))
-        pos = pos.join(first, list(within)).withColumn(name, F.col("_gpos") - F.col("_first") + 1)
+        first = pos.groupBy(*[F.col(c).alias(f"_{c}") for c in within]).agg(F.min("_gpos").alias("_first"))
+        same = F.lit(True)
+        for c in within:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        pos = pos.join(first, same).withColumn(name, F.col("_gpos") - F.col("_first") + 1)
     else:
         pos = pos.withColumn(name, F.col("_gpos"))
-    return pos.select(*df.columns, name)
+    return pos.orderBy("_gpos").select(*df.columns, name)

@@ -6,9 +6,9 @@ Plan shape (one DataFrame, optimised and run once):
    three broadcast left joins with the taxonomy.
 2. ``aff``  = affiliations cleaned and cut to the first k per provider.
 3. ``base`` = ``reg`` joined with ``aff`` on npi (inner, or left).
-4. ``wide`` = long facts (claims + payments) pivoted by npi with an explicit
-   column list and an activity total in the same aggregation; rows with
-   total <= 0 are dropped here, before the join.
+4. ``wide`` = facts (claims and payments, each row once) pivoted by npi with an
+   explicit column list and an activity total in the same aggregation; rows
+   with total <= 0 are dropped here, before the join.
 5. result = ``base`` inner ``wide`` on npi, columns in block order.
 
 The aggregation hash-partitions ``wide`` on npi and the affiliation ranking
@@ -57,11 +57,26 @@ def engagement_for(src, sel: Selections, opts: ProfileOptions = ProfileOptions()
                              src.payments if opts.payments else None, sel)
 
 
+def facts_for(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """All engagement facts of the chosen sources, not yet unpivoted."""
+    return E.facts(src.part_b if opts.part_b else None, src.part_d if opts.part_d else None,
+                   src.payments if opts.payments else None, sel)
+
+
+def viewed_facts(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """The facts of the providers that the profile shows: facts semi-joined
+    with the base providers whose activity total is above zero."""
+    sel.lookups.setdefault("taxonomy_table", src.taxonomy)
+    rows = facts_for(src, sel, opts)
+    shown = provider_base(src, sel, opts).select("npi").join(E.activity_totals(rows).select("npi"), "npi", "left_semi")
+    return rows.join(shown, "npi", "left_semi")
+
+
 def engagement_wide(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
                     keep_total: bool = False) -> DataFrame:
     """npi + one zero-filled column per measure (+ total when asked)."""
     measures = measures_for(sel, opts)
-    wide = E.pivot_wide(engagement_for(src, sel, opts), measures, total=TOTAL)
+    wide = E.pivot_wide(facts_for(src, sel, opts), measures, total=TOTAL)
     if opts.activity_filter:
         wide = wide.where(F.col(TOTAL) > 0)
     return wide if keep_total else wide.drop(TOTAL)
@@ -86,7 +101,8 @@ def profile(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
     observations of the one job that runs the plan: read them with
     ``shapes[name].get`` after the action.
     """
-    sel.prefetch()  # the survey job runs while the survey-free parts are built
+    sel.lookups.setdefault("taxonomy_table", src.taxonomy)  # measured with the selections
+    sel.prefetch()  # sizes and names are asked for while the other parts are built
     aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k) \
         if opts.with_affiliations else None
     for name in ("part_b", "part_d", "payments", "providers", "taxonomy"):
@@ -107,26 +123,3 @@ def profile(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
     if shapes is not None:
         out, shapes["result"] = observe_rows(out, "result")
     return out
-
-
-def profile_staged(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """The same result executed in the reference's shape, for measurement only:
-    an action after each stage and a CSV round trip of the intermediate
-    (registry x engagement) before the affiliation join. ``profile`` is the
-    form to use; this one exists to show what the extra actions cost.
-    """
-    from provlens.sources.files import csv_roundtrip
-
-    measures = measures_for(sel, opts)
-    long = engagement_for(src, sel, opts)
-    long.count()
-    wide = E.pivot_wide(long, measures, total=TOTAL)
-    wide.count()
-    reg = R.registry_filtered(src.providers, src.taxonomy, sel)
-    reg.count()
-    phase1 = csv_roundtrip(reg.join(wide, "npi", "inner"), "phase-1")
-    phase1.count()
-    aff = A.affiliations_top(A.affiliations_clean(src.affiliations), opts.top_k)
-    cols = R.provider_block(phase1) + list(A.affiliation_block(opts.top_k)) + \
-        [F.col(sql_ident(m.name)) for m in measures]
-    return phase1.join(aff, "npi", opts.affiliation_join).where(F.col(TOTAL) > 0).select(*cols)

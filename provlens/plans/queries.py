@@ -6,7 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from provlens.functions.normalise import sql_ident
 from provlens.operators import affiliations as A
 from provlens.operators import catalog as CT
 from provlens.operators import claims as C
@@ -18,6 +20,7 @@ from provlens.operators import runs as RN
 from provlens.operators import viewer as V
 from provlens.plans import profile as PR
 from provlens.sources import files as FS
+from provlens.sources.results import SavedResult, save_result, text_of
 from provlens.sources.selections import Selections, stack_selections
 from provlens.session import scratch_dir
 from provlens.sources.tables import Inputs
@@ -99,8 +102,8 @@ def q_claims_by_provider_drug(spark, sf_dir):
 @query("claims_wide")
 def q_claims_wide(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
-    long = C.claims_long(C.normalised_claims(i.part_b, i.part_d, sel))
-    return E.pivot_wide(long, E.claim_measures(sel))
+    union = C.normalised_claims(i.part_b, i.part_d, sel)
+    return E.pivot_wide(E.claim_facts(union), E.claim_measures(sel))
 
 
 # ---- payments --------------------------------------------------------------
@@ -138,15 +141,14 @@ def q_payments_by_category(spark, sf_dir):
 @query("payments_wide")
 def q_payments_wide(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
-    long = P.payments_long(P.payments_mapped(i.payments, sel))
-    return E.pivot_wide(long, E.payment_measures(sel))
+    return E.pivot_wide(E.payment_facts(P.payments_mapped(i.payments, sel)), E.payment_measures(sel))
 
 
 @query("engagement_outer")
 def q_engagement_outer(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
-    pay = E.pivot_wide(P.payments_long(P.payments_mapped(i.payments, sel)), E.payment_measures(sel))
-    clm = E.pivot_wide(C.claims_long(C.normalised_claims(i.part_b, i.part_d, sel)), E.claim_measures(sel))
+    pay = E.pivot_wide(E.payment_facts(P.payments_mapped(i.payments, sel)), E.payment_measures(sel))
+    clm = E.pivot_wide(E.claim_facts(C.normalised_claims(i.part_b, i.part_d, sel)), E.claim_measures(sel))
     return E.engagement_outer(pay, clm)
 
 
@@ -231,13 +233,13 @@ def q_profile_part_d_only(spark, sf_dir):
 @query("activity_filter")
 def q_activity_filter(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
-    return E.activity_totals(PR.engagement_for(i, sel), PR.measures_for(sel))
+    return E.activity_totals(PR.facts_for(i, sel), PR.measures_for(sel))
 
 
 @query("wide_naming")
 def q_wide_naming(spark, sf_dir):
     _, sel = _ctx(spark, sf_dir)
-    return E.measures_frame(spark, PR.measures_for(sel))
+    return E.measure_table(sel)
 
 
 @query("wide_to_long")
@@ -250,6 +252,7 @@ def q_wide_to_long(spark, sf_dir):
 
 
 VIEW_DRUGS = ("BRAND#2", "BRAND#3")
+TOP_ROWS = 20
 CATALOG_QUERY = "widget"
 
 
@@ -277,15 +280,6 @@ def q_catalog_roundtrip(spark, sf_dir):
     return FS.json_roundtrip(CT.catalog_drugs(i.part_d), "catalog-json")
 
 
-@query("catalog_document_roundtrip")
-def q_catalog_document_roundtrip(spark, sf_dir):
-    """The drug catalogue as one {"drugs": [...]} document (row bound checked)."""
-    i, _ = _ctx(spark, sf_dir)
-    path = scratch_dir(spark, "catalog-doc")
-    FS.write_catalog_document(CT.catalog_drugs(i.part_d), path, "drugs")
-    return FS.read_catalog_document(spark, path, "drugs", "Brnd_Name string, Gnrc_Name string")
-
-
 # ---- viewer ----------------------------------------------------------------
 
 def _profile_and_measures(spark, sf_dir):
@@ -302,14 +296,48 @@ def q_view_filtered(spark, sf_dir):
 @query("ranked_view")
 def q_ranked_view(spark, sf_dir):
     prof, ms = _profile_and_measures(spark, sf_dir)
-    ranked = V.ranked_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS)
-    return ranked.select("npi", "total", "position")
+    return V.ranked_positions(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS)
+
+
+@query("ranked_dollars")
+def q_ranked_dollars(spark, sf_dir):
+    """Ranked by dollars only: the total leaves patients and claims out."""
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    only = {m.measure for m in ms} - set(E.CLAIM_MEASURES)
+    return V.ranked_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS, only).select("npi", "total")
+
+
+@query("ranked_top")
+def q_ranked_top(spark, sf_dir):
+    """The first rows of the ranked view (a top-k report)."""
+    prof, ms = _profile_and_measures(spark, sf_dir)
+    return V.ranked_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS, top=TOP_ROWS).select("npi", "total")
 
 
 @query("view_display")
 def q_view_display(spark, sf_dir):
     prof, ms = _profile_and_measures(spark, sf_dir)
-    return V.view_display(V.ranked_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS))
+    return V.view_display(V.positioned_view(V.view_filtered(prof, ms, VIEW_DRUGS), ms, VIEW_DRUGS))
+
+
+@query("view_saved")
+def q_view_saved(spark, sf_dir):
+    """A saved result opened again: drugs and measures from the saved list."""
+    saved = _saved(spark, sf_dir)
+    return V.view_filtered(saved.profile, saved.measures, VIEW_DRUGS)
+
+
+@query("saved_category_totals")
+def q_saved_category_totals(spark, sf_dir):
+    saved = _saved(spark, sf_dir)
+    return V.drug_category_totals(saved.viewed_facts(), saved.measures, spark)
+
+
+def _saved(spark, sf_dir) -> SavedResult:
+    i, sel = _ctx(spark, sf_dir)
+    path = scratch_dir(spark, "result")
+    save_result(path, PR.profile(i, sel), PR.engagement_for(i, sel), E.measure_table(sel))
+    return SavedResult.open(spark, path)
 
 
 @query("postal_format")
@@ -320,14 +348,14 @@ def q_postal_format(spark, sf_dir):
 
 @query("drug_category_totals")
 def q_drug_category_totals(spark, sf_dir):
-    prof, ms = _profile_and_measures(spark, sf_dir)
-    return V.drug_category_totals(prof, ms, spark)
+    i, sel = _ctx(spark, sf_dir)
+    return V.drug_category_totals(PR.viewed_facts(i, sel), PR.measures_for(sel), spark)
 
 
 @query("drug_measure_totals")
 def q_drug_measure_totals(spark, sf_dir):
-    prof, ms = _profile_and_measures(spark, sf_dir)
-    return V.drug_measure_totals(prof, ms, spark)
+    i, sel = _ctx(spark, sf_dir)
+    return V.drug_measure_totals(PR.viewed_facts(i, sel), PR.measures_for(sel), spark)
 
 
 # ---- catalogues --------------------------------------------------------------
@@ -356,6 +384,20 @@ def q_catalog_categories(spark, sf_dir):
     return CT.catalog_categories(i.payments, spark)
 
 
+@query("catalog_categories_public")
+def q_catalog_categories_public(spark, sf_dir):
+    """Natures as the public file spells them: every default name occurs."""
+    i, _ = _ctx(spark, sf_dir)
+    return CT.catalog_categories(i.payments_public, spark)
+
+
+@query("payments_mapped_public")
+def q_payments_mapped_public(spark, sf_dir):
+    """The fixed recode of the public file's natures, every arm taken."""
+    i, sel = _ctx(spark, sf_dir)
+    return P.payments_mapped_regex(i.payments_public, sel, P.PUBLIC_FILE_EQUAL_ARMS, P.PUBLIC_FILE_PATTERN_ARMS)
+
+
 def _labels(i: Inputs) -> DataFrame:
     return CT.catalog_labels(CT.catalog_procedures(i.part_b), CT.catalog_drugs(i.part_d))
 
@@ -410,7 +452,7 @@ HISTORY_USER = "BUILDING"
 @query("runs_of_user")
 def q_runs_of_user(spark, sf_dir):
     i, _ = _ctx(spark, sf_dir)
-    return RN.user_history(RN.run_ledger(i.runs_submitted, i.runs_finished), HISTORY_USER)
+    return RN.user_positions(RN.run_ledger(i.runs_submitted, i.runs_finished), HISTORY_USER)
 
 
 # ---- quality -----------------------------------------------------------------
@@ -428,13 +470,23 @@ def q_table_shape(spark, sf_dir):
 @query("null_report")
 def q_null_report(spark, sf_dir):
     i, _ = _ctx(spark, sf_dir)
-    return QL.null_report({n: i.view(n) for n in ("providers", "affiliations", "payments")})
+    return QL.null_report({n: i.view(n) for n in VIEW_NAMES})
 
 
 @query("non_numeric_report")
 def q_non_numeric_report(spark, sf_dir):
     i, _ = _ctx(spark, sf_dir)
-    return QL.non_numeric_report({n: i.view(n) for n in ("providers", "taxonomy")})
+    return QL.non_numeric_report({n: i.view(n) for n in VIEW_NAMES})
+
+
+@query("measure_text_report")
+def q_measure_text_report(spark, sf_dir):
+    """Text in the measure columns of an exported profile, read as text."""
+    i, sel = _ctx(spark, sf_dir)
+    ms = PR.measures_for(sel)
+    path = scratch_dir(spark, "exported")
+    FS.write_csv(PR.profile(i, sel), path)
+    return QL.non_numeric_report({"profile": text_of(spark, path).select(*[F.col(sql_ident(m.name)) for m in ms])})
 
 
 @query("json_records")
@@ -446,6 +498,6 @@ def q_json_records(spark, sf_dir):
 
 @query("json_ledger_records")
 def q_json_ledger_records(spark, sf_dir):
-    """Run-ledger rows as JSON (timestamps in Spark's JSON form: rows-only check)."""
+    """Run-ledger rows as JSON, times as text."""
     i, _ = _ctx(spark, sf_dir)
-    return QL.json_records(RN.run_ledger(i.runs_submitted, i.runs_finished))
+    return RN.ledger_records(RN.run_ledger(i.runs_submitted, i.runs_finished))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -39,9 +43,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
     On a cluster this is ``spark.checkpoint.dir`` (a folder every executor
-    can reach), read from the session. Only when the session has none (local
-    tests) is a folder created, and registered with the SparkContext (when
-    there is one) so ``DataFrame.checkpoint()`` works as well.
+    can reach), read from the session. Only a local session without one (tests)
+    gets a temporary folder, removed when the process ends; on a cluster the
+    missing setting is an error, as every executor would write to its own disk.
     """
     try:
         sc = spark.sparkContext
@@ -52,7 +56,13 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = _LOCAL_ROOT.setdefault("dir", tempfile.mkdtemp(prefix="provlens-ckpt-"))
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if "dir" not in _LOCAL_ROOT:
+            _LOCAL_ROOT["dir"] = tempfile.mkdtemp(prefix="provlens-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOT["dir"], ignore_errors=True)
+        configured = _LOCAL_ROOT["dir"]
     if sc is not None:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
@@ -65,4 +75,30 @@ _LOCAL_ROOT: dict[str, str] = {}
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/provlens-{label}-{uuid.uuid4().hex}"
+    path = f"{root}/provlens-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def filesystem_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (``file:/x`` as Hadoop writes it, too)."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    if "://" not in path:
+        path = os.path.abspath(path)
+    return fs.FileSystem.from_uri(path)
+
+
+def remove_scratch() -> int:
+    """Remove the scratch folders handed out in this process; for the end of a
+    run, when nothing reads them any more. Returns how many there were."""
+    removed = 0
+    while _MADE:
+        store, path = filesystem_of(_MADE.pop())
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_dir(path)
+            removed += 1
+    return removed

@@ -8,11 +8,8 @@ shared scratch folder (``spark.checkpoint.dir``), never on a machine-local path.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from provlens.functions.normalise import sql_ident
-from provlens.plans.bounded import row_count_at_most
 from provlens.session import scratch_dir
 
 # Declared schemas of the public files, as the engine uses them.
@@ -28,20 +25,25 @@ SCHEMAS = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType,
-             header: bool = True, bad_records_column: str | None = None) -> DataFrame:
-    """CSV scan with a declared schema. With ``bad_records_column`` the schema
-    must contain that string column; malformed lines land there instead of
-    failing the job."""
-    reader = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+             header: bool = True, bad_records_column: str | None = None,
+             multiline: bool = False) -> DataFrame:
+    """CSV scan with a declared schema; quotes inside quoted fields are doubled,
+    as other CSV tools write them. ``multiline`` allows line breaks inside quoted
+    fields, at the price of one task per file. With ``bad_records_column`` the
+    schema must contain that string column; malformed lines land there instead
+    of failing the job."""
+    reader = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+              .option("escape", '"').option("multiLine", multiline))
     if bad_records_column:
         reader = reader.option("columnNameOfCorruptRecord", bad_records_column)
     return reader.csv(path)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Header CSV folder; one file only on request (it funnels through one task)."""
+    """Header CSV folder, quotes doubled; one file only on request (all rows
+    then pass through one task: for small results)."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def suggest_schema(spark: SparkSession, path: str, sampling_ratio: float = 0.01) -> StructType:
@@ -55,7 +57,8 @@ def csv_roundtrip(df: DataFrame, label: str = "csv") -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     write_csv(df, path)
-    return read_csv(spark, path, df.schema)
+    # part files are small, so reading each in one task (for line breaks in fields) costs little
+    return read_csv(spark, path, df.schema, multiline=True)
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -78,23 +81,6 @@ def json_roundtrip(df: DataFrame, label: str = "json") -> DataFrame:
     return spark.read.schema(df.schema).json(path)
 
 
-# Largest catalogue written as one JSON document (one task builds it).
-CATALOG_DOCUMENT_MAX_ROWS = 1_000_000
-
-
-def write_catalog_document(df: DataFrame, path: str, array_field: str,
-                           max_rows: int = CATALOG_DOCUMENT_MAX_ROWS) -> None:
-    """Write ``{"<field>": [{...}, ...]}`` as one JSON file, the form the
-    selection pickers read. One document is built by one task, so its size is
-    checked first (``limit(n + 1).count()``) and a larger catalogue raises;
-    use ``df.write.json`` (JSON lines) for those."""
-    if not row_count_at_most(df, max_rows):
-        raise ValueError(f"catalogue has more than {max_rows} rows; write JSON lines instead")
-    items = F.struct(*[F.col(sql_ident(c)) for c in df.columns])
-    doc = df.agg(F.sort_array(F.collect_list(items)).alias(array_field))
-    doc.coalesce(1).write.mode("overwrite").json(path)
-
-
 def read_catalog_document(spark: SparkSession, path: str, array_field: str, item_schema: str) -> DataFrame:
     """Read a catalogue saved as one JSON document ``{"<field>": [{...}, ...]}``."""
     schema = f"{array_field} array<struct<{item_schema}>>"

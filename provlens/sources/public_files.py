@@ -4,9 +4,13 @@ input shapes the operators take (same attributes as ``Inputs``).
 Only the columns the engine uses are declared. The files are read as text
 columns named by their header (no type inference), the used columns are
 selected by name and cast to the declared types (``try_cast``: a malformed
-value becomes null, as in PERMISSIVE mode). Extra columns in a new edition are
-ignored; a missing one fails when the plan is built. Spark prunes the unused
-columns at the scan.
+value becomes null, as in PERMISSIVE mode, and is counted: ``bad_values``).
+Extra columns in a new edition are ignored; a missing one fails when the plan
+is built. Spark prunes the unused columns at the scan.
+
+Quotes inside quoted fields are doubled in these files. A source whose fields
+hold line breaks must be named in ``multiline``; each of its files is then read
+by one task, so such a source should come in many files.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Column names of the public files as published.
@@ -41,6 +45,9 @@ REGISTRY_COLUMNS = {
 TAXONOMY_COLUMNS = ("Code", "Classification", "Specialization")
 AFFILIATION_COLUMNS = {"NPI": "NPI", "Facility Name": "facility_name", "org_pac_id": "org_pac_id"}
 
+# Sources whose text fields may hold line breaks.
+MULTILINE = ("affiliations",)
+
 TYPES = {
     "Rndrng_NPI": "bigint", "Tot_Benes": "bigint", "Tot_Srvcs": "double", "Prscrbr_NPI": "bigint",
     "Tot_Clms": "bigint", "Covered_Recipient_NPI": "bigint", "Total_Amount_of_Payment_USDollars": "double",
@@ -55,11 +62,27 @@ class PublicFiles:
 
     spark: SparkSession
     files: dict = field(default_factory=dict)
+    multiline: tuple = MULTILINE
+    # per source: an observation of the numbers that could not be read, filled by the job that reads them
+    bad_values: dict = field(default_factory=dict, repr=False)
 
     def _csv(self, key: str, columns) -> DataFrame:
-        raw = self.spark.read.option("header", True).csv(self.files[key])
+        raw = (self.spark.read.option("header", True).option("escape", '"')
+               .option("multiLine", key in self.multiline).csv(self.files[key]))
+        numbers = [c for c in columns if c in TYPES]
+        if numbers:
+            seen = Observation(f"bad values of {key}")
+            self.bad_values[key] = seen
+            raw = raw.observe(seen, *[
+                F.count_if((F.trim(F.col(f"`{c}`")) != "") & F.col(f"`{c}`").try_cast(TYPES[c]).isNull()).alias(c)
+                for c in numbers])
         return raw.select(*[F.col(f"`{c}`").try_cast(TYPES.get(c, "string")).alias(c) for c in columns])
 
+    def bad_value_counts(self, sources) -> dict[str, dict[str, int]]:
+        """source -> column -> numbers that could not be read, for sources that
+        an action has read (the count of any other would be waited for)."""
+        return {key: dict(self.bad_values[key].get) for key in sources if key in self.bad_values}
+
     @cached_property
     def part_b(self) -> DataFrame:
         return self._csv("part_b", PART_B_COLUMNS)

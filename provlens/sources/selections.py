@@ -6,8 +6,8 @@ Normalised shapes (all text trimmed, blank -> null):
 * ``part_d``       brand, drug         (lower-case brand -> canonical drug)
 * ``drugs``        drug                (drugs whose payments are wanted)
 * ``taxonomy``     code                (empty table = no taxonomy filter)
-* ``category_map`` original, renamed   (one row per original; ``renamed`` is
-  null when unmapped, and such natures fall to ``OTHERS_GENERAL``)
+* ``category_map`` original, renamed   (one row per original, renames upper case;
+  ``renamed`` is null when unmapped, and such natures fall to ``OTHERS_GENERAL``)
 
 Canonical drug names are upper case everywhere. A selection row whose code or
 brand is blank is rejected as a pair, so lists cannot slip against each other.
@@ -17,15 +17,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from provlens.functions.normalise import blank_to_null, lower_key, upper_key
-from provlens.plans.bounded import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS,
-                                    MAX_PIVOT_VALUES, collect_bounded)
+from provlens.plans.bounded import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, collect_names
 
 DEFAULT_CATEGORY = "OTHERS_GENERAL"
+OPTIONAL = ("part_b", "part_d")  # a missing table means "not selected"
 
 SCHEMAS = {
     "part_b": "HCPCS_Cd string, BRAND string",
@@ -69,11 +70,15 @@ def norm_taxonomy(raw: DataFrame) -> DataFrame:
 
 def norm_category_map(raw: DataFrame) -> DataFrame:
     """One row per original nature; a blank or missing rename becomes null
-    (unmapped). With duplicate originals the smallest non-null rename wins,
-    which is deterministic whatever the row order.
+    (unmapped). Renames are upper case, like drugs, so that two spellings of
+    one name are one category.
+
+    Decision: with duplicate originals the smallest non-null rename wins. The
+    sheet the user fills in is offered with one row per nature; a table has no
+    first row, so "the first one wins" would depend on how it is read.
     """
     df = raw.select(F.col("Original").alias("original"),
-                    blank_to_null("Renamed").alias("renamed"))
+                    upper_key("Renamed").alias("renamed"))
     return (df.where(F.col("original").isNotNull())
             .groupBy("original").agg(F.min("renamed").alias("renamed")))
 
@@ -85,9 +90,11 @@ class Selections:
     drugs: DataFrame
     taxonomy: DataFrame
     category_map: DataFrame
-    _small: dict = field(default_factory=dict, repr=False)
-    # extra lookup tables (e.g. the taxonomy) sized by the same survey job
+    # extra lookup tables (e.g. the taxonomy) measured in the same job
     lookups: dict = field(default_factory=dict, repr=False)
+    _sizes: dict = field(default_factory=dict, repr=False)
+    _names: dict | None = field(default=None, repr=False)
+    _future: object = field(default=None, repr=False)
 
     @classmethod
     def from_raw(cls, sel_b: DataFrame | None, sel_d: DataFrame | None, sel_drugs: DataFrame,
@@ -129,8 +136,8 @@ class Selections:
         def rd(key):
             try:
                 return spark.read.schema(SCHEMAS[key]).parquet(f"{path}/{key}")
-            except Exception as exc:  # a missing optional table means "not selected"
-                if key in ("part_b", "part_d") and "PATH_NOT_FOUND" in str(exc):
+            except AnalysisException as exc:  # a missing optional table means "not selected"
+                if key in OPTIONAL and "PATH_NOT_FOUND" in str(exc):
                     return None
                 raise
         return cls.from_raw(rd("part_b"), rd("part_d"), rd("drugs"), rd("taxonomy"),
@@ -143,78 +150,75 @@ class Selections:
         of ``SCHEMAS``; a missing ``part_b`` / ``part_d`` means "not selected"."""
         def rd(key):
             if key not in paths:
-                if key in ("part_b", "part_d"):
+                if key in OPTIONAL:
                     return None
                 return spark.createDataFrame([], SCHEMAS[key])
-            if fmt == "csv":  # text columns by header name, then the declared ones
-                raw = spark.read.option("header", True).csv(paths[key])
-                names = [c.split()[0] for c in SCHEMAS[key].split(", ")]
-                return raw.select(*[F.col(c).cast("string") for c in names])
-            return spark.read.schema(SCHEMAS[key]).json(paths[key])
+            return _read_selection(spark, key, paths[key], fmt)
         return cls.from_raw(rd("part_b"), rd("part_d"), rd("drugs"), rd("taxonomy"),
                             rd("category_map"), dedupe_interest)
 
-    # ---- one survey job: sizes for broadcast decisions + pivot names ------
-
-    def survey(self) -> dict[str, tuple[int, list[str]]]:
-        """Per table: (row count, distinct values of its drug / rename column).
-
-        One aggregation job over the stacked selection tables (plus any extra
-        lookup tables registered in ``lookups``) answers every question the
-        plan needs before it can be built: which tables are small enough to
-        broadcast, and which pivot columns exist. At most a bounded number of
-        (table, value) groups reach the driver; more raises instead of
-        building an unbounded pivot.
-        """
-        if "_survey" not in self._small:
-            future = self._small.get("_future")
-            if future is not None:
-                future.result()  # started by prefetch(); re-raises its error
-            else:
-                self._compute_survey()
-        return self._small["_survey"]
-
-    def _compute_survey(self) -> None:
-        parts = []
-        value_cols = {"part_b": "drug", "part_d": "drug", "drugs": "drug",
-                      "category_map": "renamed"}
-        for kind, df in self._tables().items():
-            vc = value_cols.get(kind)
-            v = F.col(vc) if vc else F.lit(None).cast("string")
-            parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value"),
-                                   _row_bytes(df).alias("bytes")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        limit = 4 * MAX_PIVOT_VALUES + len(parts)
-        stats = u.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-        rows = collect_bounded(stats, limit, "selection values")
-        out: dict[str, tuple[int, list[str]]] = {k: (0, []) for k in self._tables()}
-        size: dict[str, int] = {k: 0 for k in self._tables()}
-        for r in rows:
-            n, vals = out[r["kind"]]
-            out[r["kind"]] = (n + r["n"], vals + ([r["value"]] if r["value"] is not None else []))
-            size[r["kind"]] += int(r["b"] or 0)
-        self._small["_bytes"] = size
-        self._small["_survey"] = out
-
-    def prefetch(self) -> None:
-        """Start the survey job in a background thread (Spark's thread-local
-        properties, e.g. the job group, are inherited) so the caller can
-        build the parts of a plan that do not depend on it meanwhile."""
-        if "_survey" in self._small or "_future" in self._small:
+    @classmethod
+    def from_folder(cls, spark: SparkSession, folder: str, fmt: str = "csv",
+                    dedupe_interest: bool = False) -> "Selections":
+        """``<folder>/<key>.<fmt>`` for every key of ``SCHEMAS``, on any file
+        system Spark reads. Only ``part_b`` and ``part_d`` may be missing ("not
+        selected"); any other missing file is an error."""
+        def rd(key):
+            try:
+                return _read_selection(spark, key, f"{folder.rstrip('/')}/{key}.{fmt}", fmt)
+            except AnalysisException as exc:
+                if key in OPTIONAL and "PATH_NOT_FOUND" in str(exc):
+                    return None
+                raise
+        return cls.from_raw(rd("part_b"), rd("part_d"), rd("drugs"), rd("taxonomy"),
+                            rd("category_map"), dedupe_interest)
+
+    # ---- sizes for broadcast decisions -------------------------------------
+
+    def sizes(self, *names: str) -> dict[str, tuple[int, int]]:
+        """(rows, bytes) of the named tables: one job for those not yet
+        measured, one row per table, however many rows a table has."""
+        wanted = [n for n in names if n not in self._sizes]
+        if wanted:
+            parts = [self._tables()[n].select(F.lit(n).alias("kind"), _row_bytes(self._tables()[n]).alias("bytes"))
+                     for n in wanted]
+            stacked = parts[0]
+            for p in parts[1:]:
+                stacked = stacked.unionByName(p)
+            got = {r["kind"]: (r["n"], int(r["b"] or 0)) for r in stacked.groupBy("kind").agg(
+                F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()}
+            for n in wanted:
+                self._sizes[n] = got.get(n, (0, 0))
+        return {n: self._sizes[n] for n in names}
+
+    def prefetch(self, wide: bool = True) -> None:
+        """Measure all tables and, for a wide table, ask for its names in a
+        background thread (Spark's thread-local properties, e.g. the job group,
+        are inherited), so that the parts of a plan that need neither can be
+        built meanwhile."""
+        if self._future is not None:
             return
         from concurrent.futures import ThreadPoolExecutor
 
         from pyspark.util import inheritable_thread_target
+
+        def work():
+            self.sizes(*self._tables())
+            if wide:
+                self.names()
         try:
-            target = inheritable_thread_target(self.drugs.sparkSession)(self._compute_survey)
+            target = inheritable_thread_target(self.drugs.sparkSession)(work)
         except Exception:  # no thread-local inheritance available: stay synchronous
             return
         pool = ThreadPoolExecutor(max_workers=1)
-        self._small["_future"] = pool.submit(target)
+        self._future = pool.submit(target)
         pool.shutdown(wait=False)
 
+    def _wait(self) -> None:
+        future, self._future = self._future, None
+        if future is not None:
+            future.result()  # re-raises its error
+
     def _tables(self) -> dict[str, DataFrame]:
         t = {"drugs": self.drugs, "taxonomy": self.taxonomy, "category_map": self.category_map}
         if self.part_b is not None:
@@ -225,33 +229,54 @@ class Selections:
         return t
 
     def small(self, name: str) -> DataFrame:
-        """The table, with a broadcast hint only if the survey measured it
-        within both the row and the byte limit; otherwise a shuffle join."""
+        """The table, with a broadcast hint only if it was measured within both
+        the row and the byte limit; otherwise a shuffle join."""
         df = self._tables()[name]
-        n, _ = self.survey()[name]
-        nbytes = self._small["_bytes"][name]
+        n, nbytes = self.measured(name)
         return F.broadcast(df) if n <= BROADCAST_MAX_ROWS and nbytes <= BROADCAST_MAX_BYTES else df
 
     def measured(self, name: str) -> tuple[int, int]:
-        """(rows, bytes) of a table as measured by the survey."""
-        return self.survey()[name][0], self._small["_bytes"][name]
-
-    # ---- pivot names (from the survey) ---------------------------------
+        """(rows, bytes) of a table."""
+        self._wait()
+        return self.sizes(name)[name]
+
+    # ---- names of pivot columns, asked for only by wide tables -------------
+
+    def names(self) -> dict[str, list[str]]:
+        """Distinct drugs and renames of the selection tables, in one job."""
+        if self._names is None:
+            columns = {"part_b": "drug", "part_d": "drug", "drugs": "drug", "category_map": "renamed"}
+            parts = [df.select(F.lit(kind).alias("kind"), F.col(columns[kind]).alias("value"))
+                     for kind, df in self._tables().items() if kind in columns]
+            stacked = parts[0]
+            for p in parts[1:]:
+                stacked = stacked.unionByName(p)
+            found: dict[str, list[str]] = {}
+            for r in collect_names(stacked.where(F.col("value").isNotNull()).distinct()):
+                found.setdefault(r["kind"], []).append(r["value"])
+            self._names = found
+        return self._names
 
     def categories(self) -> list[str]:
-        names = set(self.survey()["category_map"][1]) - {DEFAULT_CATEGORY}
-        return sorted(names) + [DEFAULT_CATEGORY]
+        self._wait()
+        return sorted(set(self.names().get("category_map", [])) - {DEFAULT_CATEGORY}) + [DEFAULT_CATEGORY]
 
     def payment_drugs(self) -> list[str]:
-        return sorted(set(self.survey()["drugs"][1]))
+        self._wait()
+        return sorted(self.names().get("drugs", []))
 
     def claim_drugs(self) -> list[str]:
-        s = self.survey()
-        vals = set()
-        for k in ("part_b", "part_d"):
-            if k in s:
-                vals |= set(s[k][1])
-        return sorted(vals)
+        self._wait()
+        return sorted({v for k in OPTIONAL for v in self.names().get(k, [])})
+
+
+def _read_selection(spark: SparkSession, key: str, path: str, fmt: str) -> DataFrame:
+    if fmt == "csv":  # text columns by header name, then the declared ones
+        # selection sheets are small: line breaks in fields are allowed, one task per file
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        names = [c.split()[0] for c in SCHEMAS[key].split(", ")]
+        return raw.select(*[F.col(c).cast("string") for c in names])
+    return spark.read.schema(SCHEMAS[key]).json(path)
 
 
 def stack_selections(sel: Selections) -> DataFrame:

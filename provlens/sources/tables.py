@@ -25,6 +25,15 @@ BASE_TABLES = (
     "conversations",
 )
 
+# Natures of payment as the public file spells them; the first six have a default short name.
+PUBLIC_NATURES = (
+    "Education", "Travel and Lodging", "Food and Beverage", "Consulting Fee",
+    "Compensation for services other than consulting, including serving as faculty or as a "
+    "speaker at a venue other than a continuing education program",
+    "Compensation for serving as faculty or as a speaker for a medical education program",
+    "Gift", "Royalty or License",
+)
+
 # Declared schemas of the base tables the engine reads: no inference job at
 # scan time, and a changed file fails loudly instead of drifting types.
 BASE_SCHEMAS = {
@@ -128,6 +137,22 @@ class Inputs:
             .alias("Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1"),
         )
 
+    @cached_property
+    def payments_public(self) -> DataFrame:
+        """The payments with natures as the public file names them, so that
+        every arm of the fixed recodes occurs."""
+        k = F.replace(F.replace(F.col("props"), F.lit('{"k": '), F.lit("")),
+                      F.lit("}"), F.lit("")).cast("int")
+        natures = F.array(*[F.lit(n) for n in PUBLIC_NATURES])
+        ev = self.table("events")
+        return ev.select(
+            F.col("user_id").alias("Covered_Recipient_NPI"),
+            F.col("value").alias("Total_Amount_of_Payment_USDollars"),
+            F.element_at(natures, k % len(PUBLIC_NATURES) + 1).alias("Nature_of_Payment_or_Transfer_of_Value"),
+            F.concat(F.lit("Brand#"), _str(k % 25 + 1))
+            .alias("Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1"),
+        )
+
     @cached_property
     def providers(self) -> DataFrame:
         """Provider registry, one row per NPI."""
@@ -163,7 +188,7 @@ class Inputs:
     @cached_property
     def affiliations(self) -> DataFrame:
         """Facility affiliations: (NPI, facility name, organisation id)."""
-        li = self.table("lineitem").where(F.col("l_suppkey") % 10 < 3)
+        li = self.table("lineitem")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         sup = self.table("supplier").select("s_suppkey", "s_name")
         j = (li.join(orders, li["l_orderkey"] == orders["o_orderkey"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from provlens.operators import affiliations as A
@@ -198,6 +199,7 @@ def test_public_files_with_published_headers(spark, tmp_path):
     assert (r["HUMIRA_EDUCATION"], r["HUMIRA_Claims"], r["HUMIRA_Patients"]) == (10, 2 + 4, 3)
     assert (r["Facility_Name_1"], r["Org_pac_id_1"]) == ("General Hospital", 123)
     assert shapes["result"].get["n_rows"] == 1 and shapes["base"].get["n_rows"] == 1
+    assert src.bad_value_counts(["part_b"])["part_b"] == {"Rndrng_NPI": 0, "Tot_Benes": 0, "Tot_Srvcs": 0}
     disp = V.view_display(V.ranked_view(V.view_filtered(PR.profile(src, sel), PR.measures_for(sel), ["All"]),
                                         PR.measures_for(sel), ["All"])).collect()[0]
     assert disp["postal_code"] == "02138-1234" and disp["middle_name"] == "" and disp["city"] == "TOWN"
@@ -278,7 +280,7 @@ def test_catalog_document_form(spark, tmp_path):
 def test_broadcast_needs_both_row_and_byte_bounds(spark, monkeypatch):
     import provlens.sources.selections as S
     sel = Selections.from_rows(spark, drugs=["a", "b"], category_map=[("x", "Y")])
-    assert sel.measured("drugs") == (2, 2)
+    assert sel.measured("drugs") == (2, 2) and sel.measured("taxonomy") == (0, 0)
     from tests.test_plans import explain
     assert "strategy=broadcast" in explain(sel.small("drugs").join(sel.drugs, "drug"), "extended")
     monkeypatch.setattr(S, "BROADCAST_MAX_BYTES", 1)
@@ -292,6 +294,7 @@ def test_taxonomy_filter_small_and_large_paths_agree(spark):
     i = Inputs(spark, SF_SMALL)
     sel = Selections.from_inputs(i)
     reg = R.registry_select(i.providers)
+    reg = reg.unionByName(reg.limit(3).withColumn("npi", F.lit(None).cast("bigint")))  # malformed npis
     small = R.taxonomy_code_filter(reg, sel, large=False)
     large = R.taxonomy_code_filter(reg, sel, large=True)
     assert small.count() > 0
@@ -344,7 +347,7 @@ def test_cli_run_writes_profile_and_ledger(spark, tmp_path):
     files = _write_public_files(tmp_path)
     out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
     run_id = run(spark, files, str(tmp_path / "sel"), out, ledger=ledger, user="jane")
-    res = spark.read.option("header", True).csv(out)
+    res = spark.read.option("header", True).csv(out + "/profile.csv")
     got = {r["npi"]: r.asDict() for r in res.collect()}
     assert set(got) == {"1", "2"}
     assert got["1"]["HUMIRA_EDUCATION"] == "10" and got["2"]["HUMIRA_OTHERS_GENERAL"] == "5"
@@ -361,12 +364,126 @@ def test_nothing_selected_gives_an_empty_profile(spark, make_src):
     assert out.columns[:2] == ["npi", "last_name"]
 
 
-def test_catalog_document_round_trip(spark, tmp_path):
-    import pytest
-    from provlens.sources.files import read_catalog_document, write_catalog_document
-    df = spark.createDataFrame([("B", "b"), ("A", None)], "Brnd_Name string, Gnrc_Name string")
-    write_catalog_document(df, str(tmp_path / "doc"), "drugs")
-    back = read_catalog_document(spark, str(tmp_path / "doc"), "drugs", "Brnd_Name string, Gnrc_Name string")
-    assert rows(back, "Brnd_Name", "Gnrc_Name") == [("A", None), ("B", "b")]
-    with pytest.raises(ValueError):
-        write_catalog_document(df, str(tmp_path / "doc2"), "drugs", max_rows=1)
+def test_long_drug_lists_join_by_shuffle(spark):
+    """No cap on a selection: beyond the broadcast limits the join shuffles."""
+    n = 300_000
+    drugs = spark.range(n).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("Drug_Name"))
+    empty = Selections.from_rows(spark)
+    sel = Selections.from_raw(None, None, drugs, empty.taxonomy.withColumnRenamed("code", "Code"),
+                              spark.createDataFrame([], "Original string, Renamed string"))
+    pays = spark.createDataFrame([pay(1, 5.0, "Gift", "D7"), pay(2, 6.0, "Gift", "d299999"), pay(3, 1.0, "Gift", "no")],
+                                 "Covered_Recipient_NPI bigint, Total_Amount_of_Payment_USDollars double, d string, "
+                                 "Nature_of_Payment_or_Transfer_of_Value string, "
+                                 "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1 string")
+    out = P.payments_filtered(pays, sel)
+    assert rows(out, "npi", "drug") == [(1, "D7"), (2, "D299999")]
+    assert sel._names is None
+    from tests.test_plans import explain
+    assert "strategy=broadcast" not in explain(out, "extended")
+    # the long form works at any width, every wide table has the same limit
+    assert E.totals_by_measure(E.payment_facts(P.payments_mapped(pays, sel))).count() == 2
+    assert E.measure_table(sel).count() == n
+    for build in (E.payment_measures, E.all_measures):
+        with pytest.raises(ValueError, match="long form"):
+            build(sel)
+
+
+def test_wide_names_that_collide_keep_their_own_cells(spark, make_src):
+    src = make_src(payments=[pay(1, 10.0, "n1", "A"), pay(1, 5.0, "n2", "A_B"), pay(1, 100.0, "n3", "X"),
+                             pay(1, 3.0, "n4", "X"), pay(1, 4.0, "n5", "X")],
+                   part_b=[(1, "P1", "desc", 2, 7.0)])
+    sel = Selections.from_rows(spark, part_b=[("P1", "X")], drugs=["A", "A_B", "X"], category_map=[
+        ("n1", "B_C"), ("n2", "C"), ("n3", "Claims"), ("n4", "Travel"), ("n5", "TRAVEL")])
+    ms = E.all_measures(sel)
+    facts = E.facts(src.part_b, None, src.payments, sel)
+    cells = {(m.drug, m.measure): m.name for m in ms}
+    assert len({n.lower() for n in cells.values()}) == len(cells)
+    wides = [E.pivot_wide(facts, ms, total="total", strategy=s).collect()[0].asDict()
+             for s in ("conditional", "two_phase")]
+    assert wides[0] == wides[1]
+    got = {pair: wides[0][name] for pair, name in cells.items() if wides[0][name]}
+    assert got == {("A", "B_C"): 10, ("A_B", "C"): 5, ("X", "CLAIMS"): 100, ("X", "TRAVEL"): 7,
+                   ("X", "Claims"): 7, ("X", "Patients"): 2}
+    assert wides[0]["total"] == sum(got.values())
+    back = E.wide_to_long(E.pivot_wide(facts, ms), ms, spark)
+    assert {(r["drug"], r["measure"]): r["amount"] for r in back.collect()} == got
+
+
+def test_keys_are_trimmed_in_every_source(spark, make_src):
+    src = make_src(part_b=[(1, "P1 ", "d", 1, 1.0)], part_d=[(1, " Humira ", "g", 1, 1)],
+                   payments=[pay(1, 1.0, "Gift", "Humira ")])
+    sel = Selections.from_rows(spark, part_b=[(" P1", "x")], part_d=[("humira ", "g", "x")], drugs=[" humira"])
+    assert (C.part_b_filtered(src.part_b, sel).count(), C.part_d_filtered(src.part_d, sel).count(),
+            P.payments_filtered(src.payments, sel).count()) == (1, 1, 1)
+
+
+def test_history_keeps_runs_without_a_user(spark):
+    from provlens.operators import runs as RN
+    led = spark.createDataFrame([("r1", None, "2024-01-01", None), ("r2", "u", "2024-01-02", None),
+                                 ("r3", None, "2024-01-03", "2024-01-04")],
+                                "run_id string, username string, in_time string, out_time string")
+    got = [tuple(r) for r in RN.run_history(led).select("run_id", "username", "position").collect()]
+    assert got == [("r3", None, 1), ("r1", None, 2), ("r2", "u", 1)]
+    assert [r["run_id"] for r in RN.user_history(led, "u").collect()] == ["r2"]
+
+
+def test_quotes_commas_and_line_breaks_come_through(spark, tmp_path):
+    import csv
+    import glob
+
+    from provlens.cli import run, view
+    files = _write_public_files(tmp_path)
+    name = 'Joe "Bud" Clinic,\nLLC'
+    with open(files["affiliations"], "w", newline="") as f:
+        csv.writer(f).writerows([("NPI", "Facility Name", "org_pac_id"), (1, name, 123), (2, "Clinic", "bad")])
+    with open(files["part_b"], "a") as f:
+        f.write("x1,x,P1,desc,many,2.5\n")
+    out, report = str(tmp_path / "out"), {}
+    run(spark, files, (tmp_path / "sel").as_uri(), out, report=report, single_file=True)
+    assert report["bad_values"]["part_b"] == {"Rndrng_NPI": 1, "Tot_Benes": 1, "Tot_Srvcs": 0}
+    assert report["bad_values"]["affiliations"]["org_pac_id"] == 1
+    assert report["rows"]["result"] == 1
+    with open(glob.glob(out + "/profile.csv/part-*.csv")[0], newline="") as f:
+        (row,) = csv.DictReader(f)
+    assert row["Facility_Name_1"] == name and row["HUMIRA_Claims"] == "2"
+    view(spark, out, str(tmp_path / "seen"), ["All"], top=1)
+    with open(glob.glob(str(tmp_path / "seen" / "view") + "/part-*.csv")[0], newline="") as f:
+        (shown,) = csv.DictReader(f)
+    assert shown["Facility_Name_1"] == name and shown["postal_code"] == "02138-1234" and shown["total"] == "15"
+    totals = spark.read.option("header", True).csv(str(tmp_path / "seen" / "category_totals"))
+    assert {(r["drug"], r["category"]): r["amount"] for r in totals.collect()} == {
+        ("HUMIRA", "EDUCATION"): "10", ("HUMIRA", "OTHERS_GENERAL"): "0"}
+
+
+def test_missing_selection_files(spark, tmp_path):
+    (tmp_path / "drugs.csv").write_text("Drug_Name\nA\n")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        Selections.from_folder(spark, tmp_path.as_uri())
+    (tmp_path / "taxonomy.csv").write_text("Code\n")
+    (tmp_path / "category_map.csv").write_text("Original,Renamed\n")
+    sel = Selections.from_folder(spark, tmp_path.as_uri())
+    assert sel.part_b is None and sel.part_d is None and sel.payment_drugs() == ["A"]
+
+
+def test_catalogue_run(spark, tmp_path):
+    from provlens.cli import catalogues
+    catalogues(spark, _write_public_files(tmp_path), str(tmp_path / "cat"))
+    got = {n: [r.asDict() for r in spark.read.json(str(tmp_path / "cat" / n)).collect()]
+           for n in ("procedures", "drugs", "categories")}
+    assert got["procedures"] == [{"HCPCS_Cd": "P1", "HCPCS_Desc": "desc"}]
+    assert got["drugs"] == [{"Brnd_Name": "Humira", "Gnrc_Name": "ada"}]
+    assert sorted((r["Original"], r["Renamed"]) for r in got["categories"]) == [("Education", "EDUCATION"), ("Gift", "")]
+
+
+def test_scratch_on_a_cluster_needs_the_setting(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from provlens.session import checkpoint_root, remove_scratch, scratch_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: {"spark.master": "yarn"}.get(k, d)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(cluster)
+    path = scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert remove_scratch() >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
