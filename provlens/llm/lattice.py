@@ -54,7 +54,9 @@ ROUNDS = 3
 PRIOR = 1000.0
 FREQUENT = 100_000
 BATCH_BYTES = 4 << 20
-WORD_BATCH = 1 << 18  # characters of words to a lattice
+WORD_BATCH = 1 << 20  # characters of words taken together
+WORDS_HELD = 400_000  # distinct words a task holds before it passes their counts on
+LATTICE_CELLS = 1 << 16  # characters of words in one set of lattices
 MARK = "▁"
 END = " </s>"  # holds a blank, so it is no word
 
@@ -98,120 +100,93 @@ class Pieces:
             order = np.argsort(h)
             self.table.append((h[order], which[order].astype(np.int64)))
 
-    def arcs(self, words: Sequence[str]) -> tuple:
-        """All arcs of the lattices of ``words``: boundary before, boundary
-        after, piece; sorted by the boundary after. Bytes of one character are
-        a chain and given apart: boundary, byte counts as (row, byte) pairs."""
+    def lattices(self, words: Sequence[str], log_p: np.ndarray) -> Iterator[tuple[np.ndarray, dict]]:
+        """Lattices of words of one length side by side: (places in ``words``,
+        lattice). ``weight[n][k, i]`` is the arc of word k from character i over
+        n characters (minus infinity where there is no such piece), ``piece[n]``
+        its piece, ``bytes`` the arcs that spell one character by its bytes."""
         size = np.array([len(w) + 1 for w in words], np.int64)  # with the mark
-        points = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), "<u4")
-        stop = np.cumsum(size)
-        word = np.repeat(np.arange(len(words)), size)
-        room = np.repeat(stop, size) - np.arange(len(points))  # characters left in the word
-        hashes = PointHashes(points)
-        begin, end, piece = [], [], []
-        at = np.arange(len(points))
-        for n, (known, which) in enumerate(self.table, 1):
-            at = at[room[at] >= n]
-            if not len(at):
-                break
-            if len(known):
-                h = hashes.of(0, at, n)
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[i] == h
-                begin.append(at[hit])
-                end.append(at[hit] + n)
-                piece.append(which[i[hit]])
-        # boundaries are numbered per word: character i of word k starts at boundary i + k
-        begin, end, piece = np.concatenate(begin), np.concatenate(end), np.concatenate(piece)
-        shift = word[begin]
-        order = np.argsort(end, kind="stable")
-        return (begin + shift)[order], (end + shift)[order], piece[order], points, word, size
-
-    def byte_costs(self, points: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """Log probability of spelling each character by its bytes."""
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.diff(size[order])) + 1
+        for which in np.split(order, cuts):
+            m = int(size[which[0]])
+            step = max(1, LATTICE_CELLS // m)
+            for low in range(0, len(which), step):
+                part = which[low:low + step]
+                points = np.frombuffer("".join(MARK + words[k] for k in part).encode("utf-32-le"), "<u4")
+                yield part, self.lattice(points.reshape(len(part), m), log_p)
+
+    def lattice(self, points: np.ndarray, log_p: np.ndarray) -> dict:
+        rows, m = points.shape
+        hashes = PointHashes(points.ravel())
+        first = np.arange(rows)[:, None] * m
+        weight, piece = {}, {}
+        for n, (known, which) in enumerate(self.table[:m], 1):
+            if not len(known):
+                continue
+            h = hashes.of(0, first + np.arange(m - n + 1), n)
+            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[i] == h
+            if hit.any():
+                piece[n] = np.where(hit, which[i], -1)
+                weight[n] = np.where(hit, log_p[which[i]], -np.inf)
         distinct, back = np.unique(points, return_inverse=True)
-        base = len(self.names)
-        cost = [sum(log_p[base + b] for b in chr(c).encode("utf-8")) for c in distinct.tolist()]
-        return np.array(cost)[back]
-
-    def steps(self, words: Sequence[str], log_p: np.ndarray) -> dict:
-        """Arcs, bytes included, grouped by how far into its word an arc ends."""
-        begin, end, piece, points, word, size = self.arcs(words)
-        chars = np.arange(len(points)) + word
-        begin = np.concatenate((begin, chars))
-        end = np.concatenate((end, chars + 1))
-        weight = np.concatenate((log_p[piece], self.byte_costs(points, log_p)))
-        piece = np.concatenate((piece, np.full(len(points), -1)))
-        first = np.cumsum(size + 1) - size - 1  # boundary 0 of each word
-        owner = np.searchsorted(first, end, side="right") - 1
-        depth = end - first[owner]
-        order = np.lexsort((end, depth))
-        return {"begin": begin[order], "end": end[order], "piece": piece[order], "weight": weight[order],
-                "depth": depth[order], "owner": owner[order], "first": first, "last": first + size,
-                "points": points, "chars": order}
+        cost = np.array([sum(log_p[len(self.names) + b] for b in chr(c).encode("utf-8")) for c in distinct.tolist()])
+        return {"weight": weight, "piece": piece, "bytes": cost[back].reshape(rows, m), "points": points}
 
     def forward(self, s: dict) -> np.ndarray:
-        """Log-space forward recursion: for every boundary the log of the sum
-        over all paths to it. Step d does the boundaries d characters into
-        their words, for all words at once."""
-        alpha = np.full(int(s["last"][-1]) + 1, -np.inf)
-        alpha[s["first"]] = 0.0
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(s["depth"]) != 0)))
-        for low, high in zip(cuts, np.append(cuts[1:], len(s["depth"]))):
-            end = s["end"][low:high]
-            value = alpha[s["begin"][low:high]] + s["weight"][low:high]
-            group = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
-            alpha[end[group]] = log_sums(value, group)
+        """Log-space forward recursion: ``alpha[k, j]`` is the log of the sum
+        over all paths of word k to its boundary j."""
+        rows, m = s["points"].shape
+        alpha = np.full((rows, m + 1), -np.inf)
+        alpha[:, 0] = 0.0
+        for j in range(1, m + 1):
+            ways = [alpha[:, j - 1] + s["bytes"][:, j - 1]]
+            ways += [alpha[:, j - n] + w[:, j - n] for n, w in s["weight"].items() if n <= j]
+            alpha[:, j] = log_sum(ways)
         return alpha
 
     def backward(self, s: dict) -> np.ndarray:
-        beta = np.full(int(s["last"][-1]) + 1, -np.inf)
-        beta[s["last"]] = 0.0
-        depth = s["begin"] - s["first"][s["owner"]]
-        order = np.lexsort((s["begin"], -depth))
-        begin, end, weight, depth = s["begin"][order], s["end"][order], s["weight"][order], depth[order]
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(depth) != 0)))
-        for low, high in zip(cuts, np.append(cuts[1:], len(depth))):
-            at = begin[low:high]
-            value = beta[end[low:high]] + weight[low:high]
-            group = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            beta[at[group]] = log_sums(value, group)
+        rows, m = s["points"].shape
+        beta = np.full((rows, m + 1), -np.inf)
+        beta[:, m] = 0.0
+        for i in range(m - 1, -1, -1):
+            ways = [beta[:, i + 1] + s["bytes"][:, i]]
+            ways += [beta[:, i + n] + w[:, i] for n, w in s["weight"].items() if i + n <= m]
+            beta[:, i] = log_sum(ways)
         return beta
 
     def scores(self, words: Sequence[str], log_p: np.ndarray) -> np.ndarray:
         """Natural log probability of each word, all segmentations summed."""
-        if not len(words):
-            return np.zeros(0)
-        s = self.steps(words, log_p)
-        return self.forward(s)[s["last"]]
+        out = np.zeros(len(words))
+        for part, s in self.lattices(words, log_p):
+            out[part] = self.forward(s)[:, -1]
+        return out
 
     def expected(self, words: Sequence[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in words seen ``counts`` times."""
-        s = self.steps(words, log_p)
-        alpha, beta = self.forward(s), self.backward(s)
-        total = alpha[s["last"]]
-        use = np.exp(alpha[s["begin"]] + s["weight"] + beta[s["end"]] - total[s["owner"]]) * counts[s["owner"]]
         out = np.zeros(self.size)
-        piece = s["piece"]
-        spelled = piece < 0
-        out[:len(self.names)] = np.bincount(piece[~spelled], use[~spelled], minlength=len(self.names))
-        # a character spelled by bytes uses each of its bytes
-        at = s["chars"][spelled] - (len(s["chars"]) - len(s["points"]))
-        by_char: dict[int, float] = {}
-        points, inverse = np.unique(s["points"][at], return_inverse=True)
-        for c, n in zip(points.tolist(), np.bincount(inverse, use[spelled]).tolist()):
-            by_char[c] = n
-        for c, n in by_char.items():
-            for b in chr(c).encode("utf-8"):
-                out[len(self.names) + b] += n
+        for part, s in self.lattices(words, log_p):
+            alpha, beta = self.forward(s), self.backward(s)
+            scale = np.log(counts[part]) - alpha[:, -1]
+            for n, piece in s["piece"].items():
+                k, i = np.nonzero(piece >= 0)
+                use = np.exp(alpha[k, i] + s["weight"][n][k, i] + beta[k, i + n] + scale[k])
+                out[:len(self.names)] += np.bincount(piece[k, i], use, minlength=len(self.names))
+            # a character spelled by bytes uses each of its bytes
+            use = np.exp(alpha[:, :-1] + s["bytes"] + beta[:, 1:] + scale[:, None])
+            points, back = np.unique(s["points"], return_inverse=True)
+            for c, n in zip(points.tolist(), np.bincount(back.ravel(), use.ravel()).tolist()):
+                for b in chr(c).encode("utf-8"):
+                    out[len(self.names) + b] += n
         return out
 
 
-def log_sums(value: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each group of neighbouring values."""
-    top = np.maximum.reduceat(value, group)
-    size = np.diff(np.append(group, len(value)))
-    return top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), group))
+def log_sum(ways: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials, element by element; one is finite."""
+    x = np.stack(ways)
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
 
 
 class PointHashes(Hashes):
@@ -259,18 +234,26 @@ def _batches(batches: Iterable[pd.DataFrame], limit: int = BATCH_BYTES) -> Itera
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c): every token of all documents, the end included, and how often
     it occurs in training documents."""
+    end = END.encode()
+
+    def rows(seen: Counter, other: set) -> pd.DataFrame:
+        new = other.difference(seen)
+        return pd.DataFrame({"word": [w.decode() for w in (*seen, *new)],
+                             "c": np.array([*seen.values(), *([0] * len(new))], np.int64)})
+
     def each(batches):
-        for pdf in _batches(batches):
-            seen, other = Counter({END.encode(): 0}), set()
+        seen, other = Counter({end: 0}), set()
+        for pdf in batches:
             for t, out in zip(pdf["t"], pdf["held_out"]):
                 if out:
                     other.update(words_of(bytes(t)))
                 else:
                     seen.update(words_of(bytes(t)))
-                    seen[END.encode()] += 1
-            new = other.difference(seen)
-            yield pd.DataFrame({"word": [w.decode() for w in (*seen, *new)],
-                                "c": np.array([*seen.values(), *([0] * len(new))], np.int64)})
+                    seen[end] += 1
+                if len(seen) + len(other) > WORDS_HELD:
+                    yield rows(seen, other)
+                    seen, other = Counter({end: 0}), set()
+        yield rows(seen, other)
 
     return (_texts(docs).select("held_out", "t").mapInPandas(each, "word string, c bigint")
             .groupBy("word").agg(F.sum("c").alias("c")))
@@ -345,6 +328,13 @@ def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
     end = common.pop(END.encode(), None) or (0, 0.0, 0.0)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+
+    def ids(values: list) -> pd.Series:
+        if not whole:
+            return pd.Series(values, dtype=object)
+        return pd.Series(pd.array([None if x is None else int(x) for x in values], dtype="Int64"))
+
     def each(batches):
         """A row per document with what its common words give, and a row per
         other word of it."""
@@ -374,8 +364,7 @@ def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
                 # a document's own row has a word that is in no table
                 "word": [f" {k}" for k in pdf["k"]] + [w.decode() for w in word],
                 "times": np.array([0] * one + times, np.int64),
-                "doc_id": pd.concat([pdf["doc_id"].astype(object), pd.Series([None] * rest, dtype=object)],
-                                    ignore_index=True),
+                "doc_id": ids(pdf["doc_id"].tolist() + [None] * rest),
                 "held_out": pd.Series(pdf["held_out"].tolist() + [None] * rest, dtype="boolean"),
                 "n_tokens": np.array(tokens + [0] * rest, np.int64), "n_known": np.array(known + [0] * rest, np.int64),
                 "b": np.array(basic + [0.0] * rest), "s": np.array(score + [0.0] * rest)})
@@ -383,8 +372,8 @@ def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
     # the row number of a file scan does not depend on who reads it
     numbered = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn(
         "k", F.monotonically_increasing_id())
-    parts = numbered.mapInPandas(each, "k bigint, word string, times bigint, doc_id string, held_out boolean, "
-                                       "n_tokens bigint, n_known bigint, b double, s double")
+    parts = numbered.mapInPandas(each, "k bigint, word string, times bigint, held_out boolean, "
+                                       f"doc_id {'bigint' if whole else 'string'}, n_tokens bigint, n_known bigint, b double, s double")
     rare = table.filter(~is_common & ~is_end)
 
     def joined(own: str, given: str) -> Column:
