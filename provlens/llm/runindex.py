@@ -450,7 +450,8 @@ def cut_out(docs: DataFrame, contested: DataFrame, length: int = LENGTH) -> Data
                 yield repeated.assign(part=None)
 
     items = contested.groupBy("d").agg(F.collect_list(F.struct("h", "p", "n", "off", "g")).alias("items"))
-    return docs.join(items, "d").select("d", "z", "items").mapInPandas(each, PART)
+    # a row repeated whole gives its segments once, or they would be found earlier in themselves
+    return docs.dropDuplicates(["d"]).join(items, "d").select("d", "z", "items").mapInPandas(each, PART)
 
 
 def settled(parts: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:

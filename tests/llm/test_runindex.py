@@ -60,6 +60,17 @@ def test_many_copies_passages_and_periodic_texts(spark):
     check(spark, rows, max_group=3, plan_rows=10)
 
 
+@pytest.mark.parametrize("options", [{}, {"max_group": 1}])
+def test_rows_repeated_whole_keep_their_first_occurrence(spark, options):
+    rng = np.random.default_rng(5)
+    def text(n):
+        return "".join(rng.choice(list("abcdefgh "), n))
+    passage = text(260)
+    rows = [(7, text(150) + passage + text(90), "a")] * 2 + [(None, text(60) + passage[:130] + text(50), "b")] * 3
+    rows += [(9, text(130) + passage[30:] + text(140), "a"), (3, text(20) + passage[90:150] + text(80), "a")]
+    check(spark, rows, **options)
+
+
 def test_long_texts_are_scanned_in_parts():
     rng = np.random.default_rng(8)
     data = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (5, 900, 12, 400, 3000)]
