@@ -177,14 +177,17 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, segments: int = SEGMENTS
                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest ``doc_id``
     (a document without one only if no member has one; then, and for rows with
-    equal ids, one of them by text), with the columns of ``docs``."""
-    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.sha2(filled(text), 256)))
+    equal ids, one of them by text), with the columns of ``docs``. A row is
+    named by its id and text, as an id may occur with texts of different
+    components."""
+    key = F.concat(F.coalesce(F.concat(F.lit("id:"), F.col(doc_id).cast("string")), F.lit("none")), F.lit(" "),
+                   F.sha2(filled(text), 256))
     fps = saved(fingerprints(docs.withColumn("__key", key), shingle, doc_id, text, keep=("__key",)), "fingerprints")
     classes = classed(fps.withColumnRenamed(doc_id, "__id"), "__id", segments).select("fp", "root")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__key").alias("__key"))
     keepers = (fps.join(classes, fps["__fp"] == classes["fp"]).groupBy("root")
                .agg(F.min(order).alias("k")).select(F.col("k.__key").alias("__key")))
     kept = docs.withColumn("__key", key).join(keepers, "__key", "left_semi")
-    if not fps.groupBy("__key").count().filter("count > 1").isEmpty():  # rows with equal ids
+    if not fps.groupBy("__key").count().filter("count > 1").isEmpty():  # rows with equal id and text
         kept = kept.dropDuplicates(["__key"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

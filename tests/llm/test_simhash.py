@@ -107,6 +107,17 @@ def test_keep_first(spark):
     assert [r["source"] for r in kept.collect() if r["doc_id"] is None] == ["d"]
 
 
+def test_keep_first_of_equal_ids_with_different_texts(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 900, 60)) for _ in range(4))
+    rows = [(8, a, "x"), (8, b, "y"), (3, b.upper(), "y"), (8, a, "x"), (20, c, "z"), (20, d, "t"), (21, d, "t"),
+            (None, a, "x"), (None, "one lonely text", "u"), (None, "and another one", "v")]
+    assert groups([fingerprint(t) for _, t, _ in rows]) == [0, 1, 1, 0, 4, 5, 5, 0, 8, 9]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first(edge.documents(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted(
+        [(8, a), (3, b.upper()), (20, c), (20, d), (None, "one lonely text"), (None, "and another one")], key=str)
+
+
 def test_empty_table(spark):
     docs = edge.documents(spark, [])
     assert simhash.near_duplicates(docs).collect() == [] and simhash.keep_first(docs).collect() == []
