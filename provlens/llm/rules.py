@@ -15,7 +15,9 @@ The measures are computed per document with array functions:
   in which ``array_distinct`` finds fewer hashes than windows go on to the sort
   that lists the repeated positions, so the usual text costs one linear pass,
   and the worst one n log n;
-* duplicate lines are lines with a word minus distinct lines with a word.
+* duplicate lines are lines with a word minus distinct lines with a word;
+* stuttering is judged by the distinct words inside windows of ``STRETCH``
+  words: over a whole text their share falls with its length alone.
 
 Defined cases: a null text has no words and is rejected by the base rule;
 texts of any length are measured whole; repeated rows get equal verdicts;
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from provlens.llm.common import WORD, filled, saved
 
 WINDOW = 8
+STRETCH = 100
 SAMPLE_ROWS = 400
 # The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -91,6 +94,18 @@ def duplicate_lines(text: Column) -> Column:
     return let(word_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def stutters(words: Column) -> Column:
+    """True if under 5% of the words are distinct in windows of ``STRETCH``
+    words, on average. The windows lie side by side (the last one ends with the
+    text), so a text of any length is measured whole and alike."""
+    n = F.size(words)
+    windows = F.ceil(n / STRETCH).cast("int")
+    distinct = F.aggregate(
+        F.sequence(F.lit(0), windows - 1), F.lit(0),
+        lambda a, i: a + F.size(F.array_distinct(F.slice(words, F.least(i * STRETCH, n - STRETCH) + 1, STRETCH))))
+    return F.when(n < STRETCH, F.lit(False)).otherwise(20 * distinct < STRETCH * windows)
+
+
 def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -127,7 +142,7 @@ def default_rules() -> list[Rule]:
             word_lines(t), lambda x: F.size(x) > 2 * F.size(F.array_distinct(x)))),
         Rule("word_length", lambda t, w: (chars(w) < 2 * F.size(w)) | (chars(w) > 14 * F.size(w))),
         Rule("shouting", lambda t, w: 10 * F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")) > 4 * chars(w)),
-        Rule("stuttering", lambda t, w: (F.size(w) >= 100) & (20 * F.size(F.array_distinct(w)) < F.size(w))),
+        Rule("stuttering", lambda t, w: stutters(w)),
         Rule("exclaiming", lambda t, w: 5 * count_of(t, "!") > F.size(w)),
     ]
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -76,6 +77,22 @@ def test_stage_and_report_agree(spark):
         str(r["doc_id"]) for r in rules.quality_report(docs).collect() if r["kept"])
 
 
+def test_stuttering_does_not_depend_on_length(spark):
+    rng = random.Random(2)
+    prose = [f"w{int(rng.paretovariate(0.5)) % 3000}" for _ in range(150_000)]  # 2% distinct, but never a stutter
+    few = [rng.choice(["ha", "ho", "hey", "so"]) for _ in range(150_000)]
+    five = [f"w{i % 5}" for i in range(1000)]
+    sizes = (99, 100, 101, 250, 1000, 20_000, 150_000)
+    rows = [(k, " ".join(prose[:k]), "a") for k in sizes] + [(-k, " ".join(few[:k]), "a") for k in sizes]
+    rows += [(7, " ".join(five), "a"), (8, "", "a"), (9, None, "a")]
+    rule = next(r for r in rules.default_rules() if r.name == "stuttering")
+    docs = edge.documents(spark, rows)
+    t = F.coalesce("text", F.lit(""))
+    hit = {r["doc_id"] for r in docs.filter(rules.let(rules.words_of(t), lambda w: rule.rejects(t, w))).collect()}
+    assert hit == {-k for k in sizes if k >= 100}
+    assert 150_000 in {r["doc_id"] for r in rules.keep_good(docs).collect()}
+
+
 def test_empty_table_and_native_plan(spark):
     docs = edge.documents(spark, [])
     assert rules.quality_report(docs).collect() == [] and rules.keep_good(docs).collect() == []
