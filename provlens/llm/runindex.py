@@ -25,9 +25,12 @@ together, by content:
    neighbour chain of ``LENGTH`` or more reaches an earlier position;
 4. the marked spans meet the documents, which are cut.
 
-Skew: within a batch of documents equal segments are reduced to the first
-before any shuffle, so a text copied a million times costs a row per batch and
-segment. A gram that is common in many contexts (found on a bounded sample of
+Skew: equal segments are reduced to the first before any shuffle, within a
+batch of documents and, by a table of bounded size (:class:`Seen`), over the
+batches of a task, so a text copied a million times costs about a row per task
+and segment. Where segments meet they come sorted and are streamed: the first
+row of a segment is carried from batch to batch and repeats are marked batch by
+batch, so memory does not grow with the number of copies. A gram that is common in many contexts (found on a bounded sample of
 ``PLAN_ROWS`` documents, at most ``MAX_HOT`` grams) is split into its single
 windows, keyed by their own content, as are groups of more than ``MAX_GROUP``
 segments: the exact way for what would not fit an index. Both only change the
@@ -59,6 +62,7 @@ MAX_HOT = 4096
 PLAN_ROWS = 4000
 BATCH_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
+SEEN_SLOTS = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SEGMENT = "h bigint, g bigint, d bigint, p int, n int, off int"
@@ -177,8 +181,8 @@ def marks(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
     order = np.lexsort((start, d))
     d, start, end = d[order], start[order].astype(np.int64), end[order].astype(np.int64)
     new = np.concatenate(([True], d[1:] != d[:-1]))
-    # running maximum of the ends within a document
-    base = (np.cumsum(new) - 1) * (1 << 40)
+    # running maximum of the ends within a document; ends are below 2^32, so 2^31 documents fit
+    base = (np.cumsum(new) - 1) * (end.max() + 1)
     reach = np.maximum.accumulate(end + base) - base
     new[1:] |= start[1:] > reach[:-1]
     at = np.flatnonzero(new)
@@ -198,6 +202,79 @@ def firsts(rows: pd.DataFrame, length: int = LENGTH) -> tuple[pd.DataFrame, pd.D
     return rows[new], marks(d[again], p[again], p[again] + n[again] + (length - 1))
 
 
+class Leads:
+    """:func:`firsts` over rows sorted by (h, g, d, p) that come in batches:
+    the first row of the last (h, g) is carried on, whatever its copies."""
+
+    def __init__(self, length: int = LENGTH):
+        self.length, self.last = length, None
+
+    def of(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if not len(rows):
+            return rows, marks(*np.zeros((3, 0), np.int64))
+        carried = self.last is not None
+        first, repeated = firsts(pd.concat([self.last, rows], ignore_index=True) if carried else rows, self.length)
+        self.last = first.iloc[-1:]
+        return first.iloc[int(carried):], repeated
+
+
+class Seen:
+    """Segments of the earlier batches of a task, one to a slot of a table of
+    ``slots`` rows. A segment that was met again keeps its slot, so what is
+    copied all over the task stays; others make room. What is forgotten meets
+    its copies after the shuffle."""
+
+    def __init__(self, slots: int = SEEN_SLOTS):
+        self.rows = np.zeros((4, slots), np.int64)
+        self.filled, self.again = np.zeros(slots, bool), np.zeros(slots, bool)
+
+    def of(self, rows: pd.DataFrame, length: int = LENGTH) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The rows (one of each segment) that no earlier batch holds at a
+        smaller place, and marks for the others."""
+        new = rows[["h", "g", "d", "p"]].to_numpy(np.int64).T
+        slot = (mixed(new[0].astype(np.uint64) ^ mixed(new[1].astype(np.uint64)))
+                % np.uint64(len(self.filled))).astype(np.int64)
+        old = self.rows[:, slot]
+        known = self.filled[slot] & (old[0] == new[0]) & (old[1] == new[1])
+        less = (old[2] < new[2]) | ((old[2] == new[2]) & (old[3] < new[3]))
+        same = known & (old[2] == new[2]) & (old[3] == new[3])  # the same place, in a row repeated whole
+        self.again[slot[known]] = True
+        put = np.flatnonzero(np.where(known, ~less & ~same, ~self.again[slot]))
+        to, one = np.unique(slot[put], return_index=True)
+        self.rows[:, to] = new[:, put[one]]
+        self.filled[to] = True
+        if 2 * self.again.sum() > len(self.again):
+            self.again[:] = False
+        drop = known & less
+        d, p, n = (rows[c].to_numpy()[drop].astype(np.int64) for c in "dpn")
+        return rows[~(drop | same)], marks(d, p, p + n + (length - 1))
+
+
+def contested(leads: Iterable[pd.DataFrame], max_group: int = MAX_GROUP) -> Iterator[pd.DataFrame]:
+    """Of first rows sorted by h, in batches, those whose h has several; ``g``
+    becomes 1 where they are more than ``max_group``, else 0. No more than that
+    many rows are held back; every batch gives one, if an empty one."""
+    held, split = None, None  # the rows of the last h; the last h that has too many
+    for first in leads:
+        rows = first if held is None else pd.concat([held, first], ignore_index=True)
+        if not len(rows):
+            yield rows
+            continue
+        h = rows["h"].to_numpy()
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        count = count[inverse]
+        many = count > max_group
+        if split is not None:
+            many |= h == split
+        if many[-1]:
+            split = h[-1]
+        going = (h == h[-1]) & ~many
+        yield rows.assign(g=many.astype(np.int64))[((count > 1) | many) & ~going]
+        held = rows[going]
+    if held is not None and len(held) > 1:
+        yield held.assign(g=np.int64(0))
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of ``text`` (non-negative integers, the last one unique) by
     prefix doubling."""
@@ -351,10 +428,14 @@ def _pieces(batches: Iterable[pd.DataFrame], length: int,
 
 def scan(docs: DataFrame, hot: np.ndarray, length: int = LENGTH, gram: int = GRAM,
          batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """First segments of every batch of documents, and marks for the rest."""
+    """First segments of every batch of documents, without those that an
+    earlier batch of the task is known to hold, and marks for the rest."""
     def each(batches):
+        seen = Seen()
         for texts, ids, offsets in _pieces(batches, length, batch_bytes):
             first, repeated = firsts(segments(texts, ids, offsets, hot, length, gram), length)
+            yield repeated
+            first, repeated = seen.of(first, length)
             yield first
             yield repeated
 
@@ -373,10 +454,12 @@ def common_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, plan_r
 
 
 def _groups(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by h, regrouped so that no h is cut."""
+    """Rows sorted by h, regrouped so that no h is cut. An empty batch is
+    passed on."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
+            yield pdf
             continue
         h = pdf["h"].to_numpy()
         cut = int(np.searchsorted(h, h[-1], side="left"))
@@ -404,22 +487,23 @@ def met(rows: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -> Da
     first segments of anchors whose segments differ (``g`` is then 1 if the
     group is to be split into windows, else 0)."""
     def each(batches):
-        for pdf in _groups(batches):
-            off = pdf["off"].to_numpy()
-            done = pdf[off < 0]
-            if len(done):
-                yield done
-            first, repeated = firsts(pdf[off >= 0], length)
-            yield repeated
-            h = first["h"].to_numpy()
-            if len(h):
-                _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-                count = count[inverse]
-                first = first.assign(g=(count > max_group).astype(np.int64))
-                yield first[count > 1]
+        found, leads = [], Leads(length)
+
+        def first_rows():
+            for pdf in batches:
+                off = pdf["off"].to_numpy()
+                first, repeated = leads.of(pdf[off >= 0])
+                found.extend([pdf[off < 0], repeated])
+                yield first
+
+        for rows in contested(first_rows(), max_group):
+            yield from found
+            found.clear()
+            yield rows
+        yield from found
 
     n = shuffle_width(rows.sparkSession)
-    return rows.repartition(n, "h").sortWithinPartitions("h").mapInPandas(each, SEGMENT)
+    return rows.repartition(n, "h").sortWithinPartitions("h", "g", "d", "p").mapInPandas(each, SEGMENT)
 
 
 PART = SEGMENT + ", part binary"
@@ -465,13 +549,19 @@ def settled(parts: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYT
 
     def each(batches):
         held, size = [], 0
-        for pdf in _groups(batches):
-            off, part = pdf["off"].to_numpy(), pdf["part"].notna().to_numpy()
-            yield pdf.loc[off < 0].drop(columns="part")
-            single = pdf[(off >= 0) & ~part]
-            if len(single):
-                yield firsts(single.drop(columns="part"), length)[1]
-            rows = pdf[part].sort_values(["h", "d", "p"], kind="stable", ignore_index=True)
+        found, leads = [], Leads(length)
+
+        def with_part():
+            for pdf in batches:
+                off, part = pdf["off"].to_numpy(), pdf["part"].notna().to_numpy()
+                found.append(pdf.loc[off < 0].drop(columns="part"))
+                found.append(leads.of(pdf[(off >= 0) & ~part].drop(columns="part"))[1])
+                yield pdf[part]
+
+        for pdf in _groups(with_part()):
+            yield from found
+            found.clear()
+            rows = pdf.sort_values(["h", "d", "p"], kind="stable", ignore_index=True)
             if not len(rows):
                 continue
             # cut between groups where the text of an index is full
@@ -487,11 +577,12 @@ def settled(parts: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYT
                     held, size, low = [], 0, begin
             held.append(rows.iloc[low:])
             size += int(total[-1] - (total[low - 1] if low else 0))
+        yield from found
         if held:
             yield index(held)
 
     n = shuffle_width(parts.sparkSession)
-    return parts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(each, SEGMENT)
+    return parts.repartition(n, "h").sortWithinPartitions("h", "g", "d", "p").mapInPandas(each, SEGMENT)
 
 
 def packed(docs: DataFrame) -> DataFrame:

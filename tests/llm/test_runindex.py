@@ -71,6 +71,70 @@ def test_rows_repeated_whole_keep_their_first_occurrence(spark, options):
     check(spark, rows, **options)
 
 
+def test_groups_are_streamed_in_batches(spark):
+    rng = np.random.default_rng(6)
+    def text(n):
+        return "".join(rng.choice(list("abcd "), n))
+    passage = text(240)
+    rows = [(i, text(30 + i % 7) + passage[i % 5:] + text(20), "a") for i in range(60)]
+    rows += [(100 + i, text(10) + passage, "a") for i in range(40)] + [(200, "ab" * 300, "a"), (201, "ab" * 400, "a")]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        check(spark, rows, max_group=4)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_sorted_batches_give_the_rows_of_one_frame():
+    rng = np.random.default_rng(7)
+    n = 4000
+    rows = runindex._rows(rng.integers(0, 60, n) ** 2 // 40, rng.integers(0, 5, n), rng.integers(0, 90, n),
+                          rng.integers(0, 50, n) * 300, np.ones(n), np.zeros(n))
+    rows = rows.sort_values(["h", "g", "d", "p"], ignore_index=True)
+    first, repeated = runindex.firsts(rows)
+    leads, batches = runindex.Leads(), [rows.iloc[i:i + 13] for i in range(0, n, 13)]
+    got = [leads.of(x) for x in batches]
+    def places(frames):
+        return sorted({(d, q) for f in frames for d, p, k in zip(f["d"], f["p"], f["n"]) for q in range(p, p + k)})
+    assert pd.concat(x for x, _ in got).to_numpy().tolist() == first.to_numpy().tolist()
+    assert places(x for _, x in got) == places([repeated])
+    for limit in (1, 3, 1000):
+        size = first.groupby("h")["g"].transform("size")
+        want = first.assign(g=(size > limit).astype(int))[size > 1]
+        seen = pd.concat(runindex.contested((x for x, _ in got), limit))
+        assert seen.to_numpy().tolist() == want.to_numpy().tolist()
+
+
+@pytest.mark.parametrize("slots", [1, 64, 1 << 12])
+def test_copies_all_over_a_task_are_a_row(slots):
+    rng = np.random.default_rng(9)
+    seen, kept, marked, rows = runindex.Seen(slots), [], [], []
+    for i in rng.permutation(50).tolist():  # a passage of 20 segments in every batch, and segments of their own
+        h = np.concatenate((np.arange(20), 1000 + 30 * i + np.arange(30)))
+        batch = runindex._rows(h, h + 1, np.full(50, i), h * 100, np.ones(50), np.zeros(50))
+        first, repeated = seen.of(batch)
+        rows.append(batch)
+        kept.append(first)
+        marked.append(repeated)
+    def end(frames, more=()):
+        first, repeated = runindex.firsts(pd.concat(frames))
+        spans = pd.concat([repeated, *more])
+        return first.to_numpy().tolist(), sorted({(d, q) for d, p, k in zip(spans["d"], spans["p"], spans["n"])
+                                                  for q in range(p, p + k)})
+    assert end(kept, marked) == end(rows)
+    if slots > 64:  # one row of a segment, and one more for each smaller place than those before
+        assert sum((x["h"] < 20).sum() for x in kept) < 20 * 15
+
+
+def test_spans_of_many_documents_stay_apart():
+    n = (1 << 23) + 3
+    d = np.concatenate((np.arange(n), [n - 1]))
+    got = runindex.marks(d, np.concatenate((np.zeros(n, np.int64), [500])), np.concatenate((np.full(n, 100), [600])))
+    assert len(got) == n + 1 and got["n"].max() == 100
+
+
 def test_long_texts_are_scanned_in_parts():
     rng = np.random.default_rng(8)
     data = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (5, 900, 12, 400, 3000)]
