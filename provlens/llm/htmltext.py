@@ -17,7 +17,10 @@ pages to extract from.
 Extraction is one pass over the pages without a shuffle; a page is held whole,
 its blocks are a list of strings. Tag soup is read leniently: unclosed
 paragraphs and inline tags do not matter, a tag cut off at the end of a page is
-markup, and scripts, styles, comments and the head are never text.
+markup, and scripts, styles, comments and the title are never text. Of the
+elements without text (``SKIPPED``) only scripts, styles and text areas run to
+the page's end if their end tag is missing; another one without end tag, or a
+self-closed ``svg`` or ``math``, is its tag alone.
 
 Defined cases: a null or empty html, or a page without main blocks, gives an
 empty text; repeated rows are extracted each.
@@ -40,7 +43,9 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 TREE_DEPTH = 7
 
 # Element names and hints.
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|head|select|textarea|button"
+RAW = "script|style|textarea"
+SKIPPED = "noscript|template|svg|math|iframe|object|select|button|title"
+LABELLED = frozenset("select button title".split())  # the text after an unclosed one is its label
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
@@ -59,9 +64,12 @@ SIDE_HINTS = frozenset(
     "signup social sponsor sponsored subscribe toc toolbar widget".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})\b[^>]*>(?:.*?</(?P=skip)\s*>|.*\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<skip>{SKIPPED})(?![\w:-])[^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^'\">]+|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z!?][^>]*(?:>|\Z)", re.S | re.I)
+PAIRED = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+                    rf"|<(?P<close>/?)(?P<skip>{SKIPPED})(?![\w:-])[^>]*>", re.S | re.I)
+LABEL = re.compile(r"(?:[^<]+|</?(?:option|optgroup)\b[^>]*>)*", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Za-z]+")
 
@@ -76,6 +84,25 @@ def hints(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
     return main, side
 
 
+def skips(page: str) -> dict[int, int]:
+    """Start and end of the skipped elements that have an end tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in PAIRED.finditer(page):
+        if m["skip"]:
+            starts = opened.setdefault(m["skip"].lower(), [])
+            if not m["close"]:
+                if not self_closed(m):
+                    starts.append(m.start())
+            elif starts:
+                ends[starts.pop()] = m.end()
+    return ends
+
+
+def self_closed(m: re.Match) -> bool:
+    return m["skip"].lower() in ("svg", "math") and m[0].endswith("/>")
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, in_main, in_side, heading) of every block."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
@@ -101,11 +128,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if link:
                 linked.append(piece)
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, ends = 0, skips(page)
+    while m := TOKEN.search(page, at):
         text(page[at:m.start()])
         at = m.end()
+        if m["raw"]:
+            continue
         if m["skip"]:
+            if m.start() in ends:
+                at = ends[m.start()]
+            elif m["skip"].lower() in LABELLED:
+                at = LABEL.match(page, at).end()
             continue
         tag = (m["tag"] or "").lower()
         if tag == "br":

@@ -37,6 +37,25 @@ def test_odd_pages(tree, page):
     assert isinstance(htmltext.main_text(page, tree), str)
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<html><head><title>x</title><body>", ""), ("<head><meta name=a><title>x</title>", "</html>"),
+    ("<head><style>p{}</style><title>x</title><script>1</script></head>", ""),
+    ('<svg width="1"/>', "<svg><text>no</text></svg>"), ("<math/><svg />", ""), ("<svg><path d='M0'>", ""),
+    ("<button>Menu", "<button>no</button>"), ("<button>Menu", ""), ("<select><option>no<option>no", ""),
+    ("<select><option>no", "<select><option>no</select>"), ("<iframe src=x>", ""), ("<noscript>", ""),
+    ("<object><object>no</object>no</object>", ""), ("<button><script>'</button>'</script>no</button>", ""),
+    ("", "<script>no"), ("", "<style>no"), ("", "<textarea>no <p>no</p>")])
+def test_skipped_elements_without_end_tag(tree, before, after):
+    words = "one two three four five six seven eight nine ten " * 4
+    page = f"{before}<article><h1>Head</h1><p>{words}</p><p>{words} end</p></article>{after}"
+    assert htmltext.main_text(page, tree).split("\n") == ["Head", words.strip(), f"{words}end"]
+
+
+def test_many_unclosed_elements_take_linear_time(tree):
+    page = "<article>" + "<p>word and word<button>x<svg>" * 50_000 + "</article>"
+    assert len(htmltext.main_text(page, tree).split("\n")) == 50_000
+
+
 def test_labelled_table_is_learnt(tree):
     rows = htmltext.labelled_blocks()
     assert 0 < sum(r[-1] for r in rows) < len(rows)
