@@ -5,7 +5,10 @@ white space (line breaks included) reduced to single blanks. Each block gets
 the features of ``FEATURES``: words and link density (share of words inside
 links) of the block and of the blocks before and after it, whether an enclosing
 element says that it is main content or surroundings (by tag, ARIA role, or a
-word of its class or id), and whether it is a heading. A decision tree decides
+word of its class or id), and whether it is a heading. What an element around
+the whole page or around its main element says of surroundings is not taken
+(``page_wide``), and an article or main element starts afresh inside a side
+element that is only one by a hint. A decision tree decides
 which blocks are main text; they are joined by line breaks in page order.
 
 The tree is a Spark ML ``DecisionTreeClassifier`` trained on a small labelled
@@ -55,6 +58,7 @@ CONTAINER = frozenset(
     "table ul".split())
 MAIN_TAGS = frozenset("article main".split())
 SIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
+FIRM_TAGS = frozenset("nav footer aside dialog menu".split())  # never around the main element
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_HINTS = frozenset("article articlebody content entry main post story".split())
 SIDE_HINTS = frozenset(
@@ -62,6 +66,10 @@ SIDE_HINTS = frozenset(
     "consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter "
     "notice notification pager pagination popup promo promotion related reply replies search share sharing sidebar "
     "signup social sponsor sponsored subscribe toc toolbar widget".split())
+# hints that an article inside is not the page's own
+OTHERS_HINTS = frozenset(
+    "ad ads advert advertisement advertising comment comments disqus promo promotion related reply replies sponsor "
+    "sponsored".split())
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<skip>{SKIPPED})(?![\w:-])[^>]*>"
@@ -74,14 +82,54 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 NAME = re.compile(r"[A-Za-z]+")
 
 
-def hints(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
-    """(main, side) as said by an element itself."""
-    main, side = tag in MAIN_TAGS, tag in SIDE_TAGS or (tag == "header" and not inside_main)
-    if attrs:
+class Element:
+    """A container. ``main`` and ``side`` are what it says itself; ``resolve``
+    adds what the containers around it say."""
+    __slots__ = ("tag", "parent", "main", "side", "others", "words", "in_firm", "in_others")
+
+    def __init__(self, tag: str, attrs: str, parent: Element | None):
         names = {n.lower() for m in ATTRIBUTE.finditer(attrs) for n in NAME.findall(m[2] or m[3] or m[4] or "")}
-        side = side or not names.isdisjoint(SIDE_HINTS)
-        main = main or (not side and not names.isdisjoint(MAIN_HINTS))
-    return main, side
+        self.tag, self.parent, self.words = tag, parent, 0
+        self.side = tag in SIDE_TAGS or (tag != "main" and not names.isdisjoint(SIDE_HINTS))
+        self.main = tag in MAIN_TAGS or not names.isdisjoint(MAIN_HINTS)
+        self.others = tag in FIRM_TAGS or not names.isdisjoint(OTHERS_HINTS)
+        self.in_firm = parent is not None and (parent.in_firm or parent.tag in FIRM_TAGS)
+        self.in_others = parent is not None and (
+            parent.in_others or (parent.others and parent.tag not in ("html", "body")))
+
+
+def page_wide(elements: Sequence[Element], total: int) -> set[int]:
+    """Identities of the elements whose side hints are not taken: html and
+    body, those around the page's main element (its ``main``, else its first
+    article outside of comments and the like, else the wordiest article or
+    element with a main hint), and on a page without any such element those
+    that hold over four fifths of its words."""
+    wide = {id(e) for e in elements if e.tag in ("html", "body")}
+    own = [e for e in elements if e.main and not e.side and not e.in_firm]
+    chosen = (next((e for e in own if e.tag == "main"), None)
+              or next((e for e in own if e.tag == "article" and not e.in_others), None)
+              or max((e for e in own if id(e) not in wide), key=lambda e: e.words, default=None))
+    if chosen:
+        while chosen := chosen.parent:
+            wide.add(id(chosen))
+        return wide
+    return wide | {id(e) for e in elements if e.tag not in FIRM_TAGS and 5 * e.words > 4 * total}
+
+
+def resolved(elements: Sequence[Element], total: int) -> dict[int, tuple[bool, bool, bool]]:
+    """(main, side, others) of every element of a page of ``total`` words, by
+    identity."""
+    wide = page_wide(elements, total)
+    state = {id(None): (False, False, False)}
+    for e in elements:  # parents come first
+        main, side, others = state[id(e.parent)]
+        taken = id(e) not in wide
+        own_side = taken and (e.side or (e.tag == "header" and not main))
+        if e.tag in MAIN_TAGS and not own_side:
+            state[id(e)] = (True, others, others)
+        else:
+            state[id(e)] = (main or (e.main and not own_side), side or own_side, others or (taken and e.others))
+    return state
 
 
 def skips(page: str) -> dict[int, int]:
@@ -105,18 +153,21 @@ def self_closed(m: re.Match) -> bool:
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, in_main, in_side, heading) of every block."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+    out: list[tuple[str, int, int, Element | None, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[Element] = []
+    elements: list[Element] = []
     link = heading = False
 
     def flush() -> None:
         if parts:
             words = "".join(parts).split()
             if words:
-                main, side = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((" ".join(words), len(words), len("".join(linked).split()), main, side, heading))
+                out.append((" ".join(words), len(words), len("".join(linked).split()), stack[-1] if stack else None,
+                            heading))
+                if stack:
+                    stack[-1].words += len(words)
             parts.clear()
             linked.clear()
 
@@ -153,16 +204,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if tag in CONTAINER:
                 if m["close"]:
                     for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
+                        if stack[i].tag == tag:
                             del stack[i:]
                             break
                 elif not m["attrs"].endswith("/"):
-                    main, side = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    own_main, own_side = hints(tag, m["attrs"], main)
-                    stack.append((tag, main or own_main, side or own_side))
+                    stack.append(Element(tag, m["attrs"], stack[-1] if stack else None))
+                    elements.append(stack[-1])
     text(page[at:])
     flush()
-    return out
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.words += e.words
+    state = resolved(elements, sum(b[1] for b in out))
+    return [(*b[:3], *state[id(b[3])][:2], b[4]) for b in out]
 
 
 def features(found: Sequence[tuple]) -> list[tuple[float, ...]]:
@@ -210,6 +264,10 @@ def labelled_blocks() -> list[tuple[float, ...]]:
         # no hints: long blocks among long ones are text, short ones and links are not
         pages.append(f"<div>{links(5, i % 3 + 1)}</div><div>{paragraphs([40 + n, 25 + i, 60 + n])}</div>"
                      f"<div>{words(i + 2)}</div><div>{links(4, 2)}</div>")
+        # wrappers named after what else they hold
+        for wrap in ('<body class="has-sidebar">', '<div id="page" class="with-sidebar">', '<form id="aspnetForm">'):
+            pages += [f"{wrap}{before}<article>{body}{inner}</article>{after}",
+                      f'{wrap}{before}<div class="post-content">{body}</div>{after}']
     rows = []
     for page in pages:
         found = blocks(page)

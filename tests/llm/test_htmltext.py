@@ -51,6 +51,41 @@ def test_skipped_elements_without_end_tag(tree, before, after):
     assert htmltext.main_text(page, tree).split("\n") == ["Head", words.strip(), f"{words}end"]
 
 
+@pytest.mark.parametrize("wrap", [
+    '<body class="has-sidebar">{}</body>', '<html class="no-comments"><body id="widget">{}',
+    '<div id="page" class="with-sidebar">{}</div>', '<body><form id="aspnetForm" method="post">{}</form></body>',
+    '<div class="page-header-on"><div class="has-comments">{}</div></div>', '<header>{}</header>'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', "{}"])
+def test_page_wide_side_hints(tree, wrap, inner):
+    words = "one two three four five six seven eight nine ten " * 4
+    body = inner.format(f"<p>{words}</p><p>{words} end</p>")
+    side = ('<nav><a href="#">Home</a></nav>', '<div class="sidebar"><p>Read also this and that</p></div>'
+            '<div id="comments"><article><p>Great, thank you for this long text.</p></article></div>' * (inner != "{}"))
+    page = wrap.format(side[0] + body + side[1])
+    assert htmltext.main_text(page, tree).split("\n") == [words.strip(), f"{words}end"]
+
+
+def test_articles_in_layout_boxes_and_in_comments(tree):
+    words = "one two three four five six seven eight nine ten " * 4
+    page = (f'<div class="widget"><article><p>{words} a</p></article></div>'
+            f'<div class="widget"><article><p>{words} b</p></article><p>Follow us here</p></div>'
+            f'<div class="related"><article><p>{words} c</p></article></div><aside><article><p>{words} d</p></article></aside>')
+    assert [x[-1] for x in htmltext.main_text(page, tree).split("\n")[:2]] == ["a", "b"]
+    assert f"{words}c" not in htmltext.main_text(page, tree) and f"{words}d" not in htmltext.main_text(page, tree)
+
+
+def test_comments_are_not_page_wide_beside_plain_paragraphs(tree):
+    words = "one two three four five six seven eight nine ten " * 4
+    page = f'<p>{words}</p><p>{words} end</p><div class="comments"><p>{words} no</p></div>'
+    assert f"{words}no" not in htmltext.main_text(page, tree)
+    assert htmltext.main_text(f'<main class="with-sidebar"><p>{words}</p></main>', tree) == words.strip()
+
+
+def test_deep_pages_take_linear_time(tree):
+    page = '<div class="content"><article class="x">' * 30_000 + "<p>word and word</p>"
+    assert htmltext.main_text(page, tree) == "word and word"
+
+
 def test_many_unclosed_elements_take_linear_time(tree):
     page = "<article>" + "<p>word and word<button>x<svg>" * 50_000 + "</article>"
     assert len(htmltext.main_text(page, tree).split("\n")) == 50_000
