@@ -1,9 +1,10 @@
-"""The registered queries of the ten operators, over whole tables, and the SQL
+"""The registered queries of the operators, over whole tables, and the SQL
 that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from provlens.llm import bpe, chat, htmltext, lattice, mixing, phrases, rules, runindex, simhash, warc
+from provlens.llm import (bpe, chat, crosstok, htmltext, lattice, lexical, mixing, phrases, rules, runindex, shards,
+                          simhash, warc)
 from provlens.llm.common import table
 
 
@@ -47,6 +48,18 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_alignment(spark, sf_dir):
+    return crosstok.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_jump_shards(spark, sf_dir):
+    return shards.shard_report(table(spark, sf_dir, "documents"))
+
+
 WORDS_SQL = "len(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+'))"
 
 
@@ -126,7 +139,46 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op1_source_mix": OP1_SQL}
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}') AS terms FROM documents),
+s AS (SELECT count(*)::BIGINT AS nd, sum(len(terms))::BIGINT AS nt FROM d WHERE len(terms) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, nd),
+m AS (SELECT r, doc_id, 75 + (25 * len(terms) * nd) // nt AS m FROM d, s WHERE len(terms) > 0),
+b AS (SELECT i, item_id, term, count(*) AS times FROM (
+        SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+          translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')) AS term FROM benchmark)
+      GROUP BY i, item_id, term),
+e AS (SELECT i, item_id, m.r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM b JOIN p USING (term) JOIN w USING (term) JOIN m ON m.r = p.r GROUP BY i, item_id, m.r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM e WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= {lexical.TOP_K}
+"""
+
+# Sharding. CRC-32 by bytes with its table; the jump sequence with 128-bit integers.
+OP13_SQL = f"""
+WITH RECURSIVE c(i, step, v) AS (SELECT i, 0, i::UBIGINT FROM range(256) t(i) UNION ALL
+  SELECT i, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM c WHERE step < 8),
+crc AS (SELECT list(v ORDER BY i) AS l FROM c WHERE step = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw,
+        ('0x' || substr(md5(coalesce('k' || doc_id::VARCHAR, 'null')), 1, 15))::HUGEINT AS seed FROM documents),
+j(r, n, key, here, nxt) AS (SELECT r, n, seed, -1::BIGINT, 0::BIGINT FROM d, (VALUES ({shards.SHARDS}), ({shards.SHARDS + 1})) AS s(n)
+  UNION ALL SELECT r, n, k, nxt, floor((nxt + 1) * (2147483648.0::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (key * {shards.MULTIPLIER}::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM j WHERE nxt < n)),
+s AS (SELECT r, n, max(here) AS shard FROM j GROUP BY r, n),
+x AS (SELECT d.*, xor(coalesce(list_reduce(
+          list_transform(regexp_extract_all(hex(raw), '..'), lambda b: ('0x' || b)::UBIGINT),
+          lambda a, b: xor(a >> 8, l[(xor(a, b) & 255)::INT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT),
+          4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, crc)
+SELECT doc_id, (octet_length(raw) + 1)::BIGINT AS size, text_crc32, 'key' AS law, a.shard::INT AS shard,
+  row_number() OVER (PARTITION BY a.shard ORDER BY doc_id NULLS FIRST, text_crc32, octet_length(raw)) - 1 AS slot,
+  g.shard::INT AS grown_shard
+FROM x JOIN s a ON a.r = x.r AND a.n = {shards.SHARDS} JOIN s g ON g.r = x.r AND g.n = {shards.SHARDS + 1}
+"""
+
+ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op1_source_mix": OP1_SQL,
+              "op12_lexical_search": OP12_SQL, "op13_jump_shards": OP13_SQL}
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_phrase_fingerprints, op3_main_text, op4_lattice_score, op5_long_repeats, op6_chat_format, op7_simhash, op8_quality_rules, op9_warc,
-                                  op10_bpe)}
+                                  op10_bpe, op11_cross_alignment, op12_lexical_search, op13_jump_shards)}
