@@ -21,7 +21,7 @@ TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "embeddi
 
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
 
 
