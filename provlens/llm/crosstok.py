@@ -106,8 +106,8 @@ class Sides:
         parts = [clean[i:i + JOINED] for i in range(0, len(clean), JOINED)]
         joined = self.a.encode_batch(["".join(" " + units[i] for i in p) for p in parts], add_special_tokens=False)
         for part, e in zip(parts, joined):
-            ids = np.array(e.ids, np.int64)
-            end = np.cumsum(self.a_size[ids])
+            every = e.ids
+            end = np.cumsum(self.a_size[np.array(every, np.int64)])
             stop = np.cumsum([1 + len(units[i].encode()) for i in part])
             at = np.searchsorted(end, stop)
             if at[-1] >= len(end) or (end[at] != stop).any():  # not where a unit ends: one by one
@@ -115,7 +115,7 @@ class Sides:
                     out[i] = one.ids
                 continue
             for i, low, high in zip(part, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist()):
-                out[i] = e.ids[low:high]
+                out[i] = every[low:high]
         return out
 
 
