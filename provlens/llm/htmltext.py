@@ -5,7 +5,8 @@ white space (line breaks included) reduced to single blanks. Each block gets
 the features of ``FEATURES``: words and link density (share of words inside
 links) of the block and of the blocks before and after it, whether an enclosing
 element says that it is main content or surroundings (by tag, ARIA role, or a
-word of its class or id), and whether it is a heading. What an element around
+word of its class or id; inside main content some of these words do not count),
+whether it is a heading, and how much text stands beside it in its container. What an element around
 the whole page or around its main element says of surroundings is not taken
 (``page_wide``), and an article or main element starts afresh inside a side
 element that is only one by a hint. A decision tree decides
@@ -42,8 +43,9 @@ from pyspark.sql import functions as F
 from provlens.llm.common import chunks, filled
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
-            "in_main", "in_side", "heading")
-TREE_DEPTH = 7
+            "in_main", "in_side", "heading", "kin")
+TREE_DEPTH = 9
+KIN_WORDS = 25  # more text beside a block tells no more
 
 # Element names and hints.
 RAW = "script|style|textarea"
@@ -66,6 +68,11 @@ SIDE_HINTS = frozenset(
     "consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter "
     "notice notification pager pagination popup promo promotion related reply replies search share sharing sidebar "
     "signup social sponsor sponsored subscribe toc toolbar widget".split())
+# hints that inside main content count only if most words are linked: a section may be about related work
+WEAK_HINTS = frozenset("complementary form related search".split())
+# hints that count outside of main content only
+TOP_HINTS = frozenset(["header"])
+OUTSIDE_HINTS = frozenset("discussion feedback respond response responses reviews talkback thread".split())
 # hints that an article inside is not the page's own
 OTHERS_HINTS = frozenset(
     "ad ads advert advertisement advertising comment comments disqus promo promotion related reply replies sponsor "
@@ -85,12 +92,15 @@ NAME = re.compile(r"[A-Za-z]+")
 class Element:
     """A container. ``main`` and ``side`` are what it says itself; ``resolve``
     adds what the containers around it say."""
-    __slots__ = ("tag", "parent", "main", "side", "others", "words", "in_firm", "in_others")
+    __slots__ = ("tag", "parent", "main", "side", "firm", "weak", "outside", "others", "words", "linked", "kin", "in_firm", "in_others")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         names = {n.lower() for m in ATTRIBUTE.finditer(attrs) for n in NAME.findall(m[2] or m[3] or m[4] or "")}
-        self.tag, self.parent, self.words = tag, parent, 0
+        self.tag, self.parent, self.words, self.linked, self.kin = tag, parent, 0, 0, 0
         self.side = tag in SIDE_TAGS or (tag != "main" and not names.isdisjoint(SIDE_HINTS))
+        self.firm = tag in SIDE_TAGS or (tag != "main" and not names.isdisjoint(SIDE_HINTS - WEAK_HINTS - TOP_HINTS))
+        self.weak = tag != "main" and not names.isdisjoint(WEAK_HINTS)
+        self.outside = tag == "header" or (tag not in MAIN_TAGS and not names.isdisjoint(TOP_HINTS | OUTSIDE_HINTS))
         self.main = tag in MAIN_TAGS or not names.isdisjoint(MAIN_HINTS)
         self.others = tag in FIRM_TAGS or not names.isdisjoint(OTHERS_HINTS)
         self.in_firm = parent is not None and (parent.in_firm or parent.tag in FIRM_TAGS)
@@ -124,7 +134,7 @@ def resolved(elements: Sequence[Element], total: int) -> dict[int, tuple[bool, b
     for e in elements:  # parents come first
         main, side, others = state[id(e.parent)]
         taken = id(e) not in wide
-        own_side = taken and (e.side or (e.tag == "header" and not main))
+        own_side = taken and (e.firm or (e.outside and not main) or (e.weak and (not main or 2 * e.linked > e.words)))
         if e.tag in MAIN_TAGS and not own_side:
             state[id(e)] = (True, others, others)
         else:
@@ -151,8 +161,10 @@ def self_closed(m: re.Match) -> bool:
     return m["skip"].lower() in ("svg", "math") and m[0].endswith("/>")
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, in_main, in_side, heading) of every block."""
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, int]]:
+    """(text, words, linked words, in_main, in_side, heading, kin) of every
+    block; kin: the words without links that its container holds directly, less
+    its own, KIN_WORDS at most."""
     out: list[tuple[str, int, int, Element | None, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -168,6 +180,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                             heading))
                 if stack:
                     stack[-1].words += len(words)
+                    stack[-1].linked += out[-1][2]
+                    stack[-1].kin += len(words) - out[-1][2]
             parts.clear()
             linked.clear()
 
@@ -215,8 +229,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     for e in reversed(elements):
         if e.parent:
             e.parent.words += e.words
+            e.parent.linked += e.linked
     state = resolved(elements, sum(b[1] for b in out))
-    return [(*b[:3], *state[id(b[3])][:2], b[4]) for b in out]
+    return [(*b[:3], *state[id(b[3])][:2], b[4], min(b[3].kin - b[1] + b[2], KIN_WORDS) if b[3] else 0) for b in out]
 
 
 def features(found: Sequence[tuple]) -> list[tuple[float, ...]]:
@@ -224,7 +239,7 @@ def features(found: Sequence[tuple]) -> list[tuple[float, ...]]:
     base = [(float(w), n / w) for _, w, n, *_ in found]
     edge = (0.0, 0.0)
     return [(*base[i], *(base[i - 1] if i else edge), *(base[i + 1] if i + 1 < len(base) else edge),
-             float(b[3]), float(b[4]), float(b[5])) for i, b in enumerate(found)]
+             *map(float, b[3:])) for i, b in enumerate(found)]
 
 
 def labelled_blocks() -> list[tuple[float, ...]]:
@@ -264,6 +279,19 @@ def labelled_blocks() -> list[tuple[float, ...]]:
         # no hints: long blocks among long ones are text, short ones and links are not
         pages.append(f"<div>{links(5, i % 3 + 1)}</div><div>{paragraphs([40 + n, 25 + i, 60 + n])}</div>"
                      f"<div>{words(i + 2)}</div><div>{links(4, 2)}</div>")
+        # ... but a short one among long ones in one container is
+        for count in (1, 2, 3, 5):
+            long = [25 + (13 * i + 17 * k) % 70 for k in range(count)]
+            mixed = [x for k, m in enumerate(long) for x in ([m, 1 + (i + k) % 6, 2] if k + 1 < count else [m])]
+            for text in (long, mixed):
+                for first in (links(4, i % 3 + 1), words(i % 6 + 1), ""):
+                    pages.append(f"<div>{first}</div><div>{paragraphs(text)}</div><div>{words(i % 7 + 1)}</div>"
+                                 f"<div>{links(5, 1)}</div><p>{words(i % 4 + 1)}</p>")
+        # parts of an article named like surroundings, and comments after it
+        pages.append(f'{before}<article><header class="entry-header"><h1>{words(i + 1, True)}</h1></header>'
+                     f'{paragraphs([n, 3, 30 + i])}<section id="related-work"><h2>{words(2, True)}</h2>'
+                     f'{paragraphs([20 + n, 2])}</section><div class="related-posts"><ul>{links(4, 3)}</ul></div></article>'
+                     f'<section class="responses"><p>{words(n)}</p><p>{words(20 + i)}</p></section>{after}')
         # wrappers named after what else they hold
         for wrap in ('<body class="has-sidebar">', '<div id="page" class="with-sidebar">', '<form id="aspnetForm">'):
             pages += [f"{wrap}{before}<article>{body}{inner}</article>{after}",

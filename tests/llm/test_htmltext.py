@@ -110,3 +110,41 @@ def test_query_columns_nulls_and_extra_columns(spark):
 def test_very_long_page(tree):
     page = "<article>" + "<p>word and word</p>" * 50_000 + "</article>"
     assert len(htmltext.main_text(page, tree).split("\n")) == 50_000
+
+
+LONG = "one two three four five six seven eight nine ten " * 4
+
+
+@pytest.mark.parametrize("heading", [
+    '<header class="entry-header"><h1>{}</h1></header>', '<header><h1>{}</h1></header>', '<div class="post-header"><h2>{}</h2></div>',
+    '<header class="article-header wide"><h1>{}</h1></header>', '<h1 class="header">{}</h1>'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", '<body class="x"><article class="post">{}</article>'])
+def test_headings_inside_the_article_stay(tree, heading, inner):
+    page = inner.format(heading.format("Title here") + f"<p>{LONG}</p><p>Short.</p><p>{LONG}end</p>")
+    assert htmltext.main_text(page, tree).split("\n") == ["Title here", LONG.strip(), "Short.", f"{LONG}end"]
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-methods", "related", "form-and-content"])
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_sections_named_like_surroundings_stay(tree, name, tag):
+    page = (f'<nav><a href="#">Home</a></nav><article><p>{LONG}</p><{tag} id="{name}"><h2>Section</h2><p>{LONG}</p><p>No.</p></{tag}>'
+            f'<p>{LONG}end</p><div class="related"><a href="#">Read this one</a> <a href="#">and that one</a></div></article>')
+    assert htmltext.main_text(page, tree).split("\n") == [LONG.strip(), "Section", LONG.strip(), "No.", f"{LONG}end"]
+
+
+@pytest.mark.parametrize("short", [["Yes."], ["He said no."], ["Yes.", "He said no.", "Why?"]])
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", '<div id="a1">{}</div>', "<body><div><div>{}</div></div></body>", "<section>{}</section>"])
+def test_short_paragraphs_between_long_ones_stay(tree, short, wrap):
+    body = f"<p>{LONG}</p>" + "".join(f"<p>{s}</p><p>{LONG}</p>" for s in short)
+    page = f'<div><a href="#">Home</a> <a href="#">News</a></div>{wrap.format(body)}<div>Share this</div><div><a href="#">Next</a></div>'
+    assert htmltext.main_text(page, tree).split("\n") == [LONG.strip()] + [x for s in short for x in (s, LONG.strip())]
+
+
+@pytest.mark.parametrize("box", [
+    '<section class="responses">{}</section>', '<div id="discussion">{}</div>', '<div class="comment-list">{}</div>',
+    '<section id="respond">{}</section>', '<div class="reader-feedback">{}</div>', '<ol class="comments">{}</ol>'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>"])
+def test_reader_comments_go(tree, box, inner):
+    said = box.format(f"<p>Great piece, {LONG}</p><p>I agree.</p>")
+    page = inner.format(f"<h1>Head</h1><p>{LONG}</p><p>{LONG}end</p>") + said
+    assert htmltext.main_text(page, tree).split("\n") == ["Head", LONG.strip(), f"{LONG}end"]
