@@ -120,7 +120,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR len(lines) > 2 * len(list_distinct(lines))
        OR word_chars < 2 * n_words OR word_chars > 14 * n_words
        OR 10 * length(regexp_replace(text, '[^\\p{Lu}]+', '', 'g')) > 4 * word_chars
-       OR (n_words >= 100 AND 20 * len(list_distinct(words)) < n_words)
+       OR (n_words >= 100 AND 20 * list_sum(list_transform(range(0, (n_words + 99) // 100), lambda i:
+             len(list_distinct(words[least(i * 100, n_words - 100) + 1:least(i * 100, n_words - 100) + 100]))))
+           < 100 * ((n_words + 99) // 100))
        OR 5 * (length(text) - length(replace(text, '!', ''))) > n_words) AS kept
 FROM f
 """

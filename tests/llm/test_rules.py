@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from provlens.llm import rules
+from provlens.llm import queries, rules
 from tests.llm import edge
 
 
@@ -62,6 +63,41 @@ def _kept(docs, order):
     return docs.filter(rules.let(rules.words_of(t), verdict).isNull())
 
 
+def rows_for_every_rule():
+    rng = random.Random(5)
+    prose = "The quick brown fox jumps over the lazy dog while many other animals look on and wonder what it is about today"
+    few = " ".join(rng.choice(["ha", "ho", "hey"]) for _ in range(4000))
+    many = " ".join(f"w{rng.randrange(150)}" for _ in range(4000))  # 150 of 4000 words, but no stutter
+    return rows() + [(200, "short", "a"), (201, few, "a"), (202, many, "a"), (203, few[:400], "a"),
+                     (204, many + " " + few[:300], "a"), (205, " ".join(few.split()[:99]), "a"),
+                     (206, "\n".join(prose + f" {i % 3}" for i in range(9)), "a")]
+
+
+def test_every_rule_rejects_and_the_sql_agrees(spark):
+    docs = edge.documents(spark, rows_for_every_rule())
+    t, w = F.coalesce("text", F.lit("")), F.col("w")
+    hits = docs.select(t.alias("text")).withColumn("w", rules.words_of(F.col("text"))).agg(
+        *[F.count_if(r.rejects(F.col("text"), w)).alias(r.name) for r in rules.default_rules()]).first().asDict()
+    assert all(n > 0 for n in hits.values()), hits
+    assert set(hits) == {r.name for r in rules.default_rules()}
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text").toArrow()
+    con.register("documents", documents)
+    res = con.sql(queries.OP8_SQL)
+    got = rules.quality_report(docs).select(*res.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, res.fetchall()))
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert 202 in kept and not kept & {200, 201}
+
+
+def test_the_sample_is_bounded_and_from_all_partitions(spark):
+    docs = spark.createDataFrame([(f"text {i}",) for i in range(4000)], "text string").repartition(8)
+    texts = {r["t"] for r in rules.sample_of(docs, sample_rows=200).collect()}
+    assert 100 < len(texts) <= 400
+    first = {r["text"] for r in docs.where(F.spark_partition_id() == 0).collect()}
+    assert 0 < len(texts & first) < len(texts) / 2
+
+
 def test_later_rules_are_not_evaluated_for_rejected_documents(spark):
     docs = edge.documents(spark, [(1, "reject me", "a"), (2, "reject me too", "a")])
     order = [rules.Rule("first", lambda t, w: F.size(w) < 20),
