@@ -155,7 +155,7 @@ def test_empty_table(spark):
 
 
 def test_removal_keeps_columns_and_valid_text(spark):
-    shared = "é" * 80 + "日本" * 30
+    shared = "".join(chr(0xE9 + 7 * i % 400) + chr(0x4E00 + i * 31) for i in range(60))  # without a period
     docs = edge.documents(spark, [(1, "first " + shared, "a"), (2, "secönd " + shared + " tail", "b"), (3, None, None)])
     rows = {r["doc_id"]: r for r in runindex.remove_repeats(docs).collect()}
     assert runindex.remove_repeats(docs).columns == docs.columns
@@ -163,6 +163,18 @@ def test_removal_keeps_columns_and_valid_text(spark):
     assert rows[2]["text"] == "secönd tail" and rows[2]["n_chars"] == 11
 
 
+def test_a_text_with_a_period_keeps_its_first_turn(spark):
+    text = "first " + "é" * 80 + "日本" * 30  # repeats in itself: all but the first 100 bytes of each period go
+    raw, seen, gone = text.encode(), set(), set()
+    for i in range(len(raw) - 99):
+        if raw[i:i + 100] in seen:
+            gone.update(range(i, i + 100))
+        seen.add(raw[i:i + 100])
+    want = bytes(b for i, b in enumerate(raw) if i not in gone).decode("utf-8", "ignore")
+    got = runindex.remove_repeats(edge.documents(spark, [(1, text, "a")])).first()
+    assert got["text"] == want == "first é日本"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=5, max_size=30), min_size=1, max_size=12))
 def test_run_index_against_brute_force(parts):
