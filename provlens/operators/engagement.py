@@ -164,8 +164,8 @@ def engagement_long(part_b: DataFrame | None, part_d: DataFrame | None, payments
 
 
 # Above this many measure columns the pivot aggregates by (npi, drug, measure)
-# first and then uses Spark's native pivot: O(1) work per fact row instead of
-# one comparison per column, at the price of a second, much smaller shuffle.
+# first and then reads the cells of sparse rows: O(1) work per fact row instead
+# of one comparison per column, at the price of two more, much smaller shuffles.
 NARROW_PIVOT_MAX = 64
 
 
@@ -208,8 +208,8 @@ def pivot_wide(rows: DataFrame, measures: Sequence[Measure], total: str | None =
 
     ``rows`` are facts or long rows; those outside the measure list are ignored
     (also by the total). ``strategy``: ``conditional`` (one groupBy, one
-    shuffle, a conditional sum per column), ``two_phase`` (native pivot of the
-    aggregates by drug and measure) or ``auto`` (by width).
+    shuffle, a conditional sum per column), ``two_phase`` (cells of the sparse
+    rows) or ``auto`` (by width).
     """
     check_width(len(measures))
     if not measures:
@@ -226,23 +226,34 @@ def pivot_wide(rows: DataFrame, measures: Sequence[Measure], total: str | None =
             f"THEN {m.lower()} END), 0L)" for m in counted])
         aggs = [F.expr(f"CAST({every} AS BIGINT) AS {sql_ident(total)}")] if total else []
         return kept.groupBy("npi").agg(*aggs, *[_cell(m) for m in measures])
-    # aggregate first, then name the cells
-    sums = kept.groupBy("npi", "drug", "measure").agg(*[F.sum(c).alias(c) for c in ("amount", "patients", "claims")])
+    # cells are read from one map column: an expression over all cells beside the named ones would make the
+    # optimizer list every mixture of both
+    sparse = sparse_wide(kept, measure_index(rows.sparkSession, measures))
+    cells = [F.expr(f"coalesce(try_element_at(cells, {i}), 0L) AS {sql_ident(m.name)}") for i, m in enumerate(measures)]
+    return sparse.select("npi", *([F.col("total").alias(total)] if total else []), *cells)
+
+
+INDEX_SCHEMA = "drug string, m string, i int"
+
+
+def measure_index(spark: SparkSession, measures: Sequence[Measure]) -> DataFrame:
+    """The measure list with the place of each measure in it."""
+    return spark.createDataFrame([(m.drug, m.measure, i) for i, m in enumerate(measures)], INDEX_SCHEMA)
+
+
+def sparse_wide(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """One sparse row per npi: (npi, total, cells), the cells a map from a
+    measure's place in ``index`` (drug, m, i) to its sum. It has no width limit:
+    a measure takes room only where a provider has it. The index is joined as
+    Spark sees fit (it is as long as the measure list)."""
+    sums = as_facts(rows).groupBy("npi", "drug", "measure").agg(*[F.sum(c).alias(c) for c in ("amount", "patients", "claims")])
     cells = F.when(F.col("measure").isNotNull(), F.array(F.struct(F.col("measure").alias("m"), F.col("amount").alias("v")))
                    ).otherwise(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m.lower()).alias("v"))
                                          for m in CLAIM_MEASURES]))
     flat = sums.select("npi", "drug", F.inline(cells)).where(F.col("v").isNotNull())
-    index = F.broadcast(rows.sparkSession.createDataFrame(  # bounded by MAX_PIVOT_VALUES
-        [(m.drug, m.measure, i) for i, m in enumerate(measures)], "drug string, m string, _i int"))
-    numbers = list(range(len(measures)))
-    piv = flat.join(index, ["drug", "m"]).groupBy("npi").pivot("_i", numbers).agg(F.sum("v"))
-    zero = F.lit(0).cast("bigint")
-    out = [F.coalesce(F.col(str(i)), zero).alias(m.name) for i, m in enumerate(measures)]
-    if total:
-        # a fold over the cells, not c1 + c2 + ..., which Catalyst would expand
-        items = ", ".join(f"coalesce({sql_ident(str(i))}, 0L)" for i in numbers)
-        out = [F.expr(f"aggregate(array({items}), 0L, (a, x) -> a + x)").alias(total), *out]
-    return piv.select("npi", *out)
+    one = flat.join(index, ["drug", "m"]).groupBy("npi", "i").agg(F.sum("v").alias("v"))
+    return one.groupBy("npi").agg(F.sum("v").alias("total"),
+                                  F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("cells"))
 
 
 def _row_amount(measures_known: bool) -> str:
