@@ -13,9 +13,10 @@ bounds are visited, as ids decide ties).
 Scores are exact integers: w * ((10^9 tf) div (1000 tf + 12 m)), summed over an
 item's terms with repeats.
 
-Scale: one pass counts the terms, one range shuffle brings equal normalisers
-together (an input position in the key spreads a stratum that holds a third of
-all rows), index and search are narrow passes. A task returns ``k`` rows per
+Scale: one pass counts documents and characters by length, one shuffle brings
+equal normalisers together in parts of equal size (a stratum that holds a third
+of all rows is spread over a third of the parts), index and search are narrow
+passes. A task returns ``k`` rows per
 item; they are reduced in two rounds. Items are processed in blocks of
 ``ITEMS`` (their terms and weights travel with the tasks), so any number of
 items can be asked.
@@ -31,11 +32,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,55 +60,86 @@ def terms_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Pieces (m, piece, doc_ids, terms, tfs, counts, docs) and the statistics
-    of the corpus: documents with a term, and their terms with repeats."""
+    """Pieces (m, postings) and the statistics of the corpus: documents with a
+    term, and their terms with repeats. The first posting of a piece has the
+    empty term and holds its document ids, the others places among them."""
 
     pieces: DataFrame
     n_docs: int
     n_terms: int
 
 
+def n_terms(texts: pd.Series) -> pd.Series:
+    """Terms of each text, counted where a term begins, 1 MB at a time."""
+    out = []
+    for part in chunks([texts.to_frame("t")], "t"):
+        raw = [t.encode() for t in part["t"]]
+        is_term = np.frombuffer((b" " + b" ".join(raw) + b" ").translate(SEPARATED), np.uint8) != 32
+        begins = is_term[1:] & ~is_term[:-1]
+        size = np.array([len(r) + 1 for r in raw])
+        out.append(np.add.reduceat(begins, np.cumsum(size) - size, dtype=np.int64))
+    return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    src = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), filled(text).alias("t"))
-    counted = src.withColumn("n", F.regexp_count("t", F.lit(TERM)).cast("bigint")).where("n > 0")
-    stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
-    n_docs, n_terms = stats["docs"], stats["terms"] or 0
-    if not n_docs:  # nothing to divide by
-        counted = counted.where(F.lit(False))
-    m = F.lit(75) + F.expr(f"(25L * n * {n_docs}L) div {max(n_terms, 1)}L")
-    by_length = (counted.select("id", "t", m.alias("m"))
-                 .repartitionByRange(shuffle_width(docs.sparkSession), "m", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    counted = (docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), filled(text).alias("t"))
+               .withColumn("n", F.pandas_udf(n_terms, "bigint")("t")).where("n > 0"))
+    lengths = saved(counted.groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("t")).alias("chars")),
+                    "lexical-lengths")
+    stats = lengths.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("n")), F.sum("chars")).first()
+    n_docs, terms, chars = (x or 0 for x in stats)
+    m = F.lit(75) + F.expr(f"(25L * n * {n_docs}L) div {max(terms, 1)}L")
+    # strata lie one after the other on a line of all characters, which is cut into equal parts
+    strata = lengths.groupBy(m.alias("m")).agg(F.sum("chars").alias("chars"))
+    before = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    strata = strata.select("m", "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("begin"))
+    width = shuffle_width(spark)
+    share = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    part = F.floor((F.col("begin") + share * F.col("chars")) * F.lit(width) / F.lit(float(max(chars, 1)))).cast("int")
+    by_length = (counted.select("id", "t", m.alias("m")).join(strata, "m")
+                 .select("id", "t", "m", F.least(part, F.lit(width - 1)).alias("part"))
+                 .repartitionById(width, F.col("part")).drop("part")
                  .sortWithinPartitions("m", F.col("id").asc_nulls_last()))
-    schema = ("m bigint, piece bigint, doc_ids array<bigint>, terms array<binary>, tfs array<int>, "
-              "counts array<int>, docs array<int>")
-    return Index(saved(by_length.mapInPandas(_pieces, schema), "lexical-index"), n_docs, n_terms)
+    schema = "m bigint, postings array<struct<term binary, tf int, docs array<bigint>>>"
+    return Index(saved(by_length.mapInArrow(_pieces, schema), "lexical-index"), n_docs, terms)
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    piece = TaskContext.get().partitionId() << 32
-    for pdf in chunks(batches, "t", PIECE_CHARS):
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents sorted by m, PIECE_CHARS of text at a time, a row per stratum."""
+    frames = (b.select(["id", "t", "m"]).to_pandas(integer_object_nulls=True) for b in batches)
+    for pdf in chunks(frames, "t", PIECE_CHARS):
         cut = [terms_of(t) for t in pdf["t"]]
-        size = np.array([len(x) for x in cut])
         code, names = pd.factorize(np.array([t for x in cut for t in x], dtype=object))
-        doc = np.repeat(np.arange(len(cut)), size)
-        m = pdf["m"].to_numpy()
-        ids = pdf["id"].astype("Int64")
-        edges = np.flatnonzero(np.diff(m, prepend=m[0] - 1, append=m[-1] + 1))
+        m = pdf["m"].to_numpy().astype(np.int64)
+        first = np.flatnonzero(np.diff(m, prepend=m[0] - 1))
+        stratum = np.cumsum(np.diff(m, prepend=m[0] - 1) != 0) - 1
+        doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+        pair, tf = np.unique(code * np.int64(len(cut)) + doc, return_counts=True)
+        term, doc = pair // len(cut), pair % len(cut)
+        order = np.lexsort((doc, tf, term, stratum[doc]))
+        term, doc, tf = term[order], doc[order], tf[order]
+        group = np.flatnonzero(np.diff(stratum[doc], prepend=-1) | np.diff(term, prepend=-1) | np.diff(tf, prepend=0))
+        # a head per stratum, then its groups: entries in order, their values gathered from ids and places
+        width = np.diff(first, append=len(m))
+        size = np.concatenate([width, np.diff(group, append=len(doc))])
+        start = np.concatenate([first, len(m) + group])
+        entry = np.argsort(np.concatenate([np.arange(len(first)), stratum[doc[group]]]), kind="stable")
+        size, start = size[entry], start[entry]
         ends = np.concatenate([[0], np.cumsum(size)])
-        rows = []
-        for low, high in zip(edges[:-1], edges[1:]):  # strata of this piece
-            part = slice(ends[low], ends[high])
-            width = int(high - low)
-            pair, tf = np.unique(code[part].astype(np.int64) * width + (doc[part] - low), return_counts=True)
-            term, where = pair // width, pair % width
-            order = np.lexsort((where, tf, term))
-            term, where, tf = term[order], where[order], tf[order]
-            first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(tf, prepend=0))
-            piece += 1
-            rows.append((int(m[low]), piece, [None if x is pd.NA else int(x) for x in ids.iloc[low:high]],
-                         names[term[first]], tf[first].astype(np.int32),
-                         np.diff(first, append=len(term)).astype(np.int32), where.astype(np.int32)))
-        yield pd.DataFrame(rows, columns=["m", "piece", "doc_ids", "terms", "tfs", "counts", "docs"])
+        flat = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+        none = pdf["id"].isna().to_numpy()
+        ids = np.where(none, 0, pdf["id"].to_numpy()).astype(np.int64)
+        values = np.concatenate([ids, doc - first[stratum[doc]]])[flat]
+        blank = np.concatenate([none, np.zeros(len(doc), bool)])[flat]
+        words = pa.array([b"", *names], pa.binary()).take(
+            pa.array(np.concatenate([np.zeros(len(first), np.int64), term[group] + 1])[entry]))
+        postings = pa.StructArray.from_arrays(
+            [words, pa.array(np.concatenate([np.zeros(len(first), np.int32), tf[group].astype(np.int32)])[entry]),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, mask=blank))], ["term", "tf", "docs"])
+        rows = np.concatenate([[0], np.cumsum(1 + np.bincount(stratum[doc[group]], minlength=len(first)))])
+        yield pa.RecordBatch.from_arrays([pa.array(m[first]), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), postings)],
+                                         ["m", "postings"])
 
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -138,10 +170,10 @@ def _search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
     words = [(int(r["position"]), bytes(r["term"]), int(r["repeats"])) for r in block.collect()]  # of ITEMS items at most
     vocabulary = sorted({t for _, t, _ in words})
     spark = block.sparkSession
+    entries = index.pieces.select("m", F.inline("postings"))
     asked = spark.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
-    postings = index.pieces.select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).select(
-        F.col("p.terms").alias("term"), F.col("p.counts").alias("n"))
-    df = {bytes(r["term"]): r["df"] for r in postings.join(F.broadcast(asked), "term")
+    df = {bytes(r["term"]): r["df"] for r in entries.select("term", F.size("docs").alias("n"))
+          .join(F.broadcast(asked), "term")
           .groupBy("term").agg(F.sum("n").alias("df")).collect()}  # at most a row per term of the block
     number = {t: i for i, t in enumerate(t for t in vocabulary if t in df)}
     weight = np.array([math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * df[t] + 1))) for t in number], np.int64)
@@ -157,11 +189,19 @@ def _search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
         best = {p: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)) for p, _, _ in asks}
         held: list[Stratum] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                held.append(Stratum(batch, i, number, weight))
-                if len(held) == VISIT:
-                    _visit(held, asks, best, k)
-                    held = []
+            if not batch.num_rows:
+                continue
+            m, no, tf = (batch.column(c).to_numpy().astype(np.int64) for c in ("m", "no", "tf"))
+            heads = {0, *np.flatnonzero(no < 0).tolist()}
+            for low, high in pairwise([*sorted(heads), len(no)]):
+                docs = batch.column("docs").slice(low, high - low)
+                if no[low] < 0:  # the head of a piece
+                    if len(held) == VISIT:
+                        _visit(held, asks, best, k)
+                        held = []
+                    held.append(Stratum(int(m[low]), docs.slice(0, 1).flatten(), len(weight)))
+                    low, docs = low + 1, docs.slice(1)
+                held[-1].add(no[low:high], tf[low:high], docs, weight)
         _visit(held, asks, best, k)
         for p, (score, doc, none) in best.items():
             if len(score):
@@ -169,7 +209,11 @@ def _search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
                     [pa.array(np.full(len(score), p)), pa.array(doc, mask=none), pa.array(score)],
                     ["position", "doc_id", "score"])
 
-    near = index.pieces.mapInArrow(visit, "position bigint, doc_id bigint, score bigint")
+    numbered = F.broadcast(spark.createDataFrame(
+        [(bytearray(b""), -1), *((bytearray(t), i) for t, i in number.items())], "term binary, no int"))
+    # a piece is one row of the index, so its entries stay side by side in one task
+    near = (entries.join(numbered, "term").select("m", "no", "tf", "docs")
+            .mapInArrow(visit, "position bigint, doc_id bigint, score bigint"))
     # two rounds, so that no task sees all tasks' rows of an item
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     some = near.withColumn("salt", F.spark_partition_id() % 64)
@@ -180,34 +224,31 @@ def _search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
 
 
 class Stratum:
-    """The asked terms of one piece: impact of every (term, tf), once."""
+    """The asked terms of one piece: the impact of every (term, tf), once."""
 
-    def __init__(self, batch: pa.RecordBatch, row: int, number: dict[bytes, int], weight: np.ndarray):
-        m = batch.column("m")[row].as_py()
-        ids = batch.column("doc_ids")[row].values
+    def __init__(self, m: int, ids: pa.Array, terms: int):
+        self.m = m
         self.none = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        term = np.array([number.get(t, -1) for t in batch.column("terms")[row].values.to_pylist()], np.int64)
-        tf = batch.column("tfs")[row].values.to_numpy().astype(np.int64)
-        count = batch.column("counts")[row].values.to_numpy()
-        end = np.cumsum(count)
-        docs = batch.column("docs")[row].values.to_numpy()
-        keep = np.flatnonzero(term >= 0)
-        impact = weight[term[keep]] * (1_000_000_000 * tf[keep] // (1000 * tf[keep] + 12 * m))
-        self.impact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.most = np.zeros(len(weight), np.int64)
-        edges = np.flatnonzero(np.diff(term[keep], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:]):  # a term's groups lie side by side
-            at = keep[a:b]
-            self.impact[int(term[at[0]])] = (np.repeat(impact[a:b], count[at]), docs[end[at[0]] - count[at[0]]:end[at[-1]]])
-            self.most[term[at[0]]] = impact[a:b].max()
+        self.impact: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.most = np.zeros(terms, np.int64)
+
+    def add(self, no: np.ndarray, tf: np.ndarray, docs: pa.ListArray, weight: np.ndarray) -> None:
+        """Postings in the order of term and tf."""
+        impact = weight[no] * (1_000_000_000 * tf // (1000 * tf + 12 * self.m))
+        np.maximum.at(self.most, no, impact)
+        size = docs.value_lengths().to_numpy(zero_copy_only=False)
+        value, place = np.repeat(impact, size), docs.flatten().to_numpy(zero_copy_only=False)
+        end = np.concatenate([[0], np.cumsum(size)])
+        edges = np.flatnonzero(np.diff(no, prepend=-1, append=-1))  # a term's groups lie side by side
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            self.impact.setdefault(int(no[a]), []).append((value[end[a]:end[b]], place[end[a]:end[b]]))
 
     def scores(self, terms: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.ids), np.int64)
         for t, r in zip(terms.tolist(), repeats.tolist()):
-            if t in self.impact:
-                value, docs = self.impact[t]
-                total[docs] += r * value
+            for value, place in self.impact.get(t, ()):
+                total[place] += r * value
         return total
 
 
