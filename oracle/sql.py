@@ -361,12 +361,18 @@ JOIN (VALUES """ + ", ".join(f"({lit(n)}, {lit(d)}, {lit(m)})" for n, d, m in AL
   AS m(name, drug, measure) ON w.name = m.name
 WHERE w.amount <> 0""", "profile_wide")
 
+ORACLE["view_external"] = ORACLE["wide_to_long"]
 
 # ---- files ----
 oracle("scan_csv", "SELECT Code, Classification, Specialization FROM taxonomy", "taxonomy")
 oracle("checkpoint_roundtrip", "SELECT * FROM eng_l", "eng_l")
 oracle("export_csv", "SELECT * FROM profile_wide", "profile_wide")
 oracle("catalog_roundtrip", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")
+oracle("catalog_document", "SELECT DISTINCT Brnd_Name, Gnrc_Name FROM part_d", "part_d")
+oracle("export_one_file", "SELECT * FROM profile_wide", "profile_wide")
+oracle("quoted_csv", """
+SELECT Rndrng_NPI, HCPCS_Cd, HCPCS_Desc || chr(10) || '"second, line"' || chr(10) || chr(10) || HCPCS_Cd AS HCPCS_Desc
+FROM part_b""", "part_b")
 
 
 # ---- viewer ----

@@ -63,6 +63,39 @@ def named(pairs: Sequence[tuple[str, str]]) -> list[Measure]:
     return out
 
 
+def resolve_names(columns: Sequence[str], known: Sequence[str]) -> list[Measure]:
+    """The measures of wide columns from their names alone.
+
+    A name is read as ``<drug>_<measure>`` with the longest known measure that
+    it ends with (compared without case, spelt as known): ``A_OTHERS_GENERAL`` is
+    drug ``A``, not ``A_OTHERS``. Where a shorter measure fits as well, the drugs
+    of the names that fit one measure only decide: if they hold the drug of a
+    shorter reading and not that of the longest, the shorter one is taken; if
+    they hold both, the name is ambiguous. A name that ends with no known measure, an
+    ambiguous one, and two names for one cell raise ``ValueError``.
+    """
+    spelt = {m.lower(): m for m in known}
+    ways: dict[str, list[tuple[str, str]]] = {}
+    for name in columns:
+        low = name.lower()
+        cuts = [i for i, c in enumerate(name) if c == "_" and i]
+        ways[name] = [(name[:i], spelt[low[i + 1:]]) for i in cuts if low[i + 1:] in spelt]  # longest measure first
+        if not ways[name]:
+            raise ValueError(f"no known measure at the end of column {name!r}")
+    sure = {w[0][0] for w in ways.values() if len(w) == 1}
+    out, seen = [], {}
+    for name, found in ways.items():
+        backed = [w for w in found if w[0] in sure]
+        if len(found) > 1 and len(backed) > 1:
+            raise ValueError(f"column {name!r} can be read as {' or as '.join(f'{d} + {m}' for d, m in backed)}")
+        drug, measure = (backed or found)[0] if len(found) > 1 else found[0]
+        if (drug, measure) in seen:
+            raise ValueError(f"columns {seen[drug, measure]!r} and {name!r} are one cell")
+        seen[drug, measure] = name
+        out.append(Measure(name, drug, measure))
+    return out
+
+
 def payment_pairs(sel: Selections) -> list[tuple[str, str]]:
     return [(d, c) for d in sel.payment_drugs() for c in sel.categories()]
 

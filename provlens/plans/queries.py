@@ -20,7 +20,7 @@ from provlens.operators import runs as RN
 from provlens.operators import viewer as V
 from provlens.plans import profile as PR
 from provlens.sources import files as FS
-from provlens.sources.results import SavedResult, save_result, text_of
+from provlens.sources.results import SavedResult, open_wide, save_result, text_of
 from provlens.sources.selections import Selections, stack_selections
 from provlens.session import scratch_dir
 from provlens.sources.tables import Inputs
@@ -280,6 +280,29 @@ def q_catalog_roundtrip(spark, sf_dir):
     return FS.json_roundtrip(CT.catalog_drugs(i.part_d), "catalog-json")
 
 
+@query("catalog_document")
+def q_catalog_document(spark, sf_dir):
+    """The catalogue as one JSON document, written and read by ranges."""
+    i, _ = _ctx(spark, sf_dir)
+    return FS.document_roundtrip(CT.catalog_drugs(i.part_d), "drugs")
+
+
+@query("export_one_file")
+def q_export_one_file(spark, sf_dir):
+    """The profile as one CSV file, put together from its parts."""
+    i, sel = _ctx(spark, sf_dir)
+    return FS.one_file_roundtrip(PR.profile(i, sel))
+
+
+@query("quoted_csv")
+def q_quoted_csv(spark, sf_dir):
+    """A CSV file with line breaks, quotes and commas inside its fields."""
+    i, _ = _ctx(spark, sf_dir)
+    rough = i.part_b.select("Rndrng_NPI", "HCPCS_Cd", F.concat(
+        F.col("HCPCS_Desc"), F.lit("\n\"second, line\"\n\n"), F.col("HCPCS_Cd")).alias("HCPCS_Desc"))
+    return FS.one_file_roundtrip(rough, "quoted")
+
+
 # ---- viewer ----------------------------------------------------------------
 
 def _profile_and_measures(spark, sf_dir):
@@ -340,6 +363,16 @@ def _saved(spark, sf_dir) -> SavedResult:
     return SavedResult.open(spark, path)
 
 
+@query("view_external")
+def q_view_external(spark, sf_dir):
+    """A wide CSV without its measure list: measures from the header alone."""
+    i, sel = _ctx(spark, sf_dir)
+    path = scratch_dir(spark, "external")
+    FS.write_csv(PR.profile(i, sel), path)
+    opened = open_wide(spark, path)
+    return opened.engagement
+
+
 @query("postal_format")
 def q_postal_format(spark, sf_dir):
     i, _ = _ctx(spark, sf_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from provlens.session import scratch_dir
+from provlens.session import filesystem_of, scratch_dir
 
 # Declared schemas of the public files, as the engine uses them.
 SCHEMAS = {
@@ -29,9 +29,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType,
              multiline: bool = False) -> DataFrame:
     """CSV scan with a declared schema; quotes inside quoted fields are doubled,
     as other CSV tools write them. ``multiline`` allows line breaks inside quoted
-    fields, at the price of one task per file. With ``bad_records_column`` the
-    schema must contain that string column; malformed lines land there instead
-    of failing the job."""
+    fields; the files are still split among tasks (``ranges.py``). With
+    ``bad_records_column`` the schema must contain that string column; malformed
+    lines land there instead of failing the job (a multi-line file is then one
+    task)."""
+    if multiline and header and not bad_records_column:
+        from provlens.sources.ranges import read_quoted_csv
+        return read_quoted_csv(spark, path, schema)
     reader = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
               .option("escape", '"').option("multiLine", multiline))
     if bad_records_column:
@@ -40,10 +44,16 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType,
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Header CSV folder, quotes doubled; one file only on request (all rows
-    then pass through one task: for small results)."""
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Header CSV folder, quotes doubled; on request with all rows in one file,
+    put together from the parts (``onefile.py``)."""
+    if single_file:
+        from provlens.sources.onefile import write_csv_file
+        store, folder = filesystem_of(path)
+        store.create_dir(folder)
+        store.delete_dir_contents(folder)
+        write_csv_file(df, f"{path}/part-00000.csv")
+        return
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def suggest_schema(spark: SparkSession, path: str, sampling_ratio: float = 0.01) -> StructType:
@@ -57,7 +67,6 @@ def csv_roundtrip(df: DataFrame, label: str = "csv") -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     write_csv(df, path)
-    # part files are small, so reading each in one task (for line breaks in fields) costs little
     return read_csv(spark, path, df.schema, multiline=True)
 
 
@@ -81,8 +90,23 @@ def json_roundtrip(df: DataFrame, label: str = "json") -> DataFrame:
     return spark.read.schema(df.schema).json(path)
 
 
-def read_catalog_document(spark: SparkSession, path: str, array_field: str, item_schema: str) -> DataFrame:
-    """Read a catalogue saved as one JSON document ``{"<field>": [{...}, ...]}``."""
-    schema = f"{array_field} array<struct<{item_schema}>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    return doc.selectExpr(f"inline({array_field})")
+def read_catalog_document(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
+    """Read a catalogue saved as one JSON document ``{"<field>": [{...}, ...]}``;
+    the file is split among tasks."""
+    from provlens.sources import ranges
+    return ranges.read_catalog_document(spark, path, item_schema)
+
+
+def document_roundtrip(df: DataFrame, array_field: str, label: str = "document") -> DataFrame:
+    """Write ``df`` as one JSON document and read it back with its schema."""
+    from provlens.sources.onefile import write_catalog_document
+    path = f"{scratch_dir(df.sparkSession, label)}/catalogue.json"
+    write_catalog_document(df, path, array_field)
+    return read_catalog_document(df.sparkSession, path, ", ".join(f"`{n}` {t}" for n, t in df.dtypes))
+
+
+def one_file_roundtrip(df: DataFrame, label: str = "one-file") -> DataFrame:
+    """Write ``df`` as one CSV file and read it back with its schema."""
+    path = scratch_dir(df.sparkSession, label)
+    write_csv(df, path, single_file=True)
+    return read_csv(df.sparkSession, path, df.schema, multiline=True)

@@ -9,8 +9,8 @@ Extra columns in a new edition are ignored; a missing one fails when the plan
 is built. Spark prunes the unused columns at the scan.
 
 Quotes inside quoted fields are doubled in these files. A source whose fields
-hold line breaks must be named in ``multiline``; each of its files is then read
-by one task, so such a source should come in many files.
+hold line breaks must be named in ``multiline``; its files are read by byte
+ranges with a pass that finds out where records begin (``ranges.py``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from provlens.sources.ranges import read_quoted_csv
+
 # Column names of the public files as published.
 PART_B_COLUMNS = ("Rndrng_NPI", "HCPCS_Cd", "HCPCS_Desc", "Tot_Benes", "Tot_Srvcs")
 PART_D_COLUMNS = ("Prscrbr_NPI", "Brnd_Name", "Gnrc_Name", "Tot_Clms", "Tot_Benes")
@@ -67,8 +69,10 @@ class PublicFiles:
     bad_values: dict = field(default_factory=dict, repr=False)
 
     def _csv(self, key: str, columns) -> DataFrame:
-        raw = (self.spark.read.option("header", True).option("escape", '"')
-               .option("multiLine", key in self.multiline).csv(self.files[key]))
+        if key in self.multiline:
+            raw = read_quoted_csv(self.spark, self.files[key])
+        else:
+            raw = self.spark.read.option("header", True).option("escape", '"').csv(self.files[key])
         numbers = [c for c in columns if c in TYPES]
         if numbers:
             seen = Observation(f"bad values of {key}")

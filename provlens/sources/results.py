@@ -6,6 +6,7 @@ without taking column names apart (``view`` in ``cli.py``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,9 +16,15 @@ from pyspark.sql import functions as F
 
 from provlens.functions.normalise import sql_ident
 from provlens.operators.affiliations import TOP_K, affiliation_block
-from provlens.operators.engagement import LONG_SCHEMA, MEASURES_SCHEMA, Measure, measures_from
+from provlens.operators.catalog import DEFAULT_CATEGORY_NAMES
+from provlens.operators.engagement import (CLAIM_MEASURES, LONG_SCHEMA, MEASURES_SCHEMA, Measure, measures_from,
+                                           resolve_names, wide_to_long)
 from provlens.operators.registry import ADDRESS_COLS, NAME_COLS, TAXONOMY_TEXT_COLS
 from provlens.sources.files import write_csv
+from provlens.sources.ranges import read_quoted_csv
+from provlens.sources.selections import DEFAULT_CATEGORY
+
+BLOCK_COLUMN = re.compile(r"(Facility_Name|Org_pac_id)_\d+")
 
 
 def save_result(path: str, profile: DataFrame, engagement: DataFrame, measures: DataFrame, fmt: str = "csv",
@@ -66,5 +73,19 @@ class SavedResult:
 
 
 def text_of(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table, every column as text."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    """A CSV table, every column as text; fields may hold line breaks."""
+    return read_quoted_csv(spark, path)
+
+
+def open_wide(spark: SparkSession, path: str, categories: Sequence[str] = ()) -> SavedResult:
+    """A wide CSV from elsewhere, opened by its header alone: measure columns are
+    resolved by ``resolve_names`` (``categories`` adds category names to the
+    default ones), the long facts come from the cells. A header that can be read
+    in two ways is a ``ValueError``."""
+    raw = text_of(spark, path)
+    known = [c for c in raw.columns if c in {*NAME_COLS, *ADDRESS_COLS, *TAXONOMY_TEXT_COLS} or BLOCK_COLUMN.fullmatch(c)]
+    measures = resolve_names([c for c in raw.columns if c not in known],
+                             [*CLAIM_MEASURES, DEFAULT_CATEGORY, *(new for _, new in DEFAULT_CATEGORY_NAMES), *categories])
+    profile = raw.select(*[F.col(sql_ident(c)).cast("bigint").alias(c) if _is_number(c, measures)
+                           else F.col(sql_ident(c)) for c in raw.columns])
+    return SavedResult(profile, wide_to_long(profile, measures, spark), measures)

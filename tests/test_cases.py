@@ -273,7 +273,7 @@ def test_catalog_document_form(spark, tmp_path):
     from provlens.sources.files import read_catalog_document
     (tmp_path / "c.json").write_text('{"drugs": [{"Brnd_Name": "A", "Gnrc_Name": "a"},\n'
                                      ' {"Brnd_Name": "B", "Gnrc_Name": null}]}')
-    df = read_catalog_document(spark, str(tmp_path / "c.json"), "drugs", "Brnd_Name string, Gnrc_Name string")
+    df = read_catalog_document(spark, str(tmp_path / "c.json"), "Brnd_Name string, Gnrc_Name string")
     assert rows(df, "Brnd_Name", "Gnrc_Name") == [("A", "a"), ("B", None)]
 
 
