@@ -25,6 +25,13 @@ def affiliations_clean(affiliations: DataFrame) -> DataFrame:
     return df.dropna(how="any").dropDuplicates().withColumn("org_pac_id", floor_to_bigint("org_pac_id"))
 
 
+def affiliated(affiliations: DataFrame) -> DataFrame:
+    """npi of every complete affiliation row (the providers that have a first
+    facility), repeats included: for semi joins."""
+    df = affiliations.select(F.col("NPI").cast("bigint").alias("npi"), "facility_name", "org_pac_id")
+    return df.dropna(how="any").select("npi")
+
+
 def affiliations_ranked(clean: DataFrame, k: int = TOP_K) -> DataFrame:
     """The first k facilities of each provider by (name, id).
 

@@ -266,6 +266,12 @@ def pivot_wide(rows: DataFrame, measures: Sequence[Measure], total: str | None =
     return sparse.select("npi", *([F.col("total").alias(total)] if total else []), *cells)
 
 
+def fact_sums(rows: DataFrame) -> DataFrame:
+    """Facts summed by (npi, drug, measure), in the shape of facts."""
+    return as_facts(rows).groupBy("npi", "drug", "measure").agg(
+        *[F.sum(c).alias(c) for c in ("amount", "patients", "claims")])
+
+
 INDEX_SCHEMA = "drug string, m string, i int"
 
 
@@ -279,7 +285,7 @@ def sparse_wide(rows: DataFrame, index: DataFrame) -> DataFrame:
     measure's place in ``index`` (drug, m, i) to its sum. It has no width limit:
     a measure takes room only where a provider has it. The index is joined as
     Spark sees fit (it is as long as the measure list)."""
-    sums = as_facts(rows).groupBy("npi", "drug", "measure").agg(*[F.sum(c).alias(c) for c in ("amount", "patients", "claims")])
+    sums = fact_sums(rows)
     cells = F.when(F.col("measure").isNotNull(), F.array(F.struct(F.col("measure").alias("m"), F.col("amount").alias("v")))
                    ).otherwise(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m.lower()).alias("v"))
                                          for m in CLAIM_MEASURES]))
@@ -318,15 +324,22 @@ def totals_by_measure(rows: DataFrame) -> DataFrame:
     return sums.select("drug", F.inline(cells)).select("drug", F.col("m").alias("measure"), F.col("v").alias("amount"))
 
 
-def engagement_outer(payments_wide: DataFrame, claims_wide: DataFrame) -> DataFrame:
-    """Full outer join on npi, measures filled with 0 (the reference's form).
+def engagement_outer(part_b: DataFrame | None, part_d: DataFrame | None, payments: DataFrame | None,
+                     sel: Selections) -> DataFrame:
+    """Every provider with payments or claims, zeros where one of them is
+    missing: the full outer join of the two wide tables, as one pivot of the
+    stacked facts (one shuffle on npi; a key is there once, from either side)."""
+    sel.prefetch()
+    claims = part_b is not None or part_d is not None
+    rows = facts(part_b, part_d, payments, sel)
+    return pivot_wide(rows, all_measures(sel, payments=payments is not None, claims=claims))
 
-    The main path does not need it: the union of long facts pivoted once
-    gives the same table with one shuffle instead of three.
-    """
+
+def merge_wide(payments_wide: DataFrame, claims_wide: DataFrame) -> DataFrame:
+    """Full outer join on npi of two wide tables that exist already, measures
+    filled with 0."""
     measure_cols = [c for c in payments_wide.columns + claims_wide.columns if c != "npi"]
-    j = payments_wide.join(claims_wide, "npi", "full")
-    return j.fillna(0, subset=measure_cols)
+    return payments_wide.join(claims_wide, "npi", "full").fillna(0, subset=measure_cols)
 
 
 def wide_to_long(wide: DataFrame, measures: Sequence[Measure], spark: SparkSession,

@@ -64,12 +64,16 @@ def facts_for(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) ->
 
 
 def viewed_facts(src, sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """The facts of the providers that the profile shows: facts semi-joined
-    with the base providers whose activity total is above zero."""
-    sel.lookups.setdefault("taxonomy_table", src.taxonomy)
-    rows = facts_for(src, sel, opts)
-    shown = provider_base(src, sel, opts).select("npi").join(E.activity_totals(rows).select("npi"), "npi", "left_semi")
-    return rows.join(shown, "npi", "left_semi")
+    """The facts of the providers that the profile shows, summed by (npi, drug,
+    measure). The facts are read and summed once; a provider's activity total
+    comes from its sums. Of the provider block only the existence of a provider
+    matters: registry rows after the code filter, and any complete affiliation."""
+    sums = E.fact_sums(facts_for(src, sel, opts))
+    active = E.activity_totals(sums).select("npi")
+    shown = R.taxonomy_code_filter(R.registry_select(src.providers), sel).select("npi")
+    if opts.with_affiliations and opts.affiliation_join == "inner":
+        shown = shown.join(A.affiliated(src.affiliations), "npi", "left_semi")
+    return sums.join(active.join(shown, "npi", "left_semi"), "npi", "left_semi")
 
 
 def engagement_wide(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),

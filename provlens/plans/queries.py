@@ -147,9 +147,7 @@ def q_payments_wide(spark, sf_dir):
 @query("engagement_outer")
 def q_engagement_outer(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
-    pay = E.pivot_wide(E.payment_facts(P.payments_mapped(i.payments, sel)), E.payment_measures(sel))
-    clm = E.pivot_wide(E.claim_facts(C.normalised_claims(i.part_b, i.part_d, sel)), E.claim_measures(sel))
-    return E.engagement_outer(pay, clm)
+    return E.engagement_outer(i.part_b, i.part_d, i.payments, sel)
 
 
 # ---- registry --------------------------------------------------------------
@@ -233,6 +231,7 @@ def q_profile_part_d_only(spark, sf_dir):
 @query("activity_filter")
 def q_activity_filter(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
+    sel.prefetch()
     return E.activity_totals(PR.facts_for(i, sel), PR.measures_for(sel))
 
 
@@ -382,12 +381,14 @@ def q_postal_format(spark, sf_dir):
 @query("drug_category_totals")
 def q_drug_category_totals(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
+    sel.prefetch()
     return V.drug_category_totals(PR.viewed_facts(i, sel), PR.measures_for(sel), spark)
 
 
 @query("drug_measure_totals")
 def q_drug_measure_totals(spark, sf_dir):
     i, sel = _ctx(spark, sf_dir)
+    sel.prefetch()
     return V.drug_measure_totals(PR.viewed_facts(i, sel), PR.measures_for(sel), spark)
 
 
