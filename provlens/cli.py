@@ -35,11 +35,14 @@ from provlens.operators import catalog as CT
 from provlens.operators import engagement as E
 from provlens.operators import viewer as V
 from provlens.operators.runs import append_run_event
-from provlens.plans.profile import ProfileOptions, engagement_for, measures_for, profile
+from provlens.plans.bounded import MAX_PIVOT_VALUES, row_count_at_most
+from provlens.plans.profile import (ProfileOptions, engagement_for, measure_places, measures_for, profile,
+                                    sparse_profile)
 from provlens.session import remove_scratch
 from provlens.sources.files import write_csv
+from provlens.sources.onefile import write_catalog_document
 from provlens.sources.public_files import PublicFiles
-from provlens.sources.results import SavedResult, save_result
+from provlens.sources.results import SavedResult, save_groups, save_result
 from provlens.sources.selections import OPTIONAL, Selections
 
 
@@ -55,6 +58,12 @@ def run(spark: SparkSession, files: dict, selections_dir: str, out: str, fmt: st
                           affiliation_join=affiliation_join)
     src = PublicFiles(spark, files)
     shapes: dict = {}
+    places = measure_places(sel, opts)
+    if not row_count_at_most(places, MAX_PIVOT_VALUES):  # too wide for one table: files of some columns each
+        save_groups(out, sparse_profile(src, sel, places, opts), places)
+        if ledger:
+            append_run_event(spark, ledger, run_id, user, "finished", dt.datetime.now(), out)
+        return run_id
     result = profile(src, sel, opts, shapes=shapes)
     save_result(out, result, engagement_for(PublicFiles(spark, files), sel, opts),
                 E.measures_frame(spark, measures_for(sel, opts)), fmt, single_file)
@@ -80,12 +89,15 @@ def view(spark: SparkSession, result: str, out: str, drugs: list[str], dollars:
 
 
 def catalogues(spark: SparkSession, files: dict, out: str) -> None:
-    """Refresh the four catalogues from the public files (JSON lines)."""
+    """Refresh the four catalogues from the public files: JSON lines, and the
+    documents that the selection page reads."""
     src = PublicFiles(spark, files)
-    for name, df in (("procedures", CT.catalog_procedures(src.part_b)), ("drugs", CT.catalog_drugs(src.part_d)),
-                     ("taxonomy", CT.catalog_taxonomy(src.taxonomy)),
-                     ("categories", CT.catalog_categories(src.payments, spark))):
+    for name, field, df in (("procedures", "drugs", CT.catalog_procedures(src.part_b)),
+                            ("drugs", "drugs", CT.catalog_drugs(src.part_d)),
+                            ("taxonomy", "codes", CT.catalog_taxonomy(src.taxonomy)),
+                            ("categories", "categories", CT.catalog_categories(src.payments, spark))):
         df.write.mode("overwrite").json(f"{out}/{name}")
+        write_catalog_document(spark.read.schema(df.schema).json(f"{out}/{name}"), f"{out}/{name}.json", field)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -30,6 +30,7 @@ from provlens.operators import affiliations as A
 from provlens.operators import engagement as E
 from provlens.operators import registry as R
 from provlens.operators.quality import observe_rows
+from provlens.plans.position import with_position
 from provlens.sources.selections import Selections
 
 TOTAL = "total"
@@ -86,6 +87,27 @@ def engagement_wide(src, sel: Selections, opts: ProfileOptions = ProfileOptions(
     return wide if keep_total else wide.drop(TOTAL)
 
 
+def measure_places(sel: Selections, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """(name, drug, measure, i): the measure list as a table of any length, with
+    the place of each measure in it."""
+    claims = (opts.part_b and sel.part_b is not None) or (opts.part_d and sel.part_d is not None)
+    placed = with_position(E.measure_table(sel, opts.payments, claims), [F.col("drug"), F.col("measure")], "i")
+    return placed.withColumn("i", (F.col("i") - 1).cast("int"))
+
+
+def sparse_profile(src, sel: Selections, places: DataFrame, opts: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """The profile with sparse measures: provider block, affiliation block,
+    ``total`` and ``cells`` (a measure's place -> its sum). For any number of
+    measures; ``sources/results.py`` exports it as files of some columns each."""
+    index = places.select("drug", F.col("measure").alias("m"), "i")
+    sparse = E.sparse_wide(facts_for(src, sel, opts), index)
+    if opts.activity_filter:
+        sparse = sparse.where(F.col(TOTAL) > 0)
+    base = provider_base(src, sel, opts)
+    cols = R.provider_block(base) + (list(A.affiliation_block(opts.top_k)) if opts.with_affiliations else [])
+    return base.join(sparse, "npi").select(*cols, TOTAL, "cells")
+
+
 def provider_base(src, sel: Selections, opts: ProfileOptions = ProfileOptions(),
                   aff: DataFrame | None = None) -> DataFrame:
     reg = R.registry_filtered(src.providers, src.taxonomy, sel)

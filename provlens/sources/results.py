@@ -20,7 +20,9 @@ from provlens.operators.catalog import DEFAULT_CATEGORY_NAMES
 from provlens.operators.engagement import (CLAIM_MEASURES, LONG_SCHEMA, MEASURES_SCHEMA, Measure, measures_from,
                                            resolve_names, wide_to_long)
 from provlens.operators.registry import ADDRESS_COLS, NAME_COLS, TAXONOMY_TEXT_COLS
-from provlens.sources.files import write_csv
+from provlens.plans.bounded import collect_names
+from provlens.session import scratch_dir
+from provlens.sources.files import materialise, write_csv
 from provlens.sources.ranges import read_quoted_csv
 from provlens.sources.selections import DEFAULT_CATEGORY
 
@@ -72,6 +74,68 @@ class SavedResult:
         return self.engagement.join(self.profile.select("npi"), "npi", "left_semi")
 
 
+# Columns of one file of a wide export in groups.
+GROUP_COLUMNS = 1000
+PLACES_SCHEMA = MEASURES_SCHEMA + ", i int"
+
+
+def save_groups(path: str, sparse: DataFrame, places: DataFrame, columns: int = GROUP_COLUMNS) -> int:
+    """Export a sparse profile (``cells`` by place, ``places`` from
+    ``measure_places``) for any number of measures: the provider columns as
+    ``profile.csv``, the measures as CSV folders ``columns/group=<n>`` of npi and
+    at most ``columns`` zero-filled columns, a row per provider in each, and the
+    measure list. Cells are split by group once, so every group reads its own.
+    Returns the number of groups."""
+    spark = sparse.sparkSession
+    rows = materialise(sparse, "sparse")
+    write_csv(rows.drop("cells"), f"{path}/profile.csv")
+    places.select("name", "drug", "measure", "i").write.mode("overwrite").parquet(f"{path}/places")
+    places = spark.read.schema(PLACES_SCHEMA).parquet(f"{path}/places")
+    flat = rows.select("npi", F.explode("cells").alias("i", "v")).withColumn("g", F.expr(f"i div {columns}"))
+    cells = scratch_dir(spark, "cells")
+    (flat.groupBy("npi", "g").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("cells"))
+     .write.partitionBy("g").parquet(cells))
+    cells = spark.read.schema("npi bigint, cells map<int, bigint>, g bigint").parquet(cells)
+    groups = -(-places.count() // columns)
+    for g in range(groups):  # a bounded list of names each
+        names = places.where(F.expr(f"i div {columns} = {g}")).orderBy("i").collect()
+        own = rows.select("npi").join(cells.where(F.col("g") == g).drop("g"), "npi", "left")
+        write_csv(own.select("npi", *[F.expr(f"coalesce(try_element_at(cells, {r['i']}), 0L) AS {sql_ident(r['name'])}")
+                                      for r in names]), f"{path}/columns/group={g}")
+    return groups
+
+
+@dataclass
+class SavedGroups:
+    """An export in column groups, opened again."""
+
+    spark: SparkSession
+    path: str
+    columns: int = GROUP_COLUMNS
+
+    @property
+    def places(self) -> DataFrame:
+        return self.spark.read.schema(PLACES_SCHEMA).parquet(f"{self.path}/places")
+
+    @property
+    def profile(self) -> DataFrame:
+        raw = text_of(self.spark, f"{self.path}/profile.csv")
+        return raw.select(*[F.col(sql_ident(c)).cast("bigint").alias(c) if c == "total" or _is_number(c, [])
+                            else F.col(sql_ident(c)) for c in raw.columns])
+
+    def of_drugs(self, drugs: Sequence[str]) -> DataFrame:
+        """npi and the measure columns of some drugs; only the groups that hold
+        one of them are read."""
+        chosen = collect_names(self.places.where(F.col("drug").isin(list(drugs))))
+        out = self.profile.select("npi")
+        for g in sorted({r["i"] // self.columns for r in chosen}):
+            own = [r for r in chosen if r["i"] // self.columns == g]
+            rows = text_of(self.spark, f"{self.path}/columns/group={g}")
+            out = out.join(rows.select(F.col("npi").cast("bigint").alias("npi"), *[
+                F.col(sql_ident(r["name"])).cast("bigint").alias(r["name"]) for r in sorted(own, key=lambda r: r["i"])]), "npi")
+        return out
+
+
 def text_of(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table, every column as text; fields may hold line breaks."""
     return read_quoted_csv(spark, path)

@@ -68,19 +68,25 @@ def norm_taxonomy(raw: DataFrame) -> DataFrame:
     return raw.select(blank_to_null("Code").alias("code")).where(F.col("code").isNotNull())
 
 
+def with_ordinal(scan: DataFrame) -> DataFrame:
+    """A file scan with the place of each row (file, then row) in ``ordinal``."""
+    return scan.withColumn("ordinal", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                               F.monotonically_increasing_id().alias("row")))
+
+
 def norm_category_map(raw: DataFrame) -> DataFrame:
     """One row per original nature; a blank or missing rename becomes null
     (unmapped). Renames are upper case, like drugs, so that two spellings of
     one name are one category.
 
-    Decision: with duplicate originals the smallest non-null rename wins. The
-    sheet the user fills in is offered with one row per nature; a table has no
-    first row, so "the first one wins" would depend on how it is read.
+    With duplicate originals the first row with a rename wins, in the order of
+    ``ordinal`` (the row's place in its file, or in the list it came from). A
+    table without that column has no first row; there the smallest rename wins.
     """
-    df = raw.select(F.col("Original").alias("original"),
-                    upper_key("Renamed").alias("renamed"))
-    return (df.where(F.col("original").isNotNull())
-            .groupBy("original").agg(F.min("renamed").alias("renamed")))
+    first = "min_by(renamed, ordinal) FILTER (WHERE renamed IS NOT NULL)" if "ordinal" in raw.columns else "min(renamed)"
+    df = raw.select(F.col("Original").alias("original"), upper_key("Renamed").alias("renamed"),
+                    *[c for c in raw.columns if c == "ordinal"])
+    return df.where(F.col("original").isNotNull()).groupBy("original").agg(F.expr(f"{first} AS renamed"))
 
 
 @dataclass
@@ -126,7 +132,7 @@ class Selections:
             mk(part_d, "part_d") if part_d is not None else None,
             mk([(d,) for d in drugs], "drugs"),
             mk([(c,) for c in taxonomy], "taxonomy"),
-            mk(category_map, "category_map"),
+            spark.createDataFrame([(*r, i) for i, r in enumerate(category_map)], SCHEMAS["category_map"] + ", ordinal bigint"),
             dedupe_interest,
         )
 
@@ -135,7 +141,8 @@ class Selections:
         """Read selection tables saved by ``save`` (one Parquet folder each)."""
         def rd(key):
             try:
-                return spark.read.schema(SCHEMAS[key]).parquet(f"{path}/{key}")
+                scan = spark.read.schema(SCHEMAS[key]).parquet(f"{path}/{key}")
+                return with_ordinal(scan) if key == "category_map" else scan
             except AnalysisException as exc:  # a missing optional table means "not selected"
                 if key in OPTIONAL and "PATH_NOT_FOUND" in str(exc):
                     return None
@@ -275,8 +282,10 @@ def _read_selection(spark: SparkSession, key: str, path: str, fmt: str) -> DataF
         # selection sheets are small: line breaks in fields are allowed, one task per file
         raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
         names = [c.split()[0] for c in SCHEMAS[key].split(", ")]
-        return raw.select(*[F.col(c).cast("string") for c in names])
-    return spark.read.schema(SCHEMAS[key]).json(path)
+        raw = with_ordinal(raw) if key == "category_map" else raw
+        return raw.select(*[F.col(c).cast("string") for c in names], *[c for c in raw.columns if c == "ordinal"])
+    scan = spark.read.schema(SCHEMAS[key]).json(path)
+    return with_ordinal(scan) if key == "category_map" else scan
 
 
 def stack_selections(sel: Selections) -> DataFrame:

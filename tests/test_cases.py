@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from provlens.operators import payments as P
 from provlens.operators import registry as R
 from provlens.operators import viewer as V
 from provlens.plans import profile as PR
+from provlens.sources.results import SavedGroups, save_groups
 from provlens.sources.selections import Selections
 
 PAY = ("Covered_Recipient_NPI", "amount", "date", "nature", "drug")
@@ -46,6 +49,41 @@ def test_blank_first_mapping_row_and_duplicates(spark, make_src):
     assert out == [(1, "X", "EDUCATION", 3), (1, "X", "OTHERS_GENERAL", 5)]
 
 
+def test_first_rename_of_a_nature_wins(spark, make_src, tmp_path):
+    src = make_src(payments=[pay(1, 5.0, "Gift", "X"), pay(1, 3.0, "Education", "X")])
+    pairs = [("Gift", "zebra"), ("Education", "null"), ("Gift", "ant"), ("Education", "school"), ("Education", "alpha")]
+    want = [(1, "X", "SCHOOL", 3), (1, "X", "ZEBRA", 5)]
+    lists = Selections.from_rows(spark, drugs=["x"], category_map=pairs)
+    (tmp_path / "drugs.csv").write_text("Drug_Name\nx\n")
+    (tmp_path / "taxonomy.csv").write_text("Code\n")
+    (tmp_path / "category_map.csv").write_text("Original,Renamed\n" + "".join(f"{a},{b}\n" for a, b in pairs))
+    sheets = Selections.from_folder(spark, tmp_path.as_uri())
+    (tmp_path / "many").mkdir()  # one row a file, in the order of the names
+    for i, (a, b) in enumerate(pairs):
+        (tmp_path / "many" / f"part-{i}.csv").write_text(f"Original,Renamed\n{a},{b}\n")
+    parts = Selections.from_files(spark, {"drugs": str(tmp_path / "drugs.csv"), "category_map": str(tmp_path / "many")})
+    for sel in (lists, sheets, parts):
+        assert rows(P.payments_mapped(src.payments, sel), "npi", "drug", "category", "amount") == want
+
+
+def test_more_measures_than_a_table_has_columns(spark, make_src, tmp_path):
+    drugs = [f"D{i}" for i in range(1800)]
+    renames = [(f"N{i}", f"C{i}") for i in range(9)]
+    src = make_src(payments=[pay(1, 5.0, "N0", "D0"), pay(1, 7.0, "N8", "D1799"), pay(2, 3.0, "other", "D900"), pay(3, -1.0, "N1", "D1")],
+                   providers=[(i, "a", "b", "c", "1", None, None, None) for i in (1, 2, 3, 4)])
+    sel = Selections.from_rows(spark, drugs=drugs, category_map=renames)
+    opts = PR.ProfileOptions(part_b=False, part_d=False, with_affiliations=False)
+    places = PR.measure_places(sel, opts)
+    out = str(tmp_path / "wide")
+    assert save_groups(out, PR.sparse_profile(src, sel, places, opts), places, 4000) == 5
+    opened = SavedGroups(spark, out, 4000)
+    assert opened.places.count() == 18_000
+    assert rows(opened.profile, "npi", "total") == [(1, 12), (2, 3)]
+    got = opened.of_drugs(["D0", "D1799", "D900"])
+    assert len(got.columns) == 31
+    assert rows(got, "npi", "D0_C0", "D1799_C8", "D900_OTHERS_GENERAL", "D900_C1") == [(1, 5, 7, 0, 0), (2, 0, 0, 3, 0)]
+
+
 def test_category_absent_from_data_is_a_zero_column(spark, make_src):
     src = make_src(payments=[pay(7, 10.0, "Education", "X")])
     sel = Selections.from_rows(spark, drugs=["X"], category_map=[("Education", "EDUCATION"),
@@ -470,6 +508,8 @@ def test_catalogue_run(spark, tmp_path):
     catalogues(spark, _write_public_files(tmp_path), str(tmp_path / "cat"))
     got = {n: [r.asDict() for r in spark.read.json(str(tmp_path / "cat" / n)).collect()]
            for n in ("procedures", "drugs", "categories")}
+    with open(tmp_path / "cat" / "drugs.json") as f:
+        assert json.load(f) == {"drugs": got["drugs"]}
     assert got["procedures"] == [{"HCPCS_Cd": "P1", "HCPCS_Desc": "desc"}]
     assert got["drugs"] == [{"Brnd_Name": "Humira", "Gnrc_Name": "ada"}]
     assert sorted((r["Original"], r["Renamed"]) for r in got["categories"]) == [("Education", "EDUCATION"), ("Gift", "")]
