@@ -45,6 +45,7 @@ from provlens.plans.position import with_position
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PIECE_CHARS = 1 << 20
+SLICE = 1024  # documents that become Python objects at once
 VISIT = 16  # pieces whose strata a task orders together
 ITEMS = 256
 TOP_K = 20
@@ -107,7 +108,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents sorted by m, PIECE_CHARS of text at a time, a row per stratum."""
-    frames = (b.select(["id", "t", "m"]).to_pandas(integer_object_nulls=True) for b in batches)
+    frames = (b.slice(i, SLICE).to_pandas(integer_object_nulls=True) for b in batches for i in range(0, b.num_rows, SLICE))
     for pdf in chunks(frames, "t", PIECE_CHARS):
         cut = [terms_of(t) for t in pdf["t"]]
         code, names = pd.factorize(np.array([t for x in cut for t in x], dtype=object))
