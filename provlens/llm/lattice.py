@@ -23,9 +23,14 @@ from the numbers of words seen once and twice.
 On Spark: words are counted per batch and summed by word (one row per distinct
 word), and everything after that - EM and scores - works on distinct words. Per
 round only the expected counts come to the driver, one number per vocabulary
-piece. To score documents, words with at least 1/``FREQUENT`` of all training
-tokens (so at most ``FREQUENT`` of them, whatever the corpus) go to the tasks;
-each document's other words are joined with the table of words.
+piece. To score documents, words of at most ``COMMON_BYTES`` bytes with at least
+1/``FREQUENT`` of all training tokens (so at most ``FREQUENT`` of them, whatever
+the corpus) go to the tasks; each document's other words are joined with the
+table of words. A word above ``LONG_WORD`` characters is scanned in windows: its
+lattice is never held whole, only two numbers per character are.
+
+``word_report`` says how both models do on words seen and not seen in training,
+and how much of the probability comes from the whole-word arcs.
 
 The base score is an add-one unigram model over words: per token
 ``log10((c + 1) / (N + V + 1))``.
@@ -39,7 +44,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,7 +61,11 @@ FREQUENT = 100_000
 BATCH_BYTES = 4 << 20
 WORD_BATCH = 1 << 20  # characters of words taken together
 WORDS_HELD = 400_000  # distinct words a task holds before it passes their counts on
+TEXT_HELD = 128 << 20  # bytes of text whose words a task holds before it passes their counts on
 LATTICE_CELLS = 1 << 16  # characters of words in one set of lattices
+LONG_WORD = 4096  # characters; longer words are scanned
+SCAN = 1 << 15  # characters of a long word looked up at a time
+COMMON_BYTES = 200  # bytes of a word that travels with the tasks
 MARK = "▁"
 END = " </s>"  # holds a blank, so it is no word
 
@@ -100,21 +109,26 @@ class Pieces:
             order = np.argsort(h)
             self.table.append((h[order], which[order].astype(np.int64)))
 
-    def lattices(self, words: Sequence[str], log_p: np.ndarray) -> Iterator[tuple[np.ndarray, dict]]:
-        """Lattices of words of one length side by side: (places in ``words``,
-        lattice). ``weight[n][k, i]`` is the arc of word k from character i over
-        n characters (minus infinity where there is no such piece), ``piece[n]``
-        its piece, ``bytes`` the arcs that spell one character by its bytes."""
+    def lattices(self, words: Sequence[str], log_p: np.ndarray,
+                 whole: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, dict]]:
+        """Lattices of words of one length side by side, long words left out:
+        (places in ``words``, lattice). ``weight[n][k, i]`` is the arc of word k
+        from character i over n characters (minus infinity where there is no
+        such piece), ``piece[n]`` its piece, ``bytes`` the arcs that spell one
+        character by its bytes, ``whole`` the arc over all of the word."""
         size = np.array([len(w) + 1 for w in words], np.int64)  # with the mark
         order = np.argsort(size, kind="stable")
+        order = order[:np.searchsorted(size[order], LONG_WORD, "right")]
         cuts = np.flatnonzero(np.diff(size[order])) + 1
-        for which in np.split(order, cuts):
+        for which in np.split(order, cuts) if len(order) else []:
             m = int(size[which[0]])
             step = max(1, LATTICE_CELLS // m)
             for low in range(0, len(which), step):
                 part = which[low:low + step]
-                points = np.frombuffer("".join(MARK + words[k] for k in part).encode("utf-32-le"), "<u4")
-                yield part, self.lattice(points.reshape(len(part), m), log_p)
+                points = code_points("".join(MARK + words[k] for k in part))
+                s = self.lattice(points.reshape(len(part), m), log_p)
+                s["whole"] = np.full(len(part), -np.inf) if whole is None else whole[part]
+                yield part, s
 
     def lattice(self, points: np.ndarray, log_p: np.ndarray) -> dict:
         rows, m = points.shape
@@ -134,19 +148,23 @@ class Pieces:
         cost = np.array([sum(log_p[len(self.names) + b] for b in chr(c).encode("utf-8")) for c in distinct.tolist()])
         return {"weight": weight, "piece": piece, "bytes": cost[back].reshape(rows, m), "points": points}
 
-    def forward(self, s: dict) -> np.ndarray:
+    def forward(self, s: dict, through: float = 0.0) -> np.ndarray:
         """Log-space forward recursion: ``alpha[k, j]`` is the log of the sum
-        over all paths of word k to its boundary j."""
+        over all paths of word k to its boundary j. Paths through pieces weigh
+        ``through``; the whole word's arc leads past them to the end."""
         rows, m = s["points"].shape
         alpha = np.full((rows, m + 1), -np.inf)
-        alpha[:, 0] = 0.0
+        alpha[:, 0] = through
         for j in range(1, m + 1):
             ways = [alpha[:, j - 1] + s["bytes"][:, j - 1]]
             ways += [alpha[:, j - n] + w[:, j - n] for n, w in s["weight"].items() if n <= j]
+            if j == m:
+                ways.append(s["whole"])
             alpha[:, j] = log_sum(ways)
         return alpha
 
     def backward(self, s: dict) -> np.ndarray:
+        """The same from a boundary of the word to its end, pieces only."""
         rows, m = s["points"].shape
         beta = np.full((rows, m + 1), -np.inf)
         beta[:, m] = 0.0
@@ -156,11 +174,58 @@ class Pieces:
             beta[:, i] = log_sum(ways)
         return beta
 
-    def scores(self, words: Sequence[str], log_p: np.ndarray) -> np.ndarray:
-        """Natural log probability of each word, all segmentations summed."""
+    def arcs(self, points: np.ndarray, log_p: np.ndarray, low: int) -> tuple[np.ndarray, ...]:
+        """The arcs of a long word that start at characters ``low`` to ``low +
+        SCAN``: (start, length, weight, piece) by start; piece -1 is a character
+        spelled by its bytes."""
+        here = min(SCAN, len(points) - low)
+        s = self.lattice(points[None, low:low + here + self.longest - 1], log_p)
+        start, size = [np.arange(here)], [np.ones(here, np.int64)]
+        weight, piece = [s["bytes"][0, :here]], [np.full(here, -1)]
+        for n, found in s["piece"].items():
+            at = np.flatnonzero(found[0, :here] >= 0)
+            start.append(at)
+            size.append(np.full(len(at), n))
+            weight.append(s["weight"][n][0, at])
+            piece.append(found[0, at])
+        order = np.argsort(np.concatenate(start), kind="stable")
+        start, size, weight, piece = (np.concatenate(x)[order] for x in (start, size, weight, piece))
+        return start, size, weight, piece
+
+    def scan_forward(self, points: np.ndarray, log_p: np.ndarray, through: float = 0.0) -> np.ndarray:
+        """``forward`` of one long word, a window of arcs at a time."""
+        alpha = np.full(len(points) + 1, -np.inf)
+        alpha[0] = through
+        for low in range(0, len(points), SCAN):
+            start, size, weight, _ = self.arcs(points, log_p, low)
+            a = alpha[low:low + SCAN + self.longest].tolist()
+            for i, j, w in zip(start.tolist(), (start + size).tolist(), weight.tolist()):
+                a[j] = log_add(a[j], a[i] + w)
+            alpha[low:low + len(a)] = a
+        return alpha
+
+    def scan_backward(self, points: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        beta = np.full(len(points) + 1, -np.inf)
+        beta[-1] = 0.0
+        for low in reversed(range(0, len(points), SCAN)):
+            start, size, weight, _ = (x[::-1] for x in self.arcs(points, log_p, low))
+            b = beta[low:low + SCAN + self.longest].tolist()
+            for i, j, w in zip(start.tolist(), (start + size).tolist(), weight.tolist()):
+                b[i] = log_add(b[i], w + b[j])
+            beta[low:low + len(b)] = b
+        return beta
+
+    def scores(self, words: Sequence[str], log_p: np.ndarray, through: float = 0.0,
+               whole: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each word, all paths summed: those through
+        pieces, which weigh ``through``, and word k's own arc ``whole[k]``."""
         out = np.zeros(len(words))
-        for part, s in self.lattices(words, log_p):
-            out[part] = self.forward(s)[:, -1]
+        for part, s in self.lattices(words, log_p, whole):
+            out[part] = self.forward(s, through)[:, -1]
+        for k, points in long_words(words):
+            out[k] = self.scan_forward(points, log_p, through)[-1]
+            if whole is not None:
+                out[k] = log_add(out[k], whole[k])
         return out
 
     def expected(self, words: Sequence[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
@@ -173,14 +238,41 @@ class Pieces:
                 k, i = np.nonzero(piece >= 0)
                 use = np.exp(alpha[k, i] + s["weight"][n][k, i] + beta[k, i + n] + scale[k])
                 out[:len(self.names)] += np.bincount(piece[k, i], use, minlength=len(self.names))
-            # a character spelled by bytes uses each of its bytes
-            use = np.exp(alpha[:, :-1] + s["bytes"] + beta[:, 1:] + scale[:, None])
-            points, back = np.unique(s["points"], return_inverse=True)
-            for c, n in zip(points.tolist(), np.bincount(back.ravel(), use.ravel()).tolist()):
-                for b in chr(c).encode("utf-8"):
-                    out[len(self.names) + b] += n
+            self.add_bytes(out, s["points"].ravel(),
+                           np.exp(alpha[:, :-1] + s["bytes"] + beta[:, 1:] + scale[:, None]).ravel())
+        for k, points in long_words(words):
+            alpha, beta = self.scan_forward(points, log_p), self.scan_backward(points, log_p)
+            for low in range(0, len(points), SCAN):
+                start, size, weight, piece = self.arcs(points, log_p, low)
+                start += low
+                use = counts[k] * np.exp(alpha[start] + weight + beta[start + size] - alpha[-1])
+                named = piece >= 0
+                out[:len(self.names)] += np.bincount(piece[named], use[named], minlength=len(self.names))
+                self.add_bytes(out, points[start[~named]], use[~named])
         return out
 
+    def add_bytes(self, out: np.ndarray, points: np.ndarray, use: np.ndarray) -> None:
+        """A character spelled by bytes uses each of its bytes."""
+        distinct, back = np.unique(points, return_inverse=True)
+        for c, n in zip(distinct.tolist(), np.bincount(back.ravel(), use).tolist()):
+            for b in chr(c).encode("utf-8"):
+                out[len(self.names) + b] += n
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def long_words(words: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
+    for k, w in enumerate(words):
+        if len(w) + 1 > LONG_WORD:
+            yield k, code_points(MARK + w)
+
+
+def log_add(x: float, y: float) -> float:
+    """Log of the sum of two exponentials; one is finite."""
+    return x + math.log1p(math.exp(y - x)) if x >= y else y + math.log1p(math.exp(x - y))
+
 
 def log_sum(ways: list[np.ndarray]) -> np.ndarray:
     """Log of the sum of exponentials, element by element; one is finite."""
@@ -232,42 +324,44 @@ def _batches(batches: Iterable[pd.DataFrame], limit: int = BATCH_BYTES) -> Itera
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): every token of all documents, the end included, and how often
-    it occurs in training documents."""
+    """(word, c, h): every token of all documents, the end included, and how
+    often it occurs in training and in held-out documents."""
     end = END.encode()
 
-    def rows(seen: Counter, other: set) -> pd.DataFrame:
-        new = other.difference(seen)
-        return pd.DataFrame({"word": [w.decode() for w in (*seen, *new)],
-                             "c": np.array([*seen.values(), *([0] * len(new))], np.int64)})
+    def rows(seen: Counter, other: Counter) -> pd.DataFrame:
+        words = [*seen, *(w for w in other if w not in seen)]
+        return pd.DataFrame({"word": [w.decode() for w in words],
+                             "c": np.array([seen.get(w, 0) for w in words], np.int64),
+                             "h": np.array([other.get(w, 0) for w in words], np.int64)})
 
     def each(batches):
-        seen, other = Counter({end: 0}), set()
+        seen, other, read = Counter({end: 0}), Counter(), 0
         for pdf in batches:
             for t, out in zip(pdf["t"], pdf["held_out"]):
-                if out:
-                    other.update(words_of(bytes(t)))
-                else:
-                    seen.update(words_of(bytes(t)))
-                    seen[end] += 1
-                if len(seen) + len(other) > WORDS_HELD:
+                into = other if out else seen
+                into.update(words_of(bytes(t)))
+                into[end] += 1
+                read += len(t)
+                if len(seen) + len(other) > WORDS_HELD or read > TEXT_HELD:
                     yield rows(seen, other)
-                    seen, other = Counter({end: 0}), set()
+                    seen, other, read = Counter({end: 0}), Counter(), 0
         yield rows(seen, other)
 
-    return (_texts(docs).select("held_out", "t").mapInPandas(each, "word string, c bigint")
-            .groupBy("word").agg(F.sum("c").alias("c")))
+    return (_texts(docs).select("held_out", "t").mapInPandas(each, "word string, c bigint, h bigint")
+            .groupBy("word").agg(F.sum("c").alias("c"), F.sum("h").alias("h")))
 
 
-def _words(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Words of similar length together, ``WORD_BATCH`` characters at a time."""
+def _words(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndarray, pd.DataFrame]]:
+    """(words, counts, rows): words of similar length together, ``WORD_BATCH``
+    characters at a time."""
     for pdf in batches:
         pdf = pdf.iloc[np.argsort(pdf["word"].str.len().to_numpy(), kind="stable")]
         size = np.cumsum(pdf["word"].str.len().to_numpy() + 1)
         cut = np.flatnonzero(np.diff(size // WORD_BATCH)) + 1
         for part in np.split(np.arange(len(pdf)), cut):
             if len(part):
-                yield pdf["word"].iloc[part].tolist(), pdf["c"].to_numpy()[part]
+                some = pdf.iloc[part]
+                yield some["word"].tolist(), some["c"].to_numpy(), some
 
 
 def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
@@ -278,7 +372,7 @@ def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS, prior: float
     for _ in range(rounds):
         def each(batches, log_p=log_p):
             total = np.zeros(pieces.size)
-            for some, c in _words(batches):
+            for some, c, _ in _words(batches):
                 total += pieces.expected(some, np.ones(len(c)), log_p)
             used = np.flatnonzero(total)
             yield pd.DataFrame({"piece": used.astype(np.int64), "n": total[used]})
@@ -292,27 +386,47 @@ def fitted(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS, prior: float
     return log_p
 
 
-def weighed(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
-    """(word, c, base, score) - log10 of both models - and the number of
-    training tokens."""
+def model(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """From the table (word, c, h) of all words: what adds to such rows the log10
+    scores ``base`` and ``score`` of both models and ``arc``, the share of the
+    probability that the whole word's arc gives; and the training tokens."""
     size = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"),
                      F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = size["n"] or 0, size["v"] or 0
     discount = size["once"] / (size["once"] + 2 * size["twice"]) if size["once"] else 0.5
-    through_pieces = discount * v / n if n else 1.0
+    through = math.log(discount * v / n) if n else 0.0
     log_p = fitted(words, pieces, rounds)
 
     def each(batches):
-        for some, c in _words(batches):
-            ends = np.array([w == END for w in some])
-            spelled = np.where(ends, log_p[pieces.end], pieces.scores(some, log_p))
-            whole = np.log(np.maximum(c - discount, 1e-300) / max(n, 1))
-            score = np.where(c > 0, np.logaddexp(whole, np.log(through_pieces) + spelled),
-                             np.log(through_pieces) + spelled)
-            yield pd.DataFrame({"word": some, "c": c, "base": np.log10((c + 1) / (n + v + 1)),
-                                "score": score / math.log(10)})
+        for some, c, rows in _words(batches):
+            whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-300) / max(n, 1)), -np.inf)
+            score = pieces.scores(some, log_p, through, whole)
+            for k in (k for k, w in enumerate(some) if w == END):  # a piece of its own
+                score[k] = np.logaddexp(whole[k], through + log_p[pieces.end])
+            yield rows.assign(base=np.log10((c + 1) / (n + v + 1)), score=score / math.log(10),
+                              arc=np.exp(whole - score))
+
+    def weigh(some: DataFrame) -> DataFrame:
+        return some.select("word", "c", "h").mapInPandas(
+            each, "word string, c bigint, h bigint, base double, score double, arc double")
+
+    return weigh, n
+
+
+def word_report(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Both models on words that training has seen (``known``) and on others:
+    number of tokens in training and held-out documents, log10 probability per
+    held-out token, and the mean share of a token's probability that the
+    whole-word arcs give. Sums over distinct words; at most two rows."""
+    words = saved(word_counts(docs), "words")
+    weigh, _ = model(words, Pieces(vocabulary or default_vocabulary()), rounds)
+
+    def mean(value: str, by: str) -> Column:
+        return F.try_divide(F.sum(F.col(value) * F.col(by)), F.sum(by)).alias(f"{value}_{'train' if by == 'c' else 'held_out'}")
 
-    return words.mapInPandas(each, "word string, c bigint, base double, score double"), n
+    return weigh(words).groupBy((F.col("c") > 0).alias("known")).agg(
+        F.sum("c").alias("train_tokens"), F.sum("h").alias("held_out_tokens"),
+        mean("base", "h"), mean("score", "h"), mean("arc", "c"), mean("arc", "h"))
 
 
 def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
@@ -320,11 +434,11 @@ def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     pieces = Pieces(vocabulary or default_vocabulary())
     words = saved(word_counts(docs), "words")
-    table, n = weighed(words, pieces, rounds)
-    is_common = (F.col("c") > 0) & (F.col("c") * frequent >= n)
-    is_end = F.col("word") == END
+    weigh, n = model(words, pieces, rounds)
+    is_common = ((F.col("c") > 0) & (F.col("c") * frequent >= n) & (F.octet_length("word") <= COMMON_BYTES)
+                 | (F.col("word") == END))
     common = {r["word"].encode(): (r["c"], r["base"], r["score"])  # at most `frequent` of them, and the end
-              for r in table.filter(is_common | is_end).collect()}
+              for r in weigh(words.filter(is_common)).collect()}
     end = common.pop(END.encode(), None) or (0, 0.0, 0.0)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -374,7 +488,7 @@ def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
         "k", F.monotonically_increasing_id())
     parts = numbered.mapInPandas(each, "k bigint, word string, times bigint, held_out boolean, "
                                        f"doc_id {'bigint' if whole else 'string'}, n_tokens bigint, n_known bigint, b double, s double")
-    rare = table.filter(~is_common & ~is_end)
+    rare = weigh(words.filter(~is_common)).select("word", "c", "base", "score")
 
     def joined(own: str, given: str) -> Column:
         return F.sum(F.col(own) + F.col("times") * F.coalesce(given, F.lit(0.0)))

@@ -96,3 +96,83 @@ def test_training_beats_the_starting_weights(spark):
         got = lattice.scored(edge.documents(spark, rows), rounds=rounds).collect()
         return sum(r["score"] for r in got if r["held_out"])
     assert held(3) > held(0)
+
+
+def cuts(word, known):
+    """Every segmentation of a spelled word, as lists of piece numbers."""
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in known:
+            for rest in cuts(word[n:], known):
+                yield [known[word[:n]], *rest]
+    if word:  # one character by its bytes
+        for rest in cuts(word[1:], known):
+            yield [*(len(known) + b for b in word[0].encode()), *rest]
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_whole_scores_against_enumerated_segmentations(spark, pieces, rounds):
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(
+        [["the", "cat"], ["the", "é"], ["sat", "the"], [], ["cat", "on"], ["mat"], ["the", "cat", "zq"], ["on"],
+         ["hat", "the"], ["oat"], ["zq", "sat"], ["é", "cats"], ["them"], ["cat", "cat"]])]
+    assert 0 < sum(is_held_out(i) for i, _, _ in rows) < len(rows)
+    known = {p: i for i, p in enumerate(pieces.names)}
+    seen = Counter()
+    for i, t, _ in rows:
+        if not is_held_out(i):
+            seen.update([*t.split(), "end"])
+    paths = {w: list(cuts(lattice.MARK + w, known)) for _, t, _ in rows for w in t.split()}
+    p = pieces.start
+    for _ in range(rounds):
+        total = pieces.start * lattice.PRIOR
+        for w in seen:
+            if w != "end":
+                weights = np.array([np.prod(p[path]) for path in paths[w]])
+                for path, share in zip(paths[w], weights / weights.sum()):
+                    np.add.at(total, path, share)
+        p = total / total.sum()
+    n, v = sum(seen.values()), len(seen)
+    once, twice = (sum(c == k for c in seen.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+
+    def word(w):
+        spelled = p[pieces.end] if w == "end" else sum(np.prod(p[path]) for path in paths[w])
+        return math.log10(max(seen[w] - discount, 0) / n + discount * v / n * spelled)
+
+    want = {i: sum(word(w) for w in [*t.split(), "end"]) for i, t, _ in rows}
+    for frequent in (100_000, 1):
+        got = {r["doc_id"]: r["score"] for r in
+               lattice.scored(edge.documents(spark, rows), rounds=rounds, frequent=frequent).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_long_words_are_scanned_with_the_same_result(pieces, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["short", "a" * 700, "".join(rng.choice(list("thequickbrownfox日é"), 650)), "x" * 129]
+    log_p, counts = np.log(pieces.start), np.array([1.0, 2.0, 3.0, 1.0])
+    whole = np.array([-3.0, -5.0, -np.inf, -np.inf])
+    scores, uses = pieces.scores(words, log_p, -0.5, whole), pieces.expected(words, counts, log_p)
+    monkeypatch.setattr(lattice, "LONG_WORD", 128)
+    monkeypatch.setattr(lattice, "SCAN", 100)
+    assert [k for k, _ in lattice.long_words(words)] == [1, 2, 3]
+    assert np.allclose(pieces.scores(words, log_p, -0.5, whole), scores, rtol=1e-12)
+    assert np.allclose(pieces.expected(words, counts, log_p), uses, rtol=1e-9, atol=1e-12)
+
+
+def test_very_long_words_in_documents(spark):
+    rows = [(i, t, "a") for i, t in enumerate(["a" * 100_000, "b " + "ab" * 30_000, "a b " + "日本" * 9000, "a"])]
+    assert all(math.isfinite(r["score"]) for r in check(spark, rows, 100_000))
+
+
+def test_report_of_words_sums_to_the_scores(spark):
+    docs = edge.documents(spark)
+    report = lattice.word_report(docs).collect()
+    scored = [r for r in lattice.scored(docs).collect() if r["held_out"]]
+    assert sum(r["held_out_tokens"] for r in report) == sum(r["n_tokens"] for r in scored)
+    for name in ("score", "base"):
+        total = sum(r[f"{name}_held_out"] * r["held_out_tokens"] for r in report if r["held_out_tokens"])
+        own = sum(r["score" if name == "score" else "base_score"] for r in scored)
+        assert total == pytest.approx(own, rel=1e-9)
+    by = {r["known"]: r for r in report}
+    assert 0 < by[True]["arc_train"] < 1 and by[False]["train_tokens"] == 0 and by[False]["arc_held_out"] in (0.0, None)
