@@ -26,7 +26,7 @@ round only the expected counts come to the driver, one number per vocabulary
 piece. To score documents, words of at most ``COMMON_BYTES`` bytes with at least
 1/``FREQUENT`` of all training tokens (so at most ``FREQUENT`` of them, whatever
 the corpus) go to the tasks; each document's other words are joined with the
-table of words. A word above ``LONG_WORD`` characters is scanned in windows: its
+table of words, each word once for all documents of a batch. A word above ``LONG_WORD`` characters is scanned in windows: its
 lattice is never held whole, only two numbers per character are.
 
 ``word_report`` says how both models do on words seen and not seen in training,
@@ -48,6 +48,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -314,13 +316,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), F.encode(filled("text"), "UTF-8").alias("t"))
 
 
-def _batches(batches: Iterable[pd.DataFrame], limit: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        size = pdf["t"].map(len).to_numpy()
+def _slices(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = pc.binary_length(batch["t"]).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
-        for part in np.split(np.arange(len(pdf)), cut):
-            if len(part):
-                yield pdf.iloc[part]
+        for low, high in zip([0, *cut], [*cut, len(size)]):
+            if high > low:
+                yield batch.slice(low, high - low)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -437,65 +439,69 @@ def scored(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS,
     weigh, n = model(words, pieces, rounds)
     is_common = ((F.col("c") > 0) & (F.col("c") * frequent >= n) & (F.octet_length("word") <= COMMON_BYTES)
                  | (F.col("word") == END))
-    common = {r["word"].encode(): (r["c"], r["base"], r["score"])  # at most `frequent` of them, and the end
-              for r in weigh(words.filter(is_common)).collect()}
-    end = common.pop(END.encode(), None) or (0, 0.0, 0.0)
+    given = weigh(words.filter(is_common)).collect()  # at most `frequent` of them, and the end
+    end = next(((r["c"], r["base"], r["score"]) for r in given if r["word"] == END), (0, 0.0, 0.0))
+    given = [r for r in given if r["word"] != END]
+    common = pa.array([r["word"] for r in given], pa.string())
+    basic, scores = (np.array([r[x] for r in given], np.float64) for x in ("base", "score"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    whole = kind in ("bigint", "int", "smallint", "tinyint")
-
-    def ids(values: list) -> pd.Series:
-        if not whole:
-            return pd.Series(values, dtype=object)
-        return pd.Series(pd.array([None if x is None else int(x) for x in values], dtype="Int64"))
-
     def each(batches):
         """A row per document with what its common words give, and a row per
-        other word of it."""
-        for pdf in _batches(batches):
-            key, word, times, tokens, known, basic, score = [], [], [], [], [], [], []
-            for k, t in zip(pdf["k"].tolist(), pdf["t"]):
-                seen = Counter(words_of(bytes(t)))
-                some = 0
-                b, s = end[1], end[2]
-                for w, c in seen.items():
-                    given = common.get(w)
-                    if given is None:
-                        key.append(k)
-                        word.append(w)
-                        times.append(c)
-                    else:
-                        some += c
-                        b += c * given[1]
-                        s += c * given[2]
-                tokens.append(sum(seen.values()) + 1)
-                known.append(some + (end[0] > 0))
-                basic.append(b)
-                score.append(s)
-            one, rest = len(pdf), len(key)
-            yield pd.DataFrame({
-                "k": np.array(pdf["k"].tolist() + key, np.int64),
+        other word of some documents: where and how often it occurs."""
+        for batch in _slices(batches):
+            rows, k = len(batch), batch["k"].to_numpy()
+            text = pc.ascii_split_whitespace(pc.ascii_lower(batch["t"].cast(pa.string())))
+            flat = text.flatten()
+            is_word = pc.not_equal(flat, "")
+            owner = pc.list_parent_indices(text).filter(is_word).to_numpy()
+            coded = flat.filter(is_word).dictionary_encode()
+            code, distinct = coded.indices.to_numpy(), coded.dictionary
+            at = pc.fill_null(pc.index_in(distinct, value_set=common), -1).to_numpy()[code]
+            held = at >= 0
+
+            def total(values: np.ndarray) -> np.ndarray:
+                return np.bincount(owner[held], values[at[held]], minlength=rows)
+
+            pairs, times = np.unique(code[~held].astype(np.int64) * rows + owner[~held], return_counts=True)
+            first = np.flatnonzero(np.diff(pairs // rows, prepend=-1))
+            rest = len(first)
+
+            def column(own: pa.Array) -> pa.Array:
+                return pa.concat_arrays([own, pa.nulls(rest, own.type)])
+
+            def numbers(own: np.ndarray, dtype: type) -> pa.Array:
+                return pa.array(np.concatenate([own, np.zeros(rest)]).astype(dtype))
+
+            places = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([k, k[pairs % rows]])),
+                 pa.array(np.concatenate([np.zeros(rows, np.int64), times]).astype(np.int64))], ["k", "times"])
+            offsets = np.concatenate([np.arange(rows), rows + first, [rows + len(pairs)]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
                 # a document's own row has a word that is in no table
-                "word": [f" {k}" for k in pdf["k"]] + [w.decode() for w in word],
-                "times": np.array([0] * one + times, np.int64),
-                "doc_id": ids(pdf["doc_id"].tolist() + [None] * rest),
-                "held_out": pd.Series(pdf["held_out"].tolist() + [None] * rest, dtype="boolean"),
-                "n_tokens": np.array(tokens + [0] * rest, np.int64), "n_known": np.array(known + [0] * rest, np.int64),
-                "b": np.array(basic + [0.0] * rest), "s": np.array(score + [0.0] * rest)})
+                pa.concat_arrays([pa.array([f" {x}" for x in k.tolist()], pa.string()),
+                                  distinct.take(pa.array(code[:0] if not rest else pairs[first] // rows))]),
+                pa.ListArray.from_arrays(pa.array(offsets), places),
+                column(batch["doc_id"]), column(batch["held_out"]),
+                numbers(np.bincount(owner, minlength=rows) + 1, np.int64),
+                numbers(np.bincount(owner[held], minlength=rows) + (end[0] > 0), np.int64),
+                numbers(total(basic) + end[1], np.float64), numbers(total(scores) + end[2], np.float64)],
+                ["word", "places", "doc_id", "held_out", "n_tokens", "n_known", "b", "s"])
 
     # the row number of a file scan does not depend on who reads it
-    numbered = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn(
-        "k", F.monotonically_increasing_id())
-    parts = numbered.mapInPandas(each, "k bigint, word string, times bigint, held_out boolean, "
-                                       f"doc_id {'bigint' if whole else 'string'}, n_tokens bigint, n_known bigint, b double, s double")
+    parts = _texts(docs).withColumn("k", F.monotonically_increasing_id()).mapInArrow(
+        each, f"word string, places array<struct<k:bigint,times:bigint>>, doc_id {kind}, held_out boolean, "
+              "n_tokens bigint, n_known bigint, b double, s double")
     rare = weigh(words.filter(~is_common)).select("word", "c", "base", "score")
 
     def joined(own: str, given: str) -> Column:
         return F.sum(F.col(own) + F.col("times") * F.coalesce(given, F.lit(0.0)))
 
-    return (parts.join(rare, "word", "left").groupBy("k").agg(
-        F.max("doc_id").cast(kind).alias("doc_id"), F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
+    return (parts.join(rare, "word", "left")
+            .select(F.inline("places"), "doc_id", "held_out", "n_tokens", "n_known", "b", "s", "c", "base", "score")
+            .groupBy("k").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+        F.max("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
         joined("b", "base").alias("base_score"), joined("s", "score").alias("score"))
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
