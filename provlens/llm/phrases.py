@@ -17,10 +17,12 @@ are filled in either, an estimate of the Jaccard similarity of the phrase sets.
 The parsing is vectorised over a batch of documents, whose ends are barriers:
 the result for a document does not depend on the batch it is in.
 
-``fingerprint_report`` needs each document's successor. Documents are sorted by
-range partitions (the one shuffle of texts) and streamed; the last document of
-a partition meets the first of the next filled one through a table with a row
-per partition.
+``fingerprint_report`` needs each document's successor. The ids are dealt to
+ranges once and the ranges' lower bounds kept (:func:`lower_bounds`), so the
+range of a document is a function of its id, the same in every branch of the
+plan and in a retried task. Documents are shuffled to their ranges (the one
+shuffle of texts), sorted and streamed; the last document of a range meets the
+first of the next filled one through a table with a row per range.
 
 Defined cases: a null or empty text has no phrases; two empty fingerprints have
 likeness 1, one empty and one filled 0; rows with equal ids are ordered by
@@ -34,10 +36,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlens.llm.common import chunks, filled, shuffle_width
+from provlens.llm.common import chunks, filled, saved, shuffle_width
 from provlens.llm.runindex import mixed
 
 LEVELS = (2, 3)
@@ -147,23 +149,40 @@ def compared(ids: Sequence, texts: Sequence[str], following: Sequence[str]) -> p
         "near_edited": likeness(mine, new), "near_next": likeness(mine, after)})
 
 
+def lower_bounds(docs: DataFrame) -> list:
+    """The smallest id of each filled range partition of the ids, ascending: at
+    most one for each shuffle partition."""
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    dealt = saved(ids.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id")
+                  .withColumn("part", F.spark_partition_id()), "ranges")
+    lows = dealt.groupBy("part").agg(F.min("doc_id").alias("low"))
+    return [r["low"] for r in lows.orderBy("low").collect()]
+
+
+def range_of(bounds: Sequence, kind: str) -> Column:
+    """Number of the bounds at or below the id; ids of null come last."""
+    lows = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
+    below = F.size(F.filter(lows, lambda b: b <= F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(below)
+
+
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprints of its text and of the edited text,
     and their likeness to each other and to the next document's."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
               "edited_fingerprint string, near_edited double, near_next double")
     order = F.col("doc_id").asc_nulls_last()
-    ordered = (docs.select("doc_id", filled("text").alias("text")).repartitionByRange(shuffle_width(spark), order)
-               .sortWithinPartitions(order, "text"))
+    bounds = lower_bounds(docs)
+    ordered = (docs.select("doc_id", filled("text").alias("text"), range_of(bounds, kind).alias("part"))
+               .repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions(order, "text"))
     whole = kind in ("bigint", "int", "smallint", "tinyint")
 
     def ids(values) -> pd.Series:
         return pd.Series(values, dtype="object").astype("Int64") if whole else pd.Series(values)
 
     def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All documents of a partition but its last."""
+        """All documents of a range but its last."""
         last = None
         for pdf in chunks(batches, "text"):
             found = [None if pd.isna(x) else x for x in pdf["doc_id"].tolist()]
@@ -180,11 +199,11 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                 yield compared(ids([None if pd.isna(row.doc_id) else row.doc_id]), [row.text], [row.following])
 
     exact = ordered if not whole else ordered.withColumn("doc_id", F.col("doc_id").cast("decimal(20,0)"))
-    main = exact.mapInPandas(inner, schema)
+    main = exact.select("doc_id", "text").mapInPandas(inner, schema)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    ends = (ordered.groupBy(F.spark_partition_id().alias("part"))
+    ends = (ordered.groupBy("part")
             .agg(F.min(place).alias("low"), F.max(place).alias("high")))
-    # a row per filled partition: its number and the next one's, the first after the last
+    # a row per filled range: its number and the next one's, the first after the last
     parts = ends.select("part")
     follow = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")),
                                              F.min("part").over(Window.partitionBy())).alias("next_part"))
