@@ -11,7 +11,8 @@ A source with few or very unequal documents could miss its target by chance.
 Therefore each document's hash gives ``TURNS`` draws (the hash plus a fixed
 step for each turn, modulo one, so each is uniform), the words each turn would
 take are summed per source, and every source uses the turn that comes nearest
-to its target.
+to its target. With ``turns=1`` there is one plain draw: the chance of a copy is
+then exactly the fraction, and sources are as near to their targets as it falls.
 
 Targets: a source asks for its weight's part of all words, but no more than
 ``max_rate`` times its own; what is cut off is shared out again by weight until
@@ -111,7 +112,7 @@ def succeeds(hashed: Column, turn: Column, probability: Column) -> Column:
 
 
 def copies(docs: DataFrame, target_table: DataFrame, source: str = "source", doc_id: str = "doc_id",
-           text: str = "text", seed: int = SEED) -> DataFrame:
+           text: str = "text", seed: int = SEED, turns: int = TURNS) -> DataFrame:
     """``docs`` with ``__size``, ``__source_size``, ``__target`` and
     ``__copies``. The table of sources is joined by hash (with AQE splitting a
     hot source); Spark broadcasts it only below its own size threshold."""
@@ -124,7 +125,7 @@ def copies(docs: DataFrame, target_table: DataFrame, source: str = "source", doc
     draws = (docs.select(source, n_words(filled(text)).alias("size"), drawn_hash(doc_id, text, seed).alias("hash"))
              .join(rates, same)
              .select("__source", "size", "hash", "__part",
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TURNS - 1).cast("long"))).alias("turn"))
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"))
              .groupBy("__source", "turn")
              .agg(F.sum(F.when(succeeds(F.col("hash"), F.col("turn"), F.col("__part")), F.col("size"))
                         .otherwise(0)).alias("more")))
@@ -141,22 +142,22 @@ def copies(docs: DataFrame, target_table: DataFrame, source: str = "source", doc
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED,
-        source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        source: str = "source", doc_id: str = "doc_id", text: str = "text", turns: int = TURNS) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the
     columns of ``docs`` only."""
     t = targets(source_sizes(docs, source, text), weights, max_rate)
-    counted = copies(docs, t, source, doc_id, text, seed).filter("__copies > 0")
+    counted = copies(docs, t, source, doc_id, text, seed, turns).filter("__copies > 0")
     return (counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE,
-               seed: int = SEED) -> DataFrame:
+               seed: int = SEED, turns: int = TURNS) -> DataFrame:
     """One row per document: its size, its source's size and target, and the
     words the mix takes from it."""
     docs = docs.select("doc_id", "source", "text")
     t = targets(source_sizes(docs), weights, max_rate)
-    return copies(docs, t, seed=seed).select(
+    return copies(docs, t, seed=seed, turns=turns).select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
         F.col("__copies").alias("copies"))

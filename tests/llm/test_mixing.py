@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pytest
@@ -60,6 +61,14 @@ def test_taken_words_come_near_the_target(spark):
         assert taken[s] == pytest.approx(target[s], rel=0.05)
 
 
+def test_one_plain_draw(spark):
+    rows = [(i, "w " * (1 + i * 37 % 90), f"s{i % 7}" if i % 3 else "hot") for i in range(600)]
+    for r in mixing.mix_report(edge.documents(spark, rows), turns=1).collect():
+        drawn = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:13], 16)
+        rate = r["target"] / r["source_size"]
+        assert r["copies"] == int(rate) + (drawn < (rate - int(rate)) * mixing.RANGE)
+
+
 def test_empty_table(spark):
     docs = edge.documents(spark, [])
     assert mixing.mix_report(docs).collect() == [] and mixing.mix(docs).collect() == []
