@@ -79,7 +79,8 @@ LAYOUTS = (
     Layout("message_texts", (Each("messages", "role", "text"),)),
     Layout("conversations", (Each("conversations", "from", "value", ROLE_NAMES),)),
     Layout("system_conversations", (Say("system", ("system",)), Each("conversations", "from", "value", ROLE_NAMES))),
-    Layout("prompt_completion", (Say("user", ("prompt",)), Say("assistant", ("completion",)))),
+    Layout("prompt_completion", (Say("system", ("system",)), Say("user", ("prompt",)),
+                                 Say("assistant", ("completion",))), ("system",)),
     Layout("prompt_response", (Say("system", ("system",)), Say("user", ("prompt",)), Say("assistant", ("response",))),
            ("system",)),
     Layout("instruction", (Say("system", ("system",)), Say("user", ("instruction", "input")),

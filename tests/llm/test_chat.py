@@ -54,6 +54,8 @@ RECORDS = [
     ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
     ({"prompt": "p", "response": "c"}, "prompt_response", [("user", "p"), ("assistant", "c")]),
     ({"instruction": "i", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+    ({"system": "s", "prompt": "p", "completion": "c"}, "prompt_completion",
+     [("system", "s"), ("user", "p"), ("assistant", "c")]),
     ({"instruction": "i", "input": "n", "output": "o", "system": "s"}, "instruction",
      [("system", "s"), ("user", "i\n\nn"), ("assistant", "o")]),
     ({"question": "q", "answer": "a"}, "question_answer", [("user", "q"), ("assistant", "a")]),
