@@ -7,6 +7,11 @@ id.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +21,7 @@ from provlens.plans.position import with_position
 from provlens.session import filesystem_of
 
 NAME_SEP = "_"
+LISTED = 10_000  # names that a listing task holds at once
 
 
 def run_name(username, ts_text, run_id):
@@ -34,13 +40,30 @@ def parse_run_names(names: DataFrame, column: str = "name") -> DataFrame:
 def run_names_in_folder(spark, path: str) -> DataFrame:
     """One row per file of a run folder, its file name in ``name``.
 
-    Run marker files are empty, and file sources skip empty files, so the
-    folder is listed through ``pyarrow.fs`` (any file system URI it knows);
-    only the names become rows, as in any file listing.
+    Run marker files are empty, and file sources skip empty files, so a task
+    lists the folder and streams its names; the driver holds none of them. A
+    folder on a file system of the machines is scanned entry by entry, any
+    other through ``pyarrow.fs``. The folder must be one that executors reach.
+    A folder that does not exist fails the job.
     """
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                names = file_names(folder)
+                while held := list(islice(names, LISTED)):
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(held, pa.string())})
+
+    return spark.createDataFrame([(path,)], "folder string").mapInArrow(listed, "name string")
+
+
+def file_names(path: str) -> Iterator[str]:
+    """The names of the files of a folder, one by one."""
     store, root = filesystem_of(path)
-    names = [f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.is_file]
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(root) as entries:
+            yield from (e.name for e in entries if e.is_file())
+    else:
+        yield from (f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.is_file)
 
 
 def run_ledger(submitted: DataFrame, finished: DataFrame) -> DataFrame:

@@ -348,6 +348,25 @@ def test_run_names_from_a_folder(spark, tmp_path):
         (tmp_path / name).write_text("")
     got = rows(RN.parse_run_names(RN.run_names_in_folder(spark, str(tmp_path))), "username", "ts_text", "run_id")
     assert got == [("alice", "20241223065426", "abc-1"), ("bob", "20241223065427", "def-2")]
+    (tmp_path / "folder").mkdir()
+    assert RN.run_names_in_folder(spark, tmp_path.as_uri()).count() == 2  # files only
+
+
+def test_run_names_of_a_large_folder_are_listed_by_a_task(spark, tmp_path, monkeypatch):
+    from provlens.operators import runs as RN
+    wanted = {f"user{i % 7}_20241223065426_{i}" for i in range(2 * RN.LISTED + 5)}
+    for name in wanted:
+        (tmp_path / name).touch()
+    monkeypatch.setattr(RN, "filesystem_of", None)  # here, not in the tasks: the driver does not list
+    names = RN.run_names_in_folder(spark, str(tmp_path))
+    assert {r["name"] for r in names.collect()} == wanted
+
+
+def test_run_names_of_an_empty_and_a_missing_folder(spark, tmp_path):
+    from provlens.operators import runs as RN
+    assert RN.run_names_in_folder(spark, str(tmp_path)).collect() == []
+    with pytest.raises(Exception, match="none-such"):
+        RN.run_names_in_folder(spark, str(tmp_path / "none-such")).collect()
 
 
 
