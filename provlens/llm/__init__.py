@@ -1,6 +1,6 @@
 """Operators for preparing language-model training data.
 
-Ten independent operators (one module each), the queries that apply them to
+Thirteen independent operators (one module each), the queries that apply them to
 whole tables (``queries.py``), and the stages of ``corpus_pipeline.py``.
 Nothing outside this folder imports it except ``__spark_entry__.py`` and
 ``corpus_pipeline.py``.
